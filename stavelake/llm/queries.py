@@ -6,11 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .language import op7_language
 from .packing import op1_packing
+from .quality import op4_quality
+from .secrets import op8_secrets
 from .simhash import op9_simhash
+from .topk import OP2_SQL, op2_top_k
+from .url_filter import OP3_SQL, op3_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_top_k": op2_top_k,
+    "op3_url_filter": op3_url_filter,
+    "op4_quality": op4_quality,
+    "op7_language": op7_language,
+    "op8_secrets": op8_secrets,
     "op9_simhash": op9_simhash,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_top_k": OP2_SQL, "op3_url_filter": OP3_SQL}
