@@ -1,8 +1,68 @@
-"""Corpus pipeline: language ID, quality rules, near copies, secrets, packing."""
+"""Corpus pipeline over `documents`: language ID, quality rules, near copies, secrets, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept. All but the last return the
+columns of `docs`. SQL cannot express the stages; tests compare them with brute-force versions.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stavelake.llm.common import stored, table
+from stavelake.llm.language import UNKNOWN, language_model, predict_languages
+from stavelake.llm.packing import pack_documents
+from stavelake.llm.quality import judge_quality
+from stavelake.llm.secrets import redact_secrets, train_secrets
+from stavelake.llm.simhash import simhash_components
 
-STAGES: list = []
 ORACLE_SQL = None
+#: A text of which a smaller share of n-grams is known to its best language is in none of them.
+LEAST_SHARE = 0.3
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows in a learned language; texts without a letter, and texts that no language knows, go."""
+    out = predict_languages(docs, language_model(docs), out="stage_lang", score="stage_score")
+    return out.where((F.col("stage_lang") != UNKNOWN) & (F.col("stage_score") >= LEAST_SHARE)).select(*docs.columns)
+
+
+def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that pass the base rules and the cascade."""
+    return judge_quality(docs).where("kept").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near copies: the one with the least doc_id."""
+    keep = stored(simhash_components(docs).where("doc_id = component_id").select("doc_id").distinct(), "keep")
+    return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+
+
+def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with secrets masked in the text and `n_chars` counted again."""
+    out = redact_secrets(docs, train_secrets(docs))
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in out.columns else out
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their sequence and offset."""
+    import public_tokenizers as P
+
+    return pack_documents(docs, P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("quality_rules", filter_quality),
+    ("simhash_near_dedup", drop_near_copies),
+    ("secret_scans", remove_secrets),
+    ("packing", pack),
+]
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
