@@ -33,9 +33,14 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies: the one with the least doc_id."""
-    keep = stored(simhash_components(docs).where("doc_id = component_id").select("doc_id").distinct(), "keep")
-    return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    """One row of each group of near copies: the one with the least doc_id. Rows without an id stay."""
+    first = simhash_components(docs).where("doc_id = component_id")
+    keep = stored(first.groupBy("doc_id").agg(F.count("*").alias("n")), "keep")
+    out = docs.join(keep.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    again = keep.where("n > 1").select("doc_id")  # rows that repeat an id: one of them stays
+    if not again.isEmpty():
+        out = out.join(again, "doc_id", "left_anti").union(out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return out.select(*docs.columns).union(docs.where("doc_id is null"))
 
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
