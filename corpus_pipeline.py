@@ -33,10 +33,13 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies: the one with the least doc_id. Rows without an id stay."""
+    """One row of each group of near copies: the one with the least doc_id. Rows without an id stay.
+
+    The list of ids to keep grows with the corpus, so it is merge-joined at every size and never broadcast.
+    """
     first = simhash_components(docs).where("doc_id = component_id")
     keep = stored(first.groupBy("doc_id").agg(F.count("*").alias("n")), "keep")
-    out = docs.join(keep.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    out = docs.join(keep.select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
     again = keep.where("n > 1").select("doc_id")  # rows that repeat an id: one of them stays
     if not again.isEmpty():
         out = out.join(again, "doc_id", "left_anti").union(out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
