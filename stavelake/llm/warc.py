@@ -151,6 +151,7 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
     """Inflate each archive once, rewrite every record as a gzip member of its own, and write the offsets beside it.
 
     Gives the sidecar's rows: (path, record, offset, size). Works on archives of one member, of many, or of both.
+    Rows that name archives are small while archives are not, so there are as many tasks as archives.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +175,7 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
                 cols = [pa.array([e[i] for e in entries], pa.int64()) for i in range(3)]
                 yield pa.RecordBatch.from_arrays([pa.array([path] * len(entries), pa.string()), *cols], names=["path", "record", "offset", "size"])
 
-    return archives.repartition("path").mapInArrow(run, ENTRY)
+    return archives.repartition(max(1, archives.count()), "path").mapInArrow(run, ENTRY)
 
 
 PAGE = "page_id long, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -207,7 +208,8 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
         if file:
             file.close()
 
-    return index.mapInArrow(run, PAGE)
+    files = index.select("path").distinct().count()
+    return index.repartition(max(1, files), "path").sortWithinPartitions("path", "offset").mapInArrow(run, PAGE)
 
 
 def archive_pages(pages: DataFrame, least: int = 1000) -> DataFrame:
