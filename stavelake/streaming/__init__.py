@@ -1 +1,51 @@
-""""""
+"""Streams: running tallies, live pitch, journals that skip finished work, and sampled traces."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .. import functions as N
+
+
+def running_tally(events: DataFrame, by: str = "event_type", ts: str = "ts", late: str = "1 hour", width: str = "1 hour") -> DataFrame:
+    """Counts in event-time windows; events later than `late` behind the newest one are left out."""
+    counts = events.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), by).agg(F.count("*").alias("n"))
+    return counts.select(F.col("w.start").alias("start"), by, "n")
+
+
+def running_tally_batch(events: DataFrame) -> DataFrame:
+    return events.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+
+
+def live_pitch(blocks: DataFrame, least: float = 0.05, low: float = 80, high: float = 1500, clear: float = 4) -> DataFrame:
+    """Note name of each block (amplitude, peak_hz, peak, mean) that passes all three guards; stateless."""
+    sure = (F.col("amplitude") >= least) & F.col("peak_hz").between(low, high) & (F.col("peak") >= clear * F.col("mean"))
+    return blocks.where(sure).withColumn("note", N.midi_name(N.hz_to_midi("peak_hz")))
+
+
+def note_sessions(frames: DataFrame, ts: str = "ts", gap: str = "100 milliseconds", late: str = "1 second") -> DataFrame:
+    """Notes as sessions of frames of one pitch."""
+    voiced = frames.where("midi is not null").withWatermark(ts, late)
+    return voiced.groupBy(F.session_window(ts, gap).alias("w"), "source", "midi").agg(F.count("*").alias("frames")).select("source", "midi", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "frames")
+
+
+def journal_stream(work: DataFrame, done: Callable[[], DataFrame], process: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, key: str = "stem"):
+    """Process each batch's keys that the journal lacks, and append the outcomes; the checkpoint makes it resumable."""
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        fresh = batch.dropDuplicates([key]).join(done().select(key), key, "left_anti")
+        process(fresh).write.mode("append").json(path)
+
+    return work.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+
+
+def sample_trace(events: DataFrame, labels: list[str], match: str, skip: int, times: int) -> DataFrame:
+    """Hits of labels (a trailing * matches any rest) whose properties hold `match`: after `skip`, at most `times` per label."""
+    armed = F.lit(False)
+    for x in labels:
+        armed = armed | (F.col("event_type").startswith(x[:-1]) if x.endswith("*") else F.col("event_type") == x)
+    hits = events.where(armed & F.col("props").contains(match)).withColumn("hit", F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")))
+    return hits.where((F.col("hit") > skip) & (F.col("hit") <= skip + times)).select("event_id", "event_type", "hit")
