@@ -119,15 +119,18 @@ class SecretModel:
     def tags(self, scores: np.ndarray) -> np.ndarray:
         """The best tag sequence, exactly as Viterbi over the whole text gives it.
 
-        A token whose score for `outside` leads by more than any two moves can make up is outside on every best path;
-        such tokens cut the text, and Viterbi runs over what lies between them.
+        Take a path that goes through a token inside a secret and put the token outside. Two moves change, and if the
+        next token went on with the secret it has to begin one, which changes a third. A token whose score for
+        `outside` leads by more than all that can cost is outside on every best path; such tokens cut the text, and
+        Viterbi runs over what lies between them.
         """
         n = len(scores)
         out = np.full(n, OUTSIDE)
         moves = self.moves
         finite = moves[moves > -1e8]
         lead = scores[:, OUTSIDE] - scores[:, :OUTSIDE].max(1)
-        loose = np.flatnonzero(lead <= 2 * (finite.max() - finite.min()))
+        anew = np.append(np.maximum(0, scores[1:, INSIDE] - scores[1:, BEGIN]), 0)
+        loose = np.flatnonzero(lead <= 3 * (finite.max() - finite.min()) + anew)
         if not len(loose):
             return out
         for run in np.split(loose, np.flatnonzero(np.diff(loose) > 1) + 1):

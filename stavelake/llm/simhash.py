@@ -109,9 +109,9 @@ def allocate(sample: np.ndarray, n: int, radius: int) -> list[tuple[list[int], i
     return best[1]
 
 
-def _midpoint_edges(fps: DataFrame) -> DataFrame:
-    """Edges that connect all pairs of `fps` within 4 bits, in linear space: such a pair shares a pattern two flips away."""
-    flips = [0, *[1 << i for i in range(BITS)], *[(1 << i) | (1 << j) for i, j in combinations(range(BITS), 2)]]
+def _midpoint_edges(fps: DataFrame, radius: int) -> DataFrame:
+    """Edges that connect the pairs of `fps` within an even radius, in linear space: they share a pattern half as far from each."""
+    flips = [sum(1 << b for b in c) for d in range(radius // 2 + 1) for c in combinations(range(BITS), d)]
     signed = [x - (1 << 64) if x >> 63 else x for x in flips]
     masks = fps.sparkSession.createDataFrame([(signed,)], "masks array<long>")
     spread = fps.join(F.broadcast(masks)).select("fp", F.explode("masks").alias("x")).select("fp", F.expr("fp ^ x").alias("mid"))
@@ -123,8 +123,8 @@ def links(fps: DataFrame, radius: int = 4, sample_rows: int = 4000, hot: int = 1
     """Edges (a, b) over distinct fingerprints whose components are those of all pairs within `radius` bits.
 
     A bucket is one value of one part. Buckets of at most `hot` members are joined with their probes and verified
-    inside the join. Members and probes of larger buckets are connected by shared midpoints instead (radius 4 or
-    less), so no bucket emits all its pairs. `sample_rows` bounds the rows that the plan is estimated on.
+    inside the join. Members and probes of larger buckets are connected by shared midpoints instead (radius 2 or 4;
+    an odd radius joins them too), so no bucket emits all its pairs. `sample_rows` bounds the rows that the plan is estimated on.
     """
     if not 1 <= radius <= 4:
         raise ValueError("radius is 1 to 4")
@@ -148,12 +148,12 @@ def links(fps: DataFrame, radius: int = 4, sample_rows: int = 4000, hot: int = 1
     moved = moved.select("i", F.expr("key ^ x").alias("key"), "fp", F.expr("key ^ x < key").alias("down")).where("down").drop("down")
     probe = moved.withColumn("same", F.lit(False)).union(index.select("i", "key", "fp", F.lit(True)))
     large = index.groupBy("i", "key").count().where(F.col("count") > hot).select("i", "key")
-    crowded = not large.isEmpty()
+    crowded = radius % 2 == 0 and not large.isEmpty()
     extra = None
     if crowded:
         large = stored(large, "hot")
         crowd = index.join(large, ["i", "key"], "left_semi").select("fp").union(probe.join(large, ["i", "key"], "left_semi").select("fp")).distinct()
-        extra = _midpoint_edges(stored(crowd, "crowd"))
+        extra = _midpoint_edges(stored(crowd, "crowd"), radius)
         index, probe = index.join(large, ["i", "key"], "left_anti"), probe.join(large, ["i", "key"], "left_anti")
     right = index.withColumnRenamed("fp", "b")
     found = probe.withColumnRenamed("fp", "a").alias("p").join(

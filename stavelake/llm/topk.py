@@ -58,9 +58,9 @@ def best_in_block(queries: pa.Table, cands: pa.Table, k: int, cells: int = 1 <<
                 np.add.at(scores, np.ix_(rows, crow[i:j]), part)
         if big:
             for r, q in enumerate(own):
-                best = sorted((c for c in range(len(ids)) if ids[c] != q), key=lambda c: (-scores[r, c], c))[:k]
-                clipped = [max(-(2**63), min(2**63 - 1, int(scores[r, c]))) for c in best]
-                out.append((np.full(len(best), q), ids[best], np.array(clipped, np.int64)))
+                clipped = [max(-(2**63), min(2**63 - 1, int(x))) for x in scores[r]]  # saturated scores tie
+                best = sorted((c for c in range(len(ids)) if ids[c] != q), key=lambda c: (-clipped[c], c))[:k]
+                out.append((np.full(len(best), q), ids[best], np.array([clipped[c] for c in best], np.int64)))
             continue
         key = scores * len(ids) + (len(ids) - 1 - np.arange(len(ids)))  # greater is better, and no two are equal
         key[own[:, None] == ids[None, :]] = np.iinfo(np.int64).min
