@@ -1 +1,169 @@
-""""""
+"""Readers of score corpora and writers of reports. Files go through Spark's readers, so any store that Spark reads will do."""
+
+from __future__ import annotations
+
+import io
+import wave
+import xml.etree.ElementTree as ET
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+EVENT = """doc_id string, part_idx int, part_id string, part_name string, measure_ord int, measure_label string, seq int, tag string,
+duration_raw int, type string, dots int, is_chord boolean, is_rest boolean, staff int, voice int, step string, alter_raw string, octave int,
+tie string, slur string, tup_actual int, tup_normal int, divisions int, beats int, beat_type int, fifths int, staves int,
+clefs array<struct<staff:int,sign:string,line:int>>, error string"""
+CLEFS = pa.list_(pa.struct([("staff", pa.int32()), ("sign", pa.string()), ("line", pa.int32())]))
+KINDS = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+ARROW = pa.schema([(n, KINDS.get(kind, CLEFS)) for n, kind in (c.split() for c in EVENT.replace("\n", " ").split(", "))])
+
+
+def _int(node: ET.Element | None, path: str) -> int | None:
+    text = node.findtext(path) if node is not None else None
+    return int(text) if text and text.strip().lstrip("-").isdigit() else None
+
+
+def _row(tag: str, e: ET.Element) -> dict:
+    if tag == "attributes":
+        clefs = [{"staff": int(c.get("number", "1")), "sign": c.findtext("sign"), "line": _int(c, "line")} for c in e.findall("clef")]
+        return {"divisions": _int(e, "divisions"), "beats": _int(e, "time/beats"), "beat_type": _int(e, "time/beat-type"), "fifths": _int(e, "key/fifths"), "staves": _int(e, "staves"), "clefs": clefs}
+    if tag != "note":
+        return {"duration_raw": _int(e, "duration")}
+    kind = lambda path: next((x.get("type") for x in e.findall(path)), None)
+    return {
+        "duration_raw": _int(e, "duration"), "type": e.findtext("type"), "dots": len(e.findall("dot")), "is_chord": e.find("chord") is not None, "is_rest": e.find("rest") is not None,
+        "staff": _int(e, "staff") or 1, "voice": _int(e, "voice") or 1, "step": e.findtext("pitch/step"), "alter_raw": e.findtext("pitch/alter"), "octave": _int(e, "pitch/octave"),
+        "tie": kind("tie"), "slur": kind("notations/slur"), "tup_actual": _int(e, "time-modification/actual-notes"), "tup_normal": _int(e, "time-modification/normal-notes"),
+    }
+
+
+def shred(doc_id: str, content: bytes) -> list[dict]:
+    """Ordered event rows of one document; one row with `error` if it does not parse."""
+    try:
+        root = ET.fromstring(content)
+    except ET.ParseError as e:
+        return [{"doc_id": doc_id, "error": str(e)}]
+    names = {p.get("id"): p.findtext("part-name") or p.findtext("part-abbreviation") for p in root.iter("score-part")}
+    out = []
+    for i, part in enumerate(root.findall("part")):
+        for k, measure in enumerate(part.findall("measure")):
+            for seq, e in enumerate(measure):
+                out.append({"doc_id": doc_id, "part_idx": i, "part_id": part.get("id"), "part_name": names.get(part.get("id")) or f"Staff {i + 1}", "measure_ord": k, "measure_label": measure.get("number"), "seq": seq, "tag": e.tag} | _row(e.tag, e))
+    return out
+
+
+def read_scores(spark: SparkSession, path: str) -> DataFrame:
+    """Raw events of all MusicXML files under a path, in document order within each measure."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
+                yield from pa.Table.from_pylist(shred(doc.rsplit("/", 1)[-1].rsplit(".", 1)[0], content), schema=ARROW).to_batches()
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    return files.mapInArrow(run, EVENT)
+
+
+def read_manifest(spark: SparkSession, path: str, status: str = "ok") -> DataFrame:
+    return spark.read.json(path, multiLine=True).where(F.col("status") == status)
+
+
+def read_journal(spark: SparkSession, path: str, schema: str = "stem string, system int, ok boolean, secs double") -> DataFrame:
+    """Lines of a run journal; malformed ones are skipped."""
+    return spark.read.schema(schema).json(path, mode="DROPMALFORMED").where("stem is not null")
+
+
+def read_layout(spark: SparkSession, path: str) -> DataFrame:
+    """Detected staves and systems of each page; a page without a readable file has no row."""
+    return spark.read.schema("page int, n_staves int, n_systems int").json(path, multiLine=True, mode="DROPMALFORMED").where("page is not null")
+
+
+def read_symbol_logs(spark: SparkSession, path: str) -> DataFrame:
+    """Symbols of recogniser logs, read from the right: four last fields are fixed, the pitch before them may be absent."""
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.split(F.trim("value"), r"\s+").alias("f")).where(F.size("f") >= 5)
+    at = lambda k: F.element_at("f", -k)
+    pitch = F.when(F.size("f") >= 6, at(5))
+    return lines.select("file", F.element_at("f", 1).alias("symbol"), pitch.alias("pitch"), at(4).alias("lift"), at(3).alias("articulation"), at(2).alias("slur"), at(1).alias("position"))
+
+
+def read_song_index(spark: SparkSession, path: str) -> DataFrame:
+    """(title, place, page) of a JSON list of songs with their pages in order."""
+    return spark.read.schema("title string, pages array<int>").json(path, multiLine=True).select("title", F.posexplode("pages").alias("place", "page"))
+
+
+def read_verdicts(spark: SparkSession, path: str, inputs: DataFrame) -> DataFrame:
+    """One verdict for each input; absent and unreadable ones are errors."""
+    found = spark.read.schema("name string, verdict string").json(path, mode="DROPMALFORMED").where("name is not null").groupBy("name").agg(F.first("verdict").alias("verdict"))
+    return inputs.select("name").distinct().join(found, "name", "left").select("name", F.coalesce("verdict", F.lit("error")).alias("verdict"))
+
+
+def read_page_images(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("image").load(path).select("image.*")
+
+
+def read_audio_frames(spark: SparkSession, path: str, window: int = 2048, hop: int = 512) -> DataFrame:
+    """Frames of 16-bit WAV files, channels averaged, from -1 to 1."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for doc, content in zip(f["path"], f["content"]):
+                with wave.open(io.BytesIO(bytes(content))) as w:
+                    rate, channels = w.getframerate(), w.getnchannels()
+                    x = np.frombuffer(w.readframes(w.getnframes()), "<i2").reshape(-1, channels).mean(1) / 32768
+                starts = range(0, max(0, len(x) - window) + 1, hop) if len(x) >= window else []
+                yield pd.DataFrame([(doc, i, s / rate, rate, x[s : s + window].tolist()) for i, s in enumerate(starts)], columns=["doc_id", "frame", "t", "rate", "samples"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(run, "doc_id string, frame int, t double, rate int, samples array<double>")
+
+
+def select_pages(pages: DataFrame, spec: str) -> DataFrame:
+    """Pages of a spec such as `3-8,16,20-22`."""
+    keep = F.lit(False)
+    for part in filter(None, (p.strip() for p in spec.split(","))):
+        lo, _, hi = part.partition("-")
+        keep = keep | F.col("page").between(int(lo), int(hi or lo))
+    return pages.where(keep)
+
+
+def write_report(found: DataFrame, path: str) -> None:
+    found.write.mode("errorifexists").partitionBy("check").json(path)
+
+
+def song_index(songs: DataFrame) -> DataFrame:
+    from ..functions import slug
+
+    return songs.groupBy("title").agg(F.countDistinct("part").alias("parts"), F.countDistinct("measure").alias("measures"), F.count("*").alias("notes")).withColumn("slug", slug("title"))
+
+
+def pending(work: DataFrame, journal: DataFrame, key: str = "stem") -> DataFrame:
+    """Work whose key the journal does not have as done."""
+    return work.join(journal.where("ok").select(key), key, "left_anti")
+
+
+def join_gate(manifest: DataFrame, allow_partial: bool = False) -> DataFrame:
+    """Pages that may be joined; refuses if any would be dropped, unless a partial join is allowed."""
+    lost = manifest.where("status <> 'ok'").agg(F.count("*").alias("pages"), F.coalesce(F.sum("notes"), F.lit(0)).alias("notes")).first()
+    if lost["pages"] and not allow_partial:
+        raise ValueError(f"{lost['pages']} pages and {lost['notes']} notes would be lost")
+    return manifest.where("status = 'ok'")
+
+
+def score_texts(notes: DataFrame) -> DataFrame:
+    """One text for each document, part by part and measure by measure, from rows of notes."""
+    pitch = F.when(F.col("is_rest"), "<rest/>").otherwise(F.concat(F.lit("<pitch><step>"), "step", F.lit("</step><alter>"), F.col("alter").cast("string"), F.lit("</alter><octave>"), F.col("octave").cast("string"), F.lit("</octave></pitch>")))
+    note = F.concat(F.lit("<note>"), pitch, F.lit("<duration>"), F.col("dur").cast("string"), F.lit("</duration><voice>"), F.col("voice").cast("string"), F.lit("</voice></note>"))
+    bars = notes.groupBy("doc_id", "part_idx", "measure").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("onset", "seq", note.alias("x")))), lambda r: r.x), "").alias("x"))
+    bars = bars.withColumn("x", F.concat(F.lit('<measure number="'), F.col("measure").cast("string"), F.lit('">'), "x", F.lit("</measure>")))
+    joined = lambda by: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, "x"))), lambda r: r.x), "")
+    parts = bars.groupBy("doc_id", "part_idx").agg(joined("measure").alias("x")).withColumn("x", F.concat(F.lit('<part id="P'), (F.col("part_idx") + 1).cast("string"), F.lit('">'), "x", F.lit("</part>")))
+    return parts.groupBy("doc_id").agg(F.concat(F.lit("<score-partwise>"), joined("part_idx"), F.lit("</score-partwise>")).alias("text"))
+
+
+def event_order(raw: DataFrame) -> DataFrame:
+    """Number of each event in its part."""
+    return raw.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "part_idx").orderBy("measure_ord", "seq")))

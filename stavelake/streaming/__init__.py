@@ -12,8 +12,8 @@ from .. import functions as N
 
 def running_tally(events: DataFrame, by: str = "event_type", ts: str = "ts", late: str = "1 hour", width: str = "1 hour") -> DataFrame:
     """Counts in event-time windows; events later than `late` behind the newest one are left out."""
-    counts = events.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), by).agg(F.count("*").alias("n"))
-    return counts.select(F.col("w.start").alias("start"), by, "n")
+    counts = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), by).agg(F.count("*").alias("n"))
+    return counts.select(F.col("w.start").cast("timestamp_ntz").alias("start"), by, "n")
 
 
 def running_tally_batch(events: DataFrame) -> DataFrame:
