@@ -108,14 +108,43 @@ def clef_bounds(sign: Column | str) -> Column:
 
 
 def plain_values(divisions: int = TICKS) -> dict[int, tuple[str, int]]:
-    """Ticks of every written value with up to two dots, the fewest dots first."""
-    out: dict[int, tuple[str, int]] = {}
-    for dots in range(3):
-        for name, quarters in VALUES.items():
-            ticks = quarters * divisions * (2 - 0.5**dots)
-            if ticks == int(ticks):
-                out.setdefault(int(ticks), (name, dots))
-    return out
+    """Ticks of every written value with up to two dots that is whole; of equal lengths the one with fewer dots."""
+    lengths = [(divisions * VALUES[name] * factor, name, dots) for dots, factor in ((2, 1.75), (1, 1.5), (0, 1.0)) for name in VALUES]
+    return {int(ticks): (name, dots) for ticks, name, dots in lengths if ticks.is_integer()}
+
+
+def divisors(n: int) -> list[int]:
+    return [d for d in range(1, n + 1) if n % d == 0]
+
+
+def written_ratio(ticks: Column | str) -> Column:
+    """(type, dots, actual, normal) of any positive tick count: a plain value with the ratio that makes it exact.
+
+    The ratio with the smallest greater term wins, then the nearest value, then the shorter one; a plain count has 1:1.
+    """
+    t = _c(ticks).cast("int")
+    options = []
+    for value, (name, dots) in sorted(plain_values().items()):
+        common = F.array_max(F.filter(F.array(*map(F.lit, divisors(value))), lambda d: t % d == 0))
+        actual, normal = (F.lit(value) / common).cast("int"), (t / common).cast("int")
+        options.append(F.struct(F.greatest(actual, normal).alias("most"), F.abs(t - value).alias("off"), F.lit(value).alias("value"), F.lit(name).alias("type"), F.lit(dots).alias("dots"), actual.alias("actual"), normal.alias("normal")))
+    best = F.array_min(F.array(*options))
+    plain = F.struct(*[written_value(t)[k].alias(k) for k in ("type", "dots")], F.lit(1).alias("actual"), F.lit(1).alias("normal"))
+    return F.when(t > 0, F.when(written_value(t).isNotNull(), plain).otherwise(F.struct(*[best[k].alias(k) for k in ("type", "dots", "actual", "normal")])))
+
+
+def split_plain(ticks: Column | str, most: int = 12) -> Column:
+    """At most `most` plain lengths or whole multiples of a whole note, the largest that fits first; what is left over is not in them."""
+    whole = 4 * TICKS
+    lengths = F.array(*map(F.lit, sorted({*plain_values(), *range(whole, 9 * whole, whole)})))
+    start = F.struct(_c(ticks).cast("int").alias("left"), F.array().cast("array<int>").alias("out"))
+
+    def step(state: Column, _: Column) -> Column:
+        fit = F.array_max(F.filter(lengths, lambda v: v <= state["left"]))
+        more = F.struct((state["left"] - fit).alias("left"), F.concat(state["out"], F.array(fit)).alias("out"))
+        return F.when(fit.isNull(), state).otherwise(more)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step, lambda state: state["out"])
 
 
 def written_value(ticks: Column | str) -> Column:

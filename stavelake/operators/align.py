@@ -1,10 +1,13 @@
-"""Alignment of two ordered note lists, one Arrow group for each stream: the recurrence has no relational form."""
+"""Alignment of two ordered note lists, in Arrow batches of streams: the recurrence has no relational form."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Cells of the table above which a group is aligned by looking ahead, so its memory is bounded.
 MOST_CELLS = 1_500_000
@@ -48,16 +51,24 @@ def greedy_ops(a: list, b: list) -> list[tuple[str, int | None, int | None]]:
 
 
 def align(truth: DataFrame, pred: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:
-    """(keys, op, left, right): places in the two ordered lists of each key; a key of one side alone is all d or all i."""
+    """(keys, op, left, right): places in the two ordered lists of each key; a key of one side alone is all d or all i.
+
+    Each key's values travel as one array in order, so Python gets many keys in a batch.
+    """
     types = dict(truth.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", op string, left int, right int"
+    cols = list(dict.fromkeys([*order, value]))
+
+    def lists(df: DataFrame, name: str) -> DataFrame:
+        rows = F.array_sort(F.collect_list(F.struct(*cols)))
+        return df.groupBy(*keys).agg(F.transform(rows, lambda r: r[value].cast("string")).alias(name))
 
-    def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        ops = lcs_ops(a.sort_values(order)[value].tolist(), b.sort_values(order)[value].tolist())
-        out = pd.DataFrame(ops, columns=["op", "left", "right"]).astype({"left": "Int32", "right": "Int32"})
-        for i, k in enumerate(keys):
-            out.insert(i, k, key[i])
-        return out
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for *key, a, b in batch.itertuples(index=False, name=None):
+                out += [(*key, *op) for op in lcs_ops([] if a is None else list(a), [] if b is None else list(b))]
+            yield pd.DataFrame(out, columns=[*keys, "op", "left", "right"]).astype({"left": "Int32", "right": "Int32"})
 
-    cols = list(dict.fromkeys([*keys, value, *order]))
-    return truth.select(*cols).groupBy(*keys).cogroup(pred.select(*cols).groupBy(*keys)).applyInPandas(run, schema)
+    both = lists(truth, "truth_").join(lists(pred, "pred_"), keys, "full_outer").select(*keys, "truth_", "pred_")
+    return both.mapInPandas(run, schema)

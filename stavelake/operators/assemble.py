@@ -88,9 +88,9 @@ def phantom_bars(notes: DataFrame, measures: DataFrame) -> DataFrame:
     return rows.select("page", "measure", F.when(F.col("sounds") == 1, long(number)).alias("number"), (1 - F.col("sounds")).alias("phantom"))
 
 
-def join_pages(notes: DataFrame) -> DataFrame:
-    """Measures of all pages in one part: numbered through in page order."""
-    width = notes.groupBy("page").agg(F.max("measure").alias("width"))
-    # one row for each page: the running sum goes over the page list, not over notes
-    before = F.sum("width").over(Window.orderBy("page")) - F.col("width")
-    return notes.join(width.select("page", before.alias("before")), "page").select("event_id", "page", long(F.col("before") + F.col("measure")).alias("measure"))
+def join_pages(notes: DataFrame, book: str = "book") -> DataFrame:
+    """Measures of each book's pages in one part: numbered through in page order."""
+    width = notes.groupBy(book, "page").agg(F.max("measure").alias("width"))
+    before = F.sum("width").over(Window.partitionBy(book).orderBy("page")) - F.col("width")
+    at = width.select(book, "page", before.alias("before"))
+    return notes.join(at, [book, "page"]).select("event_id", book, "page", long(F.col("before") + F.col("measure")).alias("measure"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import functions as N
@@ -109,3 +109,41 @@ def ratio_runs(notes: DataFrame, ratio: str = "dur") -> DataFrame:
     new = F.coalesce((F.lag(ratio).over(w) != F.col(ratio)) | (F.lag(F.col("onset") + F.col("dur")).over(w) != F.col("onset")), F.lit(True))
     rows = notes.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(w))
     return rows.groupBy(*SK, "measure", "run").agg(F.min("onset").alias("start"), long(F.count("*")).alias("n"), F.min(ratio).alias("ratio"))
+
+
+def trim_overlaps(notes: DataFrame, measures: DataFrame) -> DataFrame:
+    """Notes of each voice's bar as one line in time: (SK, measure, event_id, onset, dur, touched).
+
+    In order of (onset, pitch, event_id) a note that starts inside the one before it starts at its end instead; notes at
+    one onset are a chord and stay. Notes are cut at the bar's end; with nothing left they go.
+    """
+    bar = N.bar_length("beats", "beat_type")
+    row = F.struct(F.col("onset").cast("long").alias("onset"), F.when(F.col("is_rest"), 0).otherwise(F.col("midi")).alias("pitch"), "event_id", F.col("dur").cast("long").alias("dur"))
+    lines = notes.join(measures.select("page", "measure", long(bar).alias("bar")), ["page", "measure"]).groupBy(*SK, "measure").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.max("bar").alias("bar"))
+    kept = "array<struct<event_id:bigint,onset:bigint,dur:bigint,touched:int>>"
+    state = F.struct(F.lit(0).cast("long").alias("end"), F.lit(-1).cast("long").alias("last"), F.array().cast(kept).alias("kept"))
+
+    def step(s: Column, r: Column) -> Column:
+        chord = r["onset"] == s["last"]
+        onset = F.when(chord, r["onset"]).otherwise(F.greatest(r["onset"], s["end"]))
+        end = F.least(r["onset"] + r["dur"], F.col("bar"))
+        touched = ((onset != r["onset"]) | (end != r["onset"] + r["dur"])).cast("int")
+        now = F.struct(r["event_id"].alias("event_id"), onset.alias("onset"), (end - onset).alias("dur"), touched.alias("touched"))
+        after = F.struct(end.alias("end"), onset.alias("last"), F.concat(s["kept"], F.array(now)).alias("kept"))
+        return F.when((end > onset) & (onset < F.col("bar")), after).otherwise(s)
+
+    done = lines.withColumn("kept", F.aggregate("rows", state, step, lambda s: s["kept"]))
+    return done.select(*SK, "measure", F.inline("kept"))
+
+
+def trim_losses(notes: DataFrame, measures: DataFrame) -> DataFrame:
+    """Per page: notes that `trim_overlaps` drops and those that it changes."""
+    kept = trim_overlaps(notes, measures).groupBy("page").agg(F.count("*").alias("kept"), F.sum("touched").alias("touched"))
+    all_ = notes.join(measures.select("page", "measure"), ["page", "measure"]).groupBy("page").agg(F.count("*").alias("n"))
+    none = F.lit(0)
+    return all_.join(kept, "page", "left").select("page", long(F.col("n") - F.coalesce("kept", none)).alias("dropped"), long(F.coalesce("touched", none)).alias("changed"))
+
+
+def clean_voices(notes: DataFrame, measures: DataFrame, slurs: DataFrame) -> DataFrame:
+    """Slurs (event_id, kind) paired across the notes that trimming leaves, in the order of their new onsets."""
+    return pair_slurs(trim_overlaps(notes, measures).join(slurs, "event_id"), SK, ["measure", "onset", "event_id"])

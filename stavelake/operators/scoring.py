@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .align import align
 from .audit import SK, long
 
 
@@ -75,3 +76,35 @@ def pitch_runs(frames: DataFrame, keys: list[str], order: list[str], least: int
     w = Window.partitionBy(*keys).orderBy(*order)
     rows = frames.withColumn("new", F.coalesce((F.col("midi") != F.lag("midi").over(w)).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(w))
     return rows.groupBy(*keys, "run").agg(F.min("midi").alias("midi"), long(F.count("*")).alias("n")).where(F.col("n") >= least)
+
+
+def score_notes(truth: DataFrame, pred: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Per key: notes of both, exact, wrong in duration, pitch or both, of the right letter only, missed and spurious.
+
+    Notes have (midi, letter, dur, is_rest). They are aligned by pitch; what stays loose is paired in order, and the rest
+    of the longer side is missed or spurious. Rests are aligned and never counted.
+    """
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+    value = F.when(F.col("is_rest"), "rest").otherwise(F.col("midi").cast("string"))
+    sides = {}
+    for name, df in (("left", truth), ("right", pred)):
+        sides[name] = df.select(*keys, "letter", "dur", "is_rest", value.alias("value"), place.alias("place"))
+    ops = align(sides["left"], sides["right"], keys, "value", ["place"])
+    t = sides["left"].select(*keys, F.col("place").alias("left"), F.col("letter").alias("t_letter"), F.col("dur").alias("t_dur"), F.col("is_rest").alias("t_rest"))
+    p = sides["right"].select(*keys, F.col("place").alias("right"), F.col("letter").alias("p_letter"), F.col("dur").alias("p_dur"), F.col("is_rest").alias("p_rest"))
+    rank = lambda by: F.row_number().over(Window.partitionBy(*keys).orderBy(by))
+    matched = ops.where("op = 'm'").join(t, [*keys, "left"]).join(p, [*keys, "right"]).where("not t_rest").withColumn("kind", F.when(F.col("t_dur") == F.col("p_dur"), "exact").otherwise("duration_wrong"))
+    lost = ops.where("op = 'd'").join(t, [*keys, "left"]).where("not t_rest").select(*keys, rank("left").alias("k"), "t_letter", "t_dur")
+    extra = ops.where("op = 'i'").join(p, [*keys, "right"]).where("not p_rest").select(*keys, rank("right").alias("k"), "p_letter", "p_dur")
+    kind = F.when(F.col("p_dur").isNull(), "missed").when(F.col("t_dur").isNull(), "spurious").when(F.col("t_dur") == F.col("p_dur"), "pitch_wrong").otherwise("both_wrong")
+    loose = lost.join(extra, [*keys, "k"], "full_outer").withColumn("kind", kind)
+    rows = matched.select(*keys, "kind", F.lit(0).alias("letter")).union(loose.select(*keys, "kind", ((F.col("kind") == "pitch_wrong") & (F.col("t_letter") == F.col("p_letter"))).cast("int").alias("letter")))
+    n = lambda *kinds: long(F.sum(F.col("kind").isin(*kinds).cast("int")))
+    both = ("exact", "duration_wrong", "pitch_wrong", "both_wrong")
+    return rows.groupBy(*keys).agg(n(*both, "missed").alias("truth_notes"), n(*both, "spurious").alias("pred_notes"), *[n(k).alias(k) for k in (*both, "missed", "spurious")], long(F.sum("letter")).alias("letter_only"))
+
+
+def case_rows(scores: DataFrame, cases: DataFrame, key: str) -> DataFrame:
+    """One row for each labelled case with its counts; a case without a score has zeros."""
+    counts = [c for c in scores.columns if c != key]
+    return cases.join(scores, key, "left").na.fill(0, counts)

@@ -82,7 +82,31 @@ def bar_fit(raw: DataFrame) -> DataFrame:
     return _found(rows.where("after > bar"), "bar_overflow", F.col("after")).union(_found(rows.where("after < bar"), "bar_short", F.col("after")))
 
 
-CHECKS = [parse_errors, no_notes, bare_notes, slur_balance, missing_context, late_attributes, undeclared_staff, backup_overshoot, bar_fit]
+# The order of children that MusicXML gives.
+CHILDREN = {
+    "note": "grace cue chord pitch unpitched rest duration tie instrument footnote level voice type dot accidental time-modification stem notehead notehead-text staff beam notations lyric play listen",
+    "attributes": "footnote level divisions key time staves part-symbol instruments clef staff-details transpose directive measure-style",
+}
+
+
+def undeclared_parts(raw: DataFrame) -> DataFrame:
+    """Parts with a body that the part list does not have."""
+    n = raw.where("not declared").groupBy("doc_id", "part_idx").agg(F.min("measure_ord").alias("measure_ord"), F.min("part_id").alias("part_id"))
+    return _found(n, "undeclared_part", F.col("part_id"))
+
+
+def child_order(raw: DataFrame) -> DataFrame:
+    """Notes and attributes whose known children are out of order; a cue, grace or chord mark may come in any order of these."""
+    out = None
+    for tag, names in CHILDREN.items():
+        table = {name: max(i - 2, 0) if tag == "note" else i for i, name in enumerate(names.split())}
+        ranks = F.filter(F.transform("children", lambda c: N.lookup(table, c)), lambda r: r.isNotNull())  # noqa: B023
+        bad = _found(raw.where(F.col("tag") == tag).where(ranks != F.array_sort(ranks)), "child_order", F.col("seq"))
+        out = bad if out is None else out.union(bad)
+    return out
+
+
+CHECKS = [parse_errors, no_notes, bare_notes, slur_balance, missing_context, late_attributes, undeclared_staff, backup_overshoot, bar_fit, undeclared_parts, child_order]
 
 
 def validate(raw: DataFrame, checks=CHECKS) -> DataFrame:

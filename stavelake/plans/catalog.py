@@ -2,28 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions as N
 from ..operators import assemble, audit, meter, normalise, pattern, reconcile, scoring
 from ..streaming import running_tally_batch, sample_trace
-from .views import view, with_views
+from . import layouts, parts  # noqa: F401  (they register theirs)
+from .registry import ORACLES, QUERIES, add  # noqa: F401
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 SK = "page, staff, voice"
 
-
-def add(name: str, tables: str, make: Callable[..., DataFrame], sql: str | None) -> None:
-    """Register make(*tables) and its SQL, which may use all views."""
-    QUERIES[name] = lambda spark, sf_dir: make(*[view(spark, sf_dir, t) for t in tables.split()])
-    if sql:
-        ORACLES[name] = with_views(sql)
-
-
 BAR = "cast(floor(beats * 96 / beat_type) as bigint)"
 TOTALS = f"""t as (select {SK}, measure, cast(sum(case when is_chord then 0 else dur end) as bigint) as total,
   cast(sum(case when is_rest then 0 else 1 end) as bigint) as pitched from notes_v group by {SK}, measure)"""
@@ -166,7 +154,7 @@ add("asm_missing_pages", "measures_v notes_v", lambda m, n: assemble.missing_pag
 add("asm_boundaries", "measures_v", assemble.measure_boundaries, "with n as (select page, system, count(*) as n from measures_v group by page, system) select page, system, cast(sum(n) over w - n + 1 as bigint) as first, cast(sum(n) over w as bigint) as last from n window w as (partition by page order by system)")
 add("asm_page_counts", "notes_v", assemble.page_counts, "with n as (select page, staff, count(*) as notes, cast(sum((not is_rest)::int) as bigint) as pitched from notes_v group by page, staff), r as (select *, count(*) over (partition by page) as size, row_number() over (partition by page order by staff) - 1 as depth from n) select page, staff, case when size = 2 then case depth when 0 then 'piano-treble' else 'piano-bass' end else 'staff-' || depth end as role, notes, pitched from r")
 add("asm_phantom_bars", "notes_v measures_v", assemble.phantom_bars, "with s as (select m.page, m.measure, (exists (select 1 from notes_v n where not is_rest and n.page = m.page and n.measure = m.measure))::int as sounds from measures_v m) select page, measure, case when sounds = 1 then cast(sum(sounds) over (partition by page order by measure) as bigint) end as number, 1 - sounds as phantom from s")
-add("asm_join_pages", "notes_v", assemble.join_pages, "with w as (select page, max(measure) as width from notes_v group by page), b as (select page, sum(width) over (order by page) - width as before from w) select event_id, page, cast(before + measure as bigint) as measure from notes_v join b using (page)")
+add("asm_join_pages", "notes_v", lambda n: assemble.join_pages(n.withColumn("book", F.floor(F.col("page") / 16).cast("int"))), "with w as (select page // 16 as book, page, max(measure) as width from notes_v group by page), b as (select book, page, sum(width) over (partition by book order by page) - width as before from w) select event_id, cast(book as int) as book, page, cast(before + measure as bigint) as measure from notes_v join b using (page)")
 
 # patterns
 SIGS = """me as (select page, system, arg_min(beats || '/' || beat_type, measure) as meter from measures_v group by page, system),

@@ -26,8 +26,15 @@ union all select 'B', event_id, page, staff, voice, measure, onset, dur, is_rest
   midi + case when event_id % 13 = 0 then 1 else 0 end from {notes_v} where event_id % 11 <> 0""",
     "layout_v": """select page, system, cast(count(distinct staff) as int) as n_staves_read, 2 as n_staves_detected
 from {notes_v} where not is_rest group by page, system""",
+    "staves_v": """select page, system, row_ as staff, case when row_ = 1 or (page + system) % 3 = 0 then null else 1 end as brace,
+  case when row_ in (2, 4) and (page + system) % 4 <> 0 then 'F' else 'G' end as sign, case when row_ in (2, 4) and (page + system) % 4 <> 0 then 4 else 2 end as line
+from (select distinct page, system, (staff - 1) * 2 + voice as row_ from {notes_v}) s""",
+    "fragments_v": """select event_id, page, system, (staff - 1) * 2 + voice as staff, measure - (system - 1) * 5 as measure, onset, dur, is_rest, midi from {notes_v}""",
+    "lines_v": """select page, cast(y as double) as y, min(x0) as x0, max(x1) as x1, 2 as th
+from (select page, system * 400 + (staff - 1) * 100 + event_id % 5 * 10 as y, onset as x0, 900 + dur as x1 from {notes_v}) l group by page, y""",
+    "rules_v": """select distinct page, 20 + onset as x, cast(system * 400 as double) as top, cast(system * 400 + case when dur > 48 then 140 else 40 end as double) as bottom from {notes_v} where dur > 36""",
 }
-NEEDS = {"notes_v": ["events"], "measures_v": ["notes_v"], "clefs_v": ["notes_v", "measures_v"], "runs_v": ["notes_v"], "layout_v": ["notes_v"]}
+NEEDS = {"notes_v": ["events"], "measures_v": ["notes_v"], "clefs_v": ["notes_v", "measures_v"], "runs_v": ["notes_v"], "layout_v": ["notes_v"], "staves_v": ["notes_v"], "fragments_v": ["notes_v"], "lines_v": ["notes_v"], "rules_v": ["notes_v"]}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 EVENT = """doc_id string, part_idx int, part_id string, part_name string, measure_ord int, measure_label string, seq int, tag string,
 duration_raw int, type string, dots int, is_chord boolean, is_rest boolean, staff int, voice int, step string, alter_raw string, octave int,
 tie string, slur string, tup_actual int, tup_normal int, divisions int, beats int, beat_type int, fifths int, staves int,
-clefs array<struct<staff:int,sign:string,line:int>>, error string"""
+clefs array<struct<staff:int,sign:string,line:int>>, error string, declared boolean, children array<string>"""
 CLEFS = pa.list_(pa.struct([("staff", pa.int32()), ("sign", pa.string()), ("line", pa.int32())]))
 KINDS = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
-ARROW = pa.schema([(n, KINDS.get(kind, CLEFS)) for n, kind in (c.split() for c in EVENT.replace("\n", " ").split(", "))])
+ARROW = pa.schema([(n, pa.list_(pa.string()) if n == "children" else KINDS.get(kind, CLEFS)) for n, kind in (c.split() for c in EVENT.replace("\n", " ").split(", "))])
 
 
 def _int(node: ET.Element | None, path: str) -> int | None:
@@ -52,7 +52,7 @@ def shred(doc_id: str, content: bytes) -> list[dict]:
     for i, part in enumerate(root.findall("part")):
         for k, measure in enumerate(part.findall("measure")):
             for seq, e in enumerate(measure):
-                out.append({"doc_id": doc_id, "part_idx": i, "part_id": part.get("id"), "part_name": names.get(part.get("id")) or f"Staff {i + 1}", "measure_ord": k, "measure_label": measure.get("number"), "seq": seq, "tag": e.tag} | _row(e.tag, e))
+                out.append({"doc_id": doc_id, "part_idx": i, "part_id": part.get("id"), "part_name": names.get(part.get("id")) or f"Staff {i + 1}", "measure_ord": k, "measure_label": measure.get("number"), "seq": seq, "tag": e.tag, "declared": part.get("id") in names, "children": [c.tag for c in e] if e.tag in ("note", "attributes") else None} | _row(e.tag, e))
     return out
 
 

@@ -7,7 +7,7 @@ HEAD = "<attributes><divisions>1</divisions><time><beats>4</beats><beat-type>4</
 
 
 def doc(*measures):
-    return "<score-partwise><part-list/><part id='P1'>" + "".join(f"<measure number='{i + 1}'>{m}</measure>" for i, m in enumerate(measures)) + "</part></score-partwise>"
+    return "<score-partwise><part-list><score-part id='P1'/></part-list><part id='P1'>" + "".join(f"<measure number='{i + 1}'>{m}</measure>" for i, m in enumerate(measures)) + "</part></score-partwise>"
 
 
 def note(duration, extra=""):
@@ -25,6 +25,8 @@ def test_checks_on_small_scores(spark, tmp_path):
         "bare": doc(HEAD + "<note><duration>4</duration></note>"),
         "tuplet": doc(HEAD + note(4, "<time-modification><actual-notes>3</actual-notes><normal-notes>2</normal-notes></time-modification>")),
         "slur": doc(HEAD + note(4, "<notations><slur type='start'/></notations>")),
+        "stray": doc(HEAD + note(4)).replace("<part id='P1'>", "<part id='P2'>"),
+        "order": doc(HEAD + "<note><duration>4</duration><pitch><step>C</step><octave>4</octave></pitch></note>"),
         "broken": "<score",
         "empty": doc(HEAD),
     }
@@ -37,7 +39,7 @@ def test_checks_on_small_scores(spark, tmp_path):
         got.setdefault(r.doc_id, Counter())[r.check] += 1
     assert {k: set(v) for k, v in got.items()} == {
         "short": {"bar_short", "bar_overflow"}, "late": {"missing_context", "late_attributes"}, "staff": {"undeclared_staff"}, "back": {"backup_overshoot"},
-        "bare": {"bare_note"}, "tuplet": {"untyped_tuplet"}, "slur": {"slur_balance"}, "broken": {"parse_error"}, "empty": {"no_notes", "bar_short"},
+        "bare": {"bare_note"}, "tuplet": {"untyped_tuplet"}, "slur": {"slur_balance"}, "broken": {"parse_error"}, "empty": {"no_notes", "bar_short"}, "stray": {"undeclared_part"}, "order": {"child_order"},
     }
-    assert tuple(V.validity_rate(found, raw).first()) == (11, 9, 2)
+    assert tuple(V.validity_rate(found, raw).first()) == (13, 11, 2)
     assert V.collapse(found).count() <= found.count()
