@@ -191,3 +191,40 @@ def pair_staves(scan: DataFrame, render: DataFrame) -> DataFrame:
     """(page, system, depth, staff, r_staff): staves of both paired from the bottom of each system."""
     depth = F.row_number().over(Window.partitionBy("page", "system").orderBy(F.desc("staff"))) - 1
     return scan.withColumn("depth", depth).join(render.withColumn("depth", depth).withColumnRenamed("staff", "r_staff"), ["page", "system", "depth"]).select("page", "system", "depth", "staff", "r_staff")
+
+
+def page_features(images: DataFrame, dark: int = 128, share: float = 0.1, gap: int = 6) -> DataFrame:
+    """(origin, ink, shares, bands, colour) of page images, from Spark's image source.
+
+    `ink` is the share of dark pixels, `shares` that of each of 3 x 3 fields in reading order, `bands` counts runs of rows
+    with more than `share` dark pixels, where a break of at most `gap` rows ends none, and `colour` is the share of pixels
+    whose channels differ by over a tenth of their range. An image that Spark could not read has nulls.
+    """
+    schema = "origin string, ink double, shares array<double>, bands int, colour double"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(o, *pixel_features(d, h, w, c, dark, share, gap)) for o, h, w, c, d in batch.itertuples(index=False, name=None)]
+            yield pd.DataFrame(rows, columns=["origin", "ink", "shares", "bands", "colour"]).astype({"bands": "Int32"})
+
+    return images.select("origin", "height", "width", "nChannels", "data").mapInPandas(run, schema)
+
+
+def pixel_features(data: bytes, height: int, width: int, channels: int, dark: int, share: float, gap: int) -> tuple:
+    if height <= 0 or width <= 0:
+        return None, None, None, None
+    pixels = np.frombuffer(data, np.uint8).reshape(height, width, channels)[:, :, :3]
+    grey = pixels.astype(float) @ ([0.114, 0.587, 0.299] if channels >= 3 else [1.0])
+    ink = grey < dark
+    shares = [float(field.mean()) if field.size else 0.0 for third in np.array_split(ink, 3) for field in np.array_split(third, 3, axis=1)]
+    rows = np.flatnonzero(ink.mean(1) > share)
+    bands = int((np.diff(rows) > gap + 1).sum()) + 1 if len(rows) else 0
+    return float(ink.mean()), shares, bands, float((np.ptp(pixels, axis=2) > 25).mean())
+
+
+def page_gate(features: DataFrame, graphic: float = 0.05, colour: float = 0.2, least_bands: int = 5, most_ink: float = 0.35) -> DataFrame:
+    """Features with a verdict: graphic (by `graphic_share` where it is given), photo, music, thin (fewer bands than a staff has), or other."""
+    pictured = F.col("graphic_share") >= graphic if "graphic_share" in features.columns else F.lit(False)
+    music = (F.col("bands") >= least_bands) & (F.col("ink") <= most_ink)
+    verdict = F.when(F.col("ink").isNull(), "other").when(pictured, "graphic").when(F.col("colour") >= colour, "photo").when(music, "music").when((F.col("bands") > 0) & (F.col("ink") <= most_ink), "thin").otherwise("other")
+    return features.withColumn("verdict", verdict)

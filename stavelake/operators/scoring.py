@@ -94,10 +94,10 @@ def score_notes(truth: DataFrame, pred: DataFrame, keys: list[str], order: list[
     p = sides["right"].select(*keys, F.col("place").alias("right"), F.col("letter").alias("p_letter"), F.col("dur").alias("p_dur"), F.col("is_rest").alias("p_rest"))
     rank = lambda by: F.row_number().over(Window.partitionBy(*keys).orderBy(by))
     matched = ops.where("op = 'm'").join(t, [*keys, "left"]).join(p, [*keys, "right"]).where("not t_rest").withColumn("kind", F.when(F.col("t_dur") == F.col("p_dur"), "exact").otherwise("duration_wrong"))
-    lost = ops.where("op = 'd'").join(t, [*keys, "left"]).where("not t_rest").select(*keys, rank("left").alias("k"), "t_letter", "t_dur")
-    extra = ops.where("op = 'i'").join(p, [*keys, "right"]).where("not p_rest").select(*keys, rank("right").alias("k"), "p_letter", "p_dur")
+    lost = ops.where("op = 'd'").join(t, [*keys, "left"]).where("not t_rest").select(*keys, rank("left").alias("nth_loose"), "t_letter", "t_dur")
+    extra = ops.where("op = 'i'").join(p, [*keys, "right"]).where("not p_rest").select(*keys, rank("right").alias("nth_loose"), "p_letter", "p_dur")
     kind = F.when(F.col("p_dur").isNull(), "missed").when(F.col("t_dur").isNull(), "spurious").when(F.col("t_dur") == F.col("p_dur"), "pitch_wrong").otherwise("both_wrong")
-    loose = lost.join(extra, [*keys, "k"], "full_outer").withColumn("kind", kind)
+    loose = lost.join(extra, [*keys, "nth_loose"], "full_outer").withColumn("kind", kind)
     rows = matched.select(*keys, "kind", F.lit(0).alias("letter")).union(loose.select(*keys, "kind", ((F.col("kind") == "pitch_wrong") & (F.col("t_letter") == F.col("p_letter"))).cast("int").alias("letter")))
     n = lambda *kinds: long(F.sum(F.col("kind").isin(*kinds).cast("int")))
     both = ("exact", "duration_wrong", "pitch_wrong", "both_wrong")
