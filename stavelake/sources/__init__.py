@@ -56,16 +56,26 @@ def shred(doc_id: str, content: bytes) -> list[dict]:
     return out
 
 
-def read_scores(spark: SparkSession, path: str) -> DataFrame:
-    """Raw events of all MusicXML files under a path, in document order within each measure."""
+def _shredded(rows: DataFrame, stem: bool) -> DataFrame:
+    """Raw events of (name, content) rows; `stem` takes the document's name from a path."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
-                yield from pa.Table.from_pylist(shred(doc.rsplit("/", 1)[-1].rsplit(".", 1)[0], content), schema=ARROW).to_batches()
+            for doc, content in zip(b.column("name").to_pylist(), b.column("content").to_pylist()):
+                yield from pa.Table.from_pylist(shred(doc.rsplit("/", 1)[-1].rsplit(".", 1)[0] if stem else doc, content), schema=ARROW).to_batches()
+
+    return rows.mapInArrow(run, EVENT)
+
+
+def read_scores(spark: SparkSession, path: str) -> DataFrame:
+    """Raw events of all MusicXML files under a path, in document order within each measure."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return _shredded(files.select(F.col("path").alias("name"), "content"), True)
+
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return files.mapInArrow(run, EVENT)
+def shred_texts(texts: DataFrame) -> DataFrame:
+    """Raw events of MusicXML texts in rows of (doc_id, text)."""
+    return _shredded(texts.select(F.col("doc_id").cast("string").alias("name"), F.col("text").cast("binary").alias("content")), False)
 
 
 def read_manifest(spark: SparkSession, path: str, status: str = "ok") -> DataFrame:
@@ -153,17 +163,6 @@ def join_gate(manifest: DataFrame, allow_partial: bool = False) -> DataFrame:
     return manifest.where("status = 'ok'")
 
 
-def score_texts(notes: DataFrame) -> DataFrame:
-    """One text for each document, part by part and measure by measure, from rows of notes."""
-    pitch = F.when(F.col("is_rest"), "<rest/>").otherwise(F.concat(F.lit("<pitch><step>"), "step", F.lit("</step><alter>"), F.col("alter").cast("string"), F.lit("</alter><octave>"), F.col("octave").cast("string"), F.lit("</octave></pitch>")))
-    note = F.concat(F.lit("<note>"), pitch, F.lit("<duration>"), F.col("dur").cast("string"), F.lit("</duration><voice>"), F.col("voice").cast("string"), F.lit("</voice></note>"))
-    bars = notes.groupBy("doc_id", "part_idx", "measure").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("onset", "seq", note.alias("x")))), lambda r: r.x), "").alias("x"))
-    bars = bars.withColumn("x", F.concat(F.lit('<measure number="'), F.col("measure").cast("string"), F.lit('">'), "x", F.lit("</measure>")))
-    joined = lambda by: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, "x"))), lambda r: r.x), "")
-    parts = bars.groupBy("doc_id", "part_idx").agg(joined("measure").alias("x")).withColumn("x", F.concat(F.lit('<part id="P'), (F.col("part_idx") + 1).cast("string"), F.lit('">'), "x", F.lit("</part>")))
-    return parts.groupBy("doc_id").agg(F.concat(F.lit("<score-partwise>"), joined("part_idx"), F.lit("</score-partwise>")).alias("text"))
-
-
 def event_order(raw: DataFrame) -> DataFrame:
     """Number of each event in its part."""
     return raw.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "part_idx").orderBy("measure_ord", "seq")))
