@@ -84,15 +84,17 @@ def group_systems(staves: DataFrame, spacing: DataFrame, max_gap: float = 7, min
     return rows.select("page", "staff", long(F.sum("new").over(down("y_top"))).alias("system"))
 
 
-def linked_systems(staves: DataFrame, rules: DataFrame, edge: float = 12) -> DataFrame:
+def linked_systems(staves: DataFrame, rules: DataFrame, edge: float = 12, edges: DataFrame | None = None) -> DataFrame:
     """(page, staff, system) by vertical rules: a rule that spans two neighbours' centres links them.
 
-    A rule covers a contiguous run of staves, so the components are runs of linked neighbours. Rules outside the
-    staves' width by `edge` or more are page borders and link nothing.
+    A rule covers a contiguous run of staves, so the components are runs of linked neighbours. Rules at or outside a
+    page's edges are page borders and link nothing: those of `edges` (page, left, right), which has to name every page
+    whose rules count, or else the staves' width and `edge` more on either side.
     """
     rows = staves.withColumn("below", F.lead("y_center").over(down("y_top")))
-    width = staves.groupBy("page").agg(F.min("x0").alias("left"), F.max("x1").alias("right"))
-    inner = rules.join(width, "page").where((F.col("x") > F.col("left") - edge) & (F.col("x") < F.col("right") + edge)).select("page", "top", "bottom").distinct()
+    if edges is None:
+        edges = staves.groupBy("page").agg((F.min("x0") - edge).alias("left"), (F.max("x1") + edge).alias("right"))
+    inner = rules.join(edges.select("page", "left", "right"), "page").where("x > left and x < right").select("page", "top", "bottom").distinct()
     links = rows.select("page", "staff", "y_center", "below").join(inner, "page").where("top <= y_center and bottom >= below").select("page", (F.col("staff") + 1).alias("staff")).distinct()
     joined = staves.join(links.withColumn("linked", F.lit(1)), ["page", "staff"], "left")
     return joined.select("page", "staff", long(F.sum(1 - F.coalesce("linked", F.lit(0))).over(Window.partitionBy("page").orderBy("staff"))).alias("system"))

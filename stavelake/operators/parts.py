@@ -127,6 +127,50 @@ def bottom_grid(fragments: DataFrame, staves: DataFrame) -> DataFrame:
     return both.select("event_id", "page", "row", long(F.col("measure") + F.col("offset")).alias("measure"))
 
 
+def grid_rows(staves: DataFrame) -> DataFrame:
+    """(page, from_bottom, part, staff): the rows of each page's grid. The rows of the widest brace, from the bottom, are
+    one part A1, whose staff 1 is on top; each row above is a part S1, S2, .. of its own. A page of several parts whose
+    systems are all as tall as that brace gets one row more for the singer.
+    """
+    groups = brace_groups(staves)
+    brace = groups.groupBy("page").agg(F.max("size").alias("accomp"), F.countDistinct("braced", "ordinal").alias("parts"))
+    tall = staves.groupBy("page", "system").agg(F.count("*").alias("n")).groupBy("page").agg(F.max("n").alias("tallest"))
+    shape = brace.join(tall, "page").withColumn("total", F.col("tallest") + ((F.col("parts") > 1) & (F.col("tallest") == F.col("accomp"))).cast("int"))
+    rows = shape.select("page", "accomp", "total", F.explode(F.sequence(F.lit(0), (F.col("total") - 1).cast("int"))).alias("from_bottom"))
+    low = F.col("from_bottom") < F.col("accomp")
+    part = F.when(low, "A1").otherwise(F.concat(F.lit("S"), (F.col("total") - F.col("from_bottom")).cast("string")))
+    return rows.select("page", "from_bottom", part.alias("part"), long(F.when(low, F.col("accomp") - F.col("from_bottom")).otherwise(1)).alias("staff"))
+
+
+def _from_bottom(staves: DataFrame) -> DataFrame:
+    return staves.withColumn("from_bottom", F.row_number().over(in_system(F.desc("staff"))) - 1)
+
+
+def page_grid(fragments: DataFrame, staves: DataFrame) -> DataFrame:
+    """(event_id, page, part, staff, measure): the notes of all systems on the page's grid, aligned at the bottom."""
+    at = _from_bottom(staves).select("page", "system", F.col("staff").alias("old"), "from_bottom").join(grid_rows(staves), ["page", "from_bottom"])
+    notes = fragments.withColumnRenamed("staff", "old").join(at, ["page", "system", "old"]).join(fragment_offsets(fragments), ["page", "system"])
+    return notes.select("event_id", "page", "part", "staff", long(F.col("measure") + F.col("offset")).alias("measure"))
+
+
+def grid_clefs(fragments: DataFrame, staves: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """(page, part, staff, measure, sign, line): the clef that each grid row opens with, and the measures where it changes.
+
+    The first system that prints a row gives its opening clef; a row that no system prints opens with G2. A clef of
+    `overrides` (page, from_bottom, sign, line) holds for the whole row.
+    """
+    read = _from_bottom(staves).join(fragment_offsets(fragments), ["page", "system"]).select("page", "from_bottom", "sign", "line", (F.col("offset") + 1).alias("measure"))
+    w = Window.partitionBy("page", "from_bottom").orderBy("measure")
+    clef = F.struct("sign", "line")
+    turns = read.withColumns({"nth": F.row_number().over(w), "same": F.lag(clef).over(w) == clef}).where("nth = 1 or not same")
+    turns = turns.withColumn("measure", F.when(F.col("nth") == 1, 1).otherwise(F.col("measure"))).select("page", "from_bottom", "measure", "sign", "line")
+    if overrides is not None:
+        forced = overrides.select("page", "from_bottom", long(F.lit(1)).alias("measure"), "sign", "line")
+        turns = turns.join(forced, ["page", "from_bottom"], "left_anti").unionByName(forced)
+    rows = grid_rows(staves).join(turns, ["page", "from_bottom"], "left")
+    return rows.select("page", "part", "staff", long(F.coalesce("measure", F.lit(1))).alias("measure"), F.coalesce("sign", F.lit("G")).alias("sign"), F.coalesce("line", F.lit(2)).alias("line"))
+
+
 def merge_fragments(fragments: DataFrame) -> DataFrame:
     """Part ids of a system's fragments renumbered P1 to Pn in order of fragment and part: (page, system, staff, part_id)."""
     own = fragments.select("page", "system", "staff").distinct()
@@ -170,3 +214,27 @@ def assembly_report(fragments: DataFrame, staves: DataFrame) -> DataFrame:
     at = fragments.join(staves.select("page", "system", "staff", F.lit(1).alias("at")), ["page", "system", "staff"], "left")
     n = at.groupBy("page").agg(long(F.count("at")).alias("placed"), long(F.count("*") - F.count("at")).alias("lost"))
     return n.join(groups, "page", "left")
+
+
+def corpus_report(fragments: DataFrame, staves: DataFrame, measures: DataFrame, bars: DataFrame | None = None) -> DataFrame:
+    """(page, status, roles, warnings, clamped, problems): one row for each page with staves.
+
+    status: `fail` where a brace is broken or no note has a staff, else `invariant` where an invariant of the assembled
+    page fails, else `ok`. roles: names of its parts; warnings: systems with a role of their own; clamped: notes that
+    cross a barline; problems: the first two invariants that fail. `bars` stands for the measures that were written, in
+    the form of `part_bars`, which are taken where none are given.
+    """
+    own = assemble_parts(fragments, staves)
+    bad = invariants(own, part_bars(own, staves) if bars is None else bars).groupBy("page").agg(F.concat_ws("; ", F.slice(F.array_sort(F.collect_set("problem")), 1, 2)).alias("problems"))
+    bar = measures.select("page", "measure", N.bar_length("beats", "beat_type").alias("bar"))
+    cut = own.join(bar, ["page", "measure"]).where("onset + dur > bar").groupBy("page").agg(F.count("*").alias("clamped"))
+    warned = role_levels(staves).where("level = 'warning'").groupBy("page").agg(F.count("*").alias("warnings"))
+    roles = part_order(staves).groupBy("page").agg(F.concat_ws(",", F.array_sort(F.collect_set("name"))).alias("roles"))
+    broken = brace_groups(staves).groupBy("page").agg(F.sum(1 - F.col("contiguous")).alias("broken"))
+    placed = own.groupBy("page").agg(F.count("*").alias("placed"))
+    rows = roles.join(broken, "page")
+    for df in (bad, cut, warned, placed):
+        rows = rows.join(df, "page", "left")
+    none = F.lit(0)
+    status = F.when((F.col("broken") > 0) | F.col("placed").isNull(), "fail").when(F.col("problems").isNotNull(), "invariant").otherwise("ok")
+    return rows.select("page", status.alias("status"), "roles", long(F.coalesce("warnings", none)).alias("warnings"), long(F.coalesce("clamped", none)).alias("clamped"), F.coalesce("problems", F.lit("")).alias("problems"))

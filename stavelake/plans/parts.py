@@ -54,6 +54,20 @@ select n.page, placed, lost, systems, parts, broken from n left join (select pag
 add("part_invariants", "fragments_v staves_v", lambda f, s: parts.invariants(part_rows(f, s), parts.part_bars(part_rows(f, s), s).where("measure <= 20 or braced = 0")), f"""with {PARTS}, {ORDER}, {BARS}, b as (select * from ba where measure <= 20 or braced = 0), w as (select page, braced, ordinal, max(measure) as width from b group by all)
 select page, 'width' as problem, count(distinct width) as n from w group by page having count(distinct width) > 1
 union all select page, 'lost', count(*) from pa where braced = 1 and measure > 20 group by page""")
+GRID = f"""{GROUPS}, sh as (select *, tallest + (parts > 1 and tallest = accomp)::int as total from (select page, max(size) as accomp, count(distinct braced * 1000 + ordinal) as parts from bg group by page) join (select page, max(n) as tallest from (select page, system, count(*) as n from staves_v group by page, system) group by page) using (page)),
+gw as (select page, from_bottom, case when from_bottom < accomp then 'A1' else 'S' || (total - from_bottom) end as part, cast(case when from_bottom < accomp then accomp - from_bottom else 1 end as bigint) as staff from (select *, unnest(generate_series(0, total - 1)) as from_bottom from sh)),
+fb as (select *, row_number() over (partition by page, system order by staff desc) - 1 as from_bottom from staves_v), {WIDTH}"""
+add("part_page_grid", "fragments_v staves_v", parts.page_grid, f"with {GRID} select event_id, f.page, part, gw.staff, cast(measure + before as bigint) as measure from fragments_v f join fb using (page, system, staff) join gw on gw.page = f.page and gw.from_bottom = fb.from_bottom join wi on wi.page = f.page and wi.system = f.system")
+FORCED = lambda s: s.where("page % 3 = 0").select("page", F.lit(0).alias("from_bottom"), F.lit("F").alias("sign"), F.lit(4).alias("line")).distinct()
+add("part_grid_clefs", "fragments_v staves_v", lambda f, s: parts.grid_clefs(f, s, FORCED(s)), f"""with {GRID}, rd as (select *, row_number() over w as nth, lag(sign || line) over w = sign || line as same from (select page, from_bottom, sign, line, before + 1 as measure from fb join wi using (page, system)) window w as (partition by page, from_bottom order by measure)),
+tu as (select page, from_bottom, case when nth = 1 then 1 else measure end as measure, sign, line from rd where (nth = 1 or not same) and not (page % 3 = 0 and from_bottom = 0) union all select distinct page, 0, 1, 'F', 4 from staves_v where page % 3 = 0)
+select page, part, staff, cast(coalesce(measure, 1) as bigint) as measure, coalesce(sign, 'G') as sign, coalesce(line, 2) as line from gw left join tu using (page, from_bottom)""")
+LEVELS = f"""{ROLE}, al as (select distinct page, role from ro where (page, size) in (select page, max(size) from ro group by page)), wa as (select page, count(*) as warnings from (select distinct page, system from ro where (page, role) not in (select page, role from al)) group by page)"""
+add("part_corpus_report", "fragments_v staves_v measures_v", lambda f, s, m: parts.corpus_report(f, s, m, parts.part_bars(part_rows(f, s), s).where("measure <= 20 or braced = 0 or page % 2 = 0")), f"""with {PARTS}, {ORDER}, {BARS}, {LEVELS}, b as (select * from ba where measure <= 20 or braced = 0 or page % 2 = 0), w as (select page, braced, ordinal, max(measure) as width from b group by all),
+pr as (select page, array_to_string(list_sort(list(problem))[1:2], '; ') as problems from (select page, 'width' as problem from w group by page having count(distinct width) > 1 union select page, 'lost' from pa where braced = 1 and measure > 20 and page % 2 = 1) group by page),
+cl as (select page, count(*) as clamped from (select pa.page, f.onset + f.dur > floor(beats * 96 / beat_type) as over from pa join fragments_v f using (event_id) join measures_v m on m.page = pa.page and m.measure = pa.measure) where over group by page),
+br as (select page, max((last - first + 1 <> size)::int) as broken from bg group by page), nm as (select page, array_to_string(list_sort(list(distinct name)), ',') as roles from po group by page)
+select page, case when broken = 1 then 'fail' when problems is not null then 'invariant' else 'ok' end as status, roles, coalesce(warnings, 0) as warnings, coalesce(clamped, 0) as clamped, coalesce(problems, '') as problems from nm join br using (page) left join pr using (page) left join cl using (page) left join wa using (page)""")
 SONGS = lambda m: m.select("page").distinct().select(F.concat(F.lit("Song "), F.floor(F.col("page") / 4).cast("string")).alias("title"), (-F.col("page")).alias("place"), "page")
 add("part_stitch", "fragments_v staves_v measures_v", lambda f, s, m: parts.stitch(parts.named(part_rows(f, s), s), SONGS(m), m), f"""with {PARTS}, {ORDER}, so as (select distinct 'Song ' || page // 4 as title, page from measures_v), wh as (select title, page, sum(w) over (partition by title order by page desc) - w as before from so join (select page, max(measure) as w from measures_v group by page) using (page)),
 nm as (select distinct title, name from pa join po using (page, braced, ordinal) join so using (page)), c as (select page, name, measure, count(*) as n from pa join po using (page, braced, ordinal) where not is_rest group by all)
