@@ -188,6 +188,7 @@ add("score_position_shift", "runs_v", lambda r: scoring.position_shift(A(r).wher
 s as (select a.page, b.midi - a.midi as shift, cast(sum(least(x, y)) as bigint) as support from a join b on a.page = b.page and b.midi - a.midi between -14 and 14 group by all)
 select page, cast(shift as int) as shift, support from s qualify row_number() over (partition by page order by support desc, shift) = 1""")
 add("score_feature_outliers", "notes_v", lambda n: scoring.feature_outliers(n.groupBy("page").agg(F.sum("dur").alias("ink")).withColumn("book", F.col("page") % 3), "ink", 4), "with f as (select page, page % 3 as book, cast(sum(dur) as bigint) as ink from notes_v group by page), m as (select book, median(ink) as median, count(*) as n from f group by book having count(*) >= 4) select book, page, ink, median from f join m using (book) where abs(ink - median) * 2 > median")
+add("score_system_outliers", "notes_v", lambda n: scoring.feature_outliers(n.groupBy(F.col("page").alias("book"), F.col("system").alias("page")).agg(F.sum("dur").alias("ink")), "ink", 4), "with f as (select page as book, system as page, cast(sum(dur) as bigint) as ink from notes_v group by all), m as (select book, median(ink) as median, count(*) as n from f group by book having count(*) >= 4) select book, page, ink, median from f join m using (book) where abs(ink - median) * 2 > median")
 add("score_smoothed", "notes_v", lambda n: scoring.smoothed(n.withColumn("midi", F.when(~F.col("is_rest"), F.col("midi"))), audit.SK, ["measure", "onset", "event_id"]).select("event_id", "smooth"), f"""with w as (select event_id, list_sort(list(midi) filter (not is_rest) over (partition by {SK} order by measure, onset, event_id rows between 2 preceding and 2 following)) as l from notes_v)
 select event_id, case when len(l) >= 2 then l[len(l) // 2 + 1] end as smooth from w""")
 add("score_pitch_runs", "notes_v", lambda n: scoring.pitch_runs(n.where("not is_rest"), audit.SK, ["measure", "onset", "event_id"]), f"""with x as (select *, coalesce((midi <> lag(midi) over (partition by {SK} order by measure, onset, event_id))::int, 1) as new from notes_v where not is_rest),
