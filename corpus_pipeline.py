@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stavelake.llm.common import stored, table
+from stavelake.llm.components import components
 from stavelake.llm.language import UNKNOWN, language_model, predict_languages
 from stavelake.llm.packing import pack_documents
 from stavelake.llm.quality import judge_quality
 from stavelake.llm.secrets import redact_secrets, train_secrets
-from stavelake.llm.simhash import simhash_components
+from stavelake.llm.simhash import fingerprints, links
 
 ORACLE_SQL = None
 #: A text of which a smaller share of n-grams is known to its best language is in none of them.
@@ -33,17 +34,22 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies: the one with the least doc_id. Rows without an id stay.
+    """One row of each group of near copies: the least doc_id, a row without an id only where no row of it has one.
 
-    The list of ids to keep grows with the corpus, so it is merge-joined at every size and never broadcast.
+    Rows get a number of their own when they are stored with their fingerprints, as ids may repeat or be missing. Repeats
+    of the chosen row go too. The list of rows to keep grows with the corpus, so it is merge-joined at every size and
+    never broadcast.
     """
-    first = simhash_components(docs).where("doc_id = component_id")
-    keep = stored(first.groupBy("doc_id").agg(F.count("*").alias("n")), "keep")
-    out = docs.join(keep.select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
-    again = keep.where("n > 1").select("doc_id")  # rows that repeat an id: one of them stays
-    if not again.isEmpty():
-        out = out.join(again, "doc_id", "left_anti").union(out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return out.select(*docs.columns).union(docs.where("doc_id is null"))
+    fp, row = "fp", "row"
+    while {fp, row} & {c.lower() for c in docs.columns}:
+        fp, row = f"{fp}_", f"{row}_"
+    marked = stored(fingerprints(docs, out=fp).withColumn(row, F.monotonically_increasing_id()), "fingerprinted")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col(fp).alias("fp"), F.xxhash64("text").alias("key"), F.col(row).alias("row"))
+    classes = stored(marked.groupBy(F.col(fp).alias("fp")).agg(F.min(order).alias("first")), "classes")
+    found = stored(components(links(classes.select("fp"))), "components")
+    rooted = classes.join(found, classes.fp == found.node, "left").select(F.coalesce("root", "fp").alias("root"), "first")
+    keep = stored(rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row)), "keep")
+    return marked.join(keep.hint("merge"), row, "left_semi").select(*docs.columns)
 
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -77,3 +77,24 @@ def test_pipeline_stage_by_stage(spark, sf, docs):
     pieces = corpus_pipeline.STAGES[-1][1](spark, kept, sf)
     assert {r.doc_id for r in pieces.collect()} == before
     assert corpus_pipeline.run(spark, sf).count() == pieces.count()
+
+
+def test_near_copies_with_repeated_and_missing_ids(spark):
+    def prose(name, n=120):
+        return " ".join(f"{name}{(i * i) % 97}" for i in range(n))
+
+    a, b, c, d, e, f = map(prose, ["alpha", "bravo", "charlie", "delta", "echo", "foxtrot"])
+    near = c + " "  # blanks leave the fingerprint as it is
+    rows = [
+        (1, a), (1, b),  # one id, unrelated texts: both stay
+        (3, c), (5, d), (5, near),  # a row of a repeated id copies another document
+        (None, c), (None, e), (None, e + " "), (None, e), (None, None), (None, ""),  # copies among rows without an id
+        (7, f), (7, f), (7, f),
+    ]
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, fp string, row string")
+    out = corpus_pipeline.drop_near_copies(spark, df, "")
+    assert out.columns == df.columns
+    got = [(r.doc_id, r.text and r.text.strip(), r.fp, r.row) for r in out.collect()]
+    assert Counter(x[:2] for x in got if x[1]) == Counter([(1, a), (1, b), (3, c), (5, d), (None, e), (7, f)])
+    assert sum(not x[1] for x in got) == 1 and {x[2:] for x in got} == {("x", "y")}
+    assert corpus_pipeline.drop_near_copies(spark, df.where("false"), "").count() == 0
