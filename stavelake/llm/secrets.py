@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import random
 import re
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import sha256
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +29,7 @@ CRF = "crf"
 BEGIN, INSIDE, OUTSIDE = 0, 1, 2
 SHAPES, WORDS, FILES = 4096, 2048, 16
 RADIX = np.uint64(0x100000001B3)
+SIGNS = "!@:%#$&*^~?+/_.=-"
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -49,9 +53,10 @@ def classes() -> np.ndarray:
 
 
 def tokens(text: str, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, shape, word, file) of a whole text's tokens: runs of letters, digits and joining signs, or one other sign.
+    """(start, end, shape, word, file) of a whole text's tokens: runs of letters and digits, or one sign of any other kind.
 
-    shape: length, counts of digits, capitals and small letters, and changes between them, in coarse steps;
+    shape: length, counts of digits, capitals and small letters, and changes between them, in coarse steps; of a sign,
+    which one it is and whether it touches a token before and after;
     word: a hash of the lower-cased token; file: what share of the whole text's signs are digits and other signs.
     """
     none = np.empty(0, np.int64)
@@ -59,12 +64,13 @@ def tokens(text: str, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     if not len(cps):
         return none, none, none, none, none
     kind = table[np.minimum(cps, 256)]
-    wordy = (kind != 0) & (kind != 5)
-    first = (kind == 5) | (wordy & ~np.concatenate([[False], wordy[:-1]]))
+    solid, sign = kind != 0, (kind == 4) | (kind == 5)
+    wordy = solid & ~sign
+    first = sign | (wordy & ~np.concatenate([[False], wordy[:-1]]))
     starts = np.flatnonzero(first)
     if not len(starts):
         return none, none, none, none, none
-    inside = np.flatnonzero(wordy | (kind == 5))
+    inside = np.flatnonzero(solid)
     edges = np.searchsorted(inside, starts)
     kinds = kind[inside]
     count = lambda k: np.add.reduceat((kinds == k).astype(np.int64), edges)
@@ -75,8 +81,10 @@ def tokens(text: str, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     turns = np.add.reduceat(changed, edges)
     step = lambda x: np.searchsorted([1, 2, 4, 8, 12, 20, 32], x, "right")
     part = lambda x: np.where(x == 0, 0, np.where(4 * x < length, 1, np.where(x < length, 2, 3)))
-    shape = ((((step(length) * 4 + part(digit)) * 4 + part(capital)) * 4 + part(small)) * 8 + step(turns)) % SHAPES
-    shape = np.where(kinds[edges] == 5, SHAPES - 1 - (cps[starts] % 64), shape)
+    shape = ((((step(length) * 4 + part(digit)) * 4 + part(capital)) * 4 + part(small)) * 8 + np.minimum(step(turns), 4)) % SHAPES
+    touch = np.concatenate([[False], solid, [False]])
+    # no run of letters has a shape below 512, as its length is one step at least
+    shape = np.where(sign[starts], (touch[starts] * 2 + touch[starts + 2]) * 64 + cps[starts] % 64, shape)
     signs = cps[inside].astype(np.uint64)
     lower = np.where(kinds == 2, signs + np.uint64(32), signs)
     power = np.cumprod(np.full(64, RADIX))[np.minimum(np.arange(len(inside)) - np.repeat(edges, length), 63)]
@@ -121,32 +129,46 @@ class SecretModel:
 
         Take a path that goes through a token inside a secret and put the token outside. Two moves change, and if the
         next token went on with the secret it has to begin one, which changes a third. A token whose score for
-        `outside` leads by more than all that can cost is outside on every best path; such tokens cut the text, and
-        Viterbi runs over what lies between them.
+        `outside` leads by more than all that can cost, by all moves around it, is outside on every best path; such
+        tokens cut the text, and Viterbi runs over what lies between them.
         """
         n = len(scores)
         out = np.full(n, OUTSIDE)
-        moves = self.moves
-        finite = moves[moves > -1e8]
+        m = self.moves
+        ends, goes_on = [], []
+        for a, x in ((a, x) for a in range(3) for x in (BEGIN, INSIDE)):
+            here = m[a, x] - m[a, OUTSIDE]
+            ends += [here, *[here + m[x, b] - m[OUTSIDE, b] for b in (BEGIN, OUTSIDE)]]
+            again = here + m[x, INSIDE] - m[OUTSIDE, BEGIN]
+            goes_on += [again, *[again + m[INSIDE, b] - m[BEGIN, b] for b in range(3)]]
         lead = scores[:, OUTSIDE] - scores[:, :OUTSIDE].max(1)
-        anew = np.append(np.maximum(0, scores[1:, INSIDE] - scores[1:, BEGIN]), 0)
-        loose = np.flatnonzero(lead <= 3 * (finite.max() - finite.min()) + anew)
+        anew = np.append(scores[1:, INSIDE] - scores[1:, BEGIN], -np.inf)
+        loose = np.flatnonzero(lead <= np.maximum(max(ends), max(goes_on) + anew) + 1e-9)
         if not len(loose):
             return out
+        into = [m[:, k].tolist() for k in range(3)]
         for run in np.split(loose, np.flatnonzero(np.diff(loose) > 1) + 1):
             lo, hi = int(run[0]), int(run[-1]) + 1
-            best = scores[lo] + moves[OUTSIDE]
-            back = np.zeros((hi - lo, 3), np.int64)
-            for t in range(lo + 1, hi):
-                step = best[:, None] + moves
-                back[t - lo] = step.argmax(0)
-                best = step.max(0) + scores[t]
+            rows = scores[lo:hi].tolist()  # plain numbers: a run has a few tokens, and arrays of three cost more
+            x, y, z = (rows[0][k] + into[k][OUTSIDE] for k in range(3))
+            back = []
+            for row in rows[1:]:
+                step, best = [], []
+                for k in range(3):
+                    p, q, r = x + into[k][0], y + into[k][1], z + into[k][2]
+                    at = 0 if p >= q and p >= r else 1 if q >= r else 2
+                    step.append(at)
+                    best.append((p, q, r)[at] + row[k])
+                x, y, z = best
+                back.append(step)
+            last = [x, y, z]
             if hi < n:
-                best = best + moves[:, OUTSIDE]
-            tag = int(best.argmax())
-            for t in range(hi - 1, lo - 1, -1):
+                last = [v + into[OUTSIDE][k] for k, v in enumerate(last)]
+            tag = last.index(max(last))
+            out[hi - 1] = tag
+            for t in range(hi - 2, lo - 1, -1):
+                tag = back[t - lo][tag]
                 out[t] = tag
-                tag = int(back[t - lo][tag])
         return out
 
     def spans(self, text: str, table: np.ndarray, least: int = 12) -> list[tuple[int, int]]:
@@ -198,11 +220,84 @@ def fit(rows: np.ndarray, gold: np.ndarray, steps: int = 150, rate: float = 0.1,
     return SecretModel(weights.astype(np.float32).astype(np.float64), moves + banned)
 
 
+def value_spans(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the values that the base patterns find in a whole text, longest first where they start alike."""
+    out = [m.span(2) for m in KINDS["assign"][0].finditer(text) if m.end(2) - m.start(2) >= 6]
+    return sorted({*out, *[(s, e) for s, e, kind in base_spans(text) if kind != "assign"]}, key=lambda x: (x[0], -x[1]))
+
+
+def gold_tags(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
+    """Tags of tokens: every token that overlaps a span is in the secret; the first begins it, anew for each span."""
+    tags = np.full(len(starts), OUTSIDE)
+    for s, e in spans:
+        at = np.arange(np.searchsorted(ends, s, "right"), np.searchsorted(starts, e, "left"))
+        new = at[tags[at] == OUTSIDE]
+        tags[new] = INSIDE
+        if len(new) and new[0] == at[0]:
+            tags[at[0]] = BEGIN
+    return tags
+
+
+def made_secret(rng: random.Random) -> tuple[str, str, str]:
+    """(before, value, after) of an invented secret: values of several parts, under any name, in quotes, URLs or blocks."""
+    lower, both = string.ascii_lowercase, string.ascii_letters + string.digits
+
+    def run(signs: str, least: int, most: int) -> str:
+        return "".join(rng.choices(signs, k=rng.randint(least, most)))
+
+    form = rng.random()
+    if form < 0.15:
+        width = rng.choice([24, 32, 40, 64])
+        lines = ["".join(rng.choices(both + "+/", (62 * [1] + 2 * [0.5]), k=width)) for _ in range(rng.randint(2, 4))]
+        return rng.choice(["-----BEGIN PRIVATE KEY-----\n", f"{run(lower, 3, 8)}:\n", f"{run(lower, 3, 8)} = "]), "\n".join(lines), "\n"
+    signs, quote = SIGNS, rng.choice(["", "", '"', "'"])
+    if form < 0.3:
+        before, after, signs = f"{run(lower, 3, 6)}://{run(lower, 3, 8)}:", f"@{run(lower, 3, 8)}.{run(lower, 2, 3)}/", "!:%#$&*+_.=-"
+    else:
+        name = rng.choice(["token", "password", run(lower, 2, 9), f"{run(lower, 2, 6)}_{run(lower, 2, 6)}"])
+        name = name.upper() if rng.random() < 0.4 else name
+        before, after = f"{name}{rng.choice(['=', '=', ' = ', ': ', ':'])}{quote}", quote
+        if quote and rng.random() < 0.15:
+            signs = " "
+    mixed = [both, both + 3 * string.digits, string.ascii_uppercase + string.digits, lower + string.digits, string.hexdigits[:16]]
+    parts = [run(rng.choice([*mixed, both, lower, string.digits]), 2, 9) for _ in range(rng.randint(2, 7))]
+    if sum(map(len, parts)) < 10 or rng.random() < 0.4:
+        parts = [run(rng.choice(mixed), 12, rng.choice([20, 40]))]
+    value = parts[0] + "".join(rng.choice(signs) + x for x in parts[1:])
+    return before, value + f"{rng.choice('aQx')}{rng.randint(0, 9)}" + (rng.choice(["!", "#", "$", "%", "=", "=="]) if signs == SIGNS and rng.random() < 0.3 else ""), after
+
+
+def made_decoy(rng: random.Random) -> str:
+    """What looks like a secret and is none: settings with plain values, dates, addresses, numbers, names with digits."""
+    word, n = "".join(rng.choices(string.ascii_lowercase, k=rng.randint(3, 10))), rng.randint(1, 9999)
+    return rng.choice([
+        f"{word} = {word[::-1]}", f"{word}: {n}", f"{word}={n}", f'{word}="{word[::-1]} {word}"', f"20{n % 90 + 10}-0{n % 9 + 1}-1{n % 10}T1{n % 10}:2{n % 10}:3{n % 10}Z",
+        f"https://www.{word}.com/{word[::-1]}/{n}.html", f"{word}.{n}@{word[::-1]}.org", f"v{n % 10}.{n % 7}.{n % 5}-{word}{n % 3}", f"+{n % 90 + 10} {n}-{n * 7}", f"{word}{n}", f"{word}_{n}", f"/{word}/{word[::-1]}/{word}{n % 10}.txt",
+    ])
+
+
+def with_made(text: str, seed: int) -> tuple[str, list[tuple[int, int]], int]:
+    """A text with an invented secret at its first base match, or else in a gap, and a decoy; the values' spans, the decoy's place."""
+    rng = random.Random(crc32(text.encode("utf-8", "replace"), seed))
+    gaps = [m.start() for m in re.finditer(r"\s", text)] or [len(text)]
+    found = next((m for m in KINDS["assign"][0].finditer(text) if m.end(2) - m.start(2) >= 6), None)
+    lo, hi = found.span() if found else (rng.choice(gaps),) * 2
+    if found and text[hi : hi + 1] in ("'", '"') and text[hi - len(found[2]) - 1] == text[hi]:
+        hi += 1
+    before, value, after = made_secret(rng)
+    head = text[:lo] + (" " if not found else "") + before
+    made = head + value + after + text[hi:]
+    spans = [(s, e) for s, e in value_spans(made) if e <= len(head) - len(before) or s >= len(head) + len(value)]
+    decoy = len(made) + 1
+    return f"{made} {made_decoy(rng)} {text[:400]}", sorted([*spans, (len(head), len(head) + len(value))]), decoy
+
+
 def train_secrets(df: DataFrame, text: str = "text", sample_rows: int = 3000, windows: int = 3000, around: int = 10) -> SecretModel:
     """Fit the field on windows of tokens from at most about `sample_rows` texts (a documented bound, chosen by hash).
 
-    The base patterns label the tokens: those of the value are the secret. Windows lie around secrets and, as many,
-    anywhere else; at most `windows` reach the driver.
+    The base patterns label the tokens: those of the value are the secret. As their values are of few forms, each text
+    comes twice more, each time with an invented secret of another form and a decoy. Windows lie around both ends of
+    secrets, around those of invented ones, and around decoys or anywhere else; at most `windows` reach the driver.
     """
     n = df.count()
     sample = df.select(F.col(text).alias("text")).where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text"), F.lit(max(1, n // sample_rows))) == 0)).distinct()
@@ -213,28 +308,31 @@ def train_secrets(df: DataFrame, text: str = "text", sample_rows: int = 3000, wi
         for batch in batches:
             for part in chunks(batch, "text"):
                 out = []
-                for t in part.column("text").to_pylist():
+
+                def cut(t: str, spans: list[tuple[int, int]], kind: int, decoy: int | None = None) -> None:
                     starts, ends, shape, word, file = tokens(t, table)
                     if len(starts) < wide:
-                        continue
-                    tags = np.full(len(starts), OUTSIDE)
-                    for m in KINDS["assign"][0].finditer(t):
-                        if m.end(2) - m.start(2) >= 6:
-                            tags[(starts >= m.start(2)) & (ends <= m.end(2))] = INSIDE
-                    for s, e, kind in base_spans(t):
-                        if kind != "assign":
-                            tags[(starts >= s) & (ends <= e)] = INSIDE
-                    hit = tags == INSIDE
-                    tags[hit & ~np.concatenate([[False], hit[:-1]])] = BEGIN
-                    mids = [*np.flatnonzero(tags == BEGIN)[:4].tolist(), *np.linspace(around, len(starts) - around - 1, 2).astype(int).tolist()]
+                        return
+                    tags = gold_tags(starts, ends, spans)
+                    first = np.flatnonzero(tags == BEGIN)
+                    last = np.flatnonzero((tags != OUTSIDE) & (np.append(tags[1:], OUTSIDE) != INSIDE))
+                    mids = [(kind, i) for i in np.unique([*first[:4], *last[:4]]).tolist()]
+                    mids += [(0, i) for i in ([int(np.searchsorted(starts, decoy))] if decoy else np.linspace(around, len(starts) - around - 1, 2).astype(int).tolist())]
                     rows = feature_rows(shape, word, file)
-                    for mid in mids:
+                    for which, mid in mids:
                         lo = min(max(0, mid - around), len(starts) - wide)
-                        out.append((int(tags[mid] == BEGIN), np.concatenate([rows[:, lo : lo + wide].ravel(), tags[lo : lo + wide]]).tolist()))
+                        out.append((which, np.concatenate([rows[:, lo : lo + wide].ravel(), tags[lo : lo + wide]]).tolist()))
+
+                for t in part.column("text").to_pylist():
+                    cut(t, value_spans(t), 1)
+                    for seed in range(2):
+                        made, spans, decoy = with_made(t, seed)
+                        cut(made, spans, 2, decoy)
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.list_(pa.int32()))], names=["secret", "w"])
 
     made = sample.mapInArrow(run, "secret int, w array<int>")
-    got = [np.array(r.w) for s in (1, 0) for r in made.where(F.col("secret") == s).orderBy(F.xxhash64("w")).limit(windows // 2).collect()]
+    most = {1: windows // 6, 2: windows // 2, 0: windows // 3}
+    got = [np.array(r.w) for s, k in most.items() for r in made.where(F.col("secret") == s).orderBy(F.xxhash64("w")).limit(k).collect()]
     flat = np.array(got, np.int64).reshape(len(got), 8, wide)
     return fit(flat[:, :7].transpose(1, 0, 2), flat[:, 7])
 

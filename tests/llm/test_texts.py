@@ -125,6 +125,32 @@ def test_field_learns_secrets(model):
     assert model.spans("Thing is the one and here comes nothing but prose with more of the same after it.", table) == []
 
 
+def test_gold_tags_of_values_with_several_tokens():
+    for text, value in (("x KEY token=ab/cd12+ef== z", "ab/cd12+ef=="), ("a password: 'qw-er_12.ty' b", "qw-er_12.ty")):
+        starts, ends, *_ = S.tokens(text, S.classes())
+        at = text.index(value)
+        tags = S.gold_tags(starts, ends, S.value_spans(text)).tolist()
+        got = [i for i, t in enumerate(tags) if t != S.OUTSIDE]
+        assert (starts[got[0]], ends[got[-1]]) == (at, at + len(value)) and len(got) > 3
+        assert [tags[i] for i in got] == [S.BEGIN] + [S.INSIDE] * (len(got) - 1)
+    assert S.gold_tags(np.array([0, 5]), np.array([4, 9]), [(0, 4), (5, 9)]).tolist() == [S.BEGIN, S.BEGIN]
+
+
+def test_field_finds_values_with_several_tokens_under_any_name(model):
+    before, after = "Thing is the one and here comes ", " with more of the same prose after it, and so on."
+    for head, value, tail in (
+        ("phrase: '", "Xk9!mQ2@vL7#", "'"),
+        ("DB_CRED=", "Zt4Kq8Lm2Wp9Xr7B", ""),
+        ("SIGNING_KEY=", "aB3/xY9+Qw7_Lm2", ""),
+        ('login = "', "pR7%kT2:wZ9#bN4&", '"'),
+        ("see https://bob:", "hT7!kq9Zx2%mB4", "@db.example.net/main"),
+    ):
+        text = before + head + value + tail + after
+        assert not S.base_spans(text) and value in [text[s:e] for s, e in model.spans(text, S.classes())]
+    plain = "https://www.example.com/articles/2024/page17.html", "version = 1.2.3-beta4", "that.92@mail2.example.org", "2024-05-06T10:11:12Z", "colour = turquoise"
+    assert all(model.spans(before + x + after, S.classes()) == [] for x in plain)
+
+
 def test_secret_scan_odd_rows(odd, none, model):
     got = S.scan_secrets(odd, model).collect()
     empty = sha256(b"").hexdigest()
