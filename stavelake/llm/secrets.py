@@ -337,11 +337,19 @@ def train_secrets(df: DataFrame, text: str = "text", sample_rows: int = 3000, wi
     return fit(flat[:, :7].transpose(1, 0, 2), flat[:, 7])
 
 
+def covered(s: int, e: int, spans: list[tuple[int, int, str]]) -> bool:
+    """Whether spans, sorted by start, hold every sign from s to e together."""
+    for s2, e2, _ in spans:
+        if s2 <= s < e2:
+            s = e2
+    return s >= e
+
+
 def all_spans(text: str | None, model: SecretModel, table: np.ndarray) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
-    """(base spans, all spans) of a whole text; tagged secrets join where they touch no base span."""
+    """(base spans, all spans) of a whole text; tagged secrets join, whole, unless base spans hold all of them."""
     text = text or ""
     base = base_spans(text)
-    more = [(s, e, CRF) for s, e in model.spans(text, table) if not any(s < e2 and s2 < e for s2, e2, _ in base)]
+    more = [(s, e, CRF) for s, e in model.spans(text, table) if not covered(s, e, base)]
     rank = {k: i for i, k in enumerate([*KINDS, CRF])}
     return base, sorted(base + more, key=lambda x: (x[0], rank[x[2]]))
 
