@@ -3,33 +3,57 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Cells of the table above which a group is aligned by looking ahead, so its memory is bounded.
+#: Cells of the table above which it is kept in blocks of rows, so its memory grows with the root of its rows.
 MOST_CELLS = 1_500_000
+#: How far `greedy_ops` looks.
 AHEAD = 8
 
 
+def row_above(x: int, below: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The row of lengths for one more value x on the left."""
+    out = np.zeros_like(below)
+    out[:-1] = np.maximum.accumulate(np.maximum(below[:-1], np.where(right == x, below[1:] + 1, 0))[::-1])[::-1]
+    return out
+
+
 def lcs_ops(a: list, b: list) -> list[tuple[str, int | None, int | None]]:
-    """(op, left, right) with op m, d or i: a longest common subsequence; of equal ways deleting comes first."""
-    if len(a) * len(b) > MOST_CELLS:
-        return greedy_ops(a, b)
-    size = np.zeros((len(a) + 1, len(b) + 1), np.int32)
+    """(op, left, right) with op m, d or i: a longest common subsequence; of equal ways deleting comes first.
+
+    Exact at every size: a large table keeps one row of each block, and blocks are filled again as the way reaches them.
+    """
     codes = {x: i for i, x in enumerate(dict.fromkeys([*a, *b]))}
-    right = np.array([codes[x] for x in b], np.int64)
-    for i in range(len(a) - 1, -1, -1):
-        best = np.maximum(size[i + 1, :-1], np.where(right == codes[a[i]], size[i + 1, 1:] + 1, 0))
-        size[i, :-1] = np.maximum.accumulate(best[::-1])[::-1]
-    out, i, j = [], 0, 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and a[i] == b[j]:
+    left, right = [codes[x] for x in a], np.array([codes[x] for x in b], np.int64)
+    n = len(a)
+    block = max(1, n if n * len(b) <= MOST_CELLS else isqrt(n))
+    row = np.zeros(len(b) + 1, np.int32)
+    marks = {n: row}
+    for k in range(n - 1, -1, -1):
+        if k < block:
+            break  # no block lies before the first
+        row = row_above(left[k], row, right)
+        if k % block == 0:
+            marks[k] = row
+    out, i, j, lo = [], 0, 0, -1
+    size: list[np.ndarray] = []
+    while i < n or j < len(b):
+        if i < n and i // block != lo:
+            lo = i // block
+            size = [marks[min(n, (lo + 1) * block)]]
+            for k in range(min(n, (lo + 1) * block) - 1, lo * block - 1, -1):
+                size.append(row_above(left[k], size[-1], right))
+            size.reverse()
+        at = i - lo * block
+        if i < n and j < len(b) and a[i] == b[j]:
             out.append(("m", i, j))
             i, j = i + 1, j + 1
-        elif i < len(a) and (j == len(b) or size[i + 1, j] >= size[i, j + 1]):
+        elif i < n and (j == len(b) or size[at + 1][j] >= size[at][j + 1]):
             out.append(("d", i, None))
             i += 1
         else:
@@ -39,6 +63,7 @@ def lcs_ops(a: list, b: list) -> list[tuple[str, int | None, int | None]]:
 
 
 def greedy_ops(a: list, b: list) -> list[tuple[str, int | None, int | None]]:
+    """What the reference does with large groups, by looking ahead; `align` does without it."""
     out, i, j = [], 0, 0
     while i < len(a) and j < len(b):
         near = min(((d + e, d, e) for d in range(AHEAD + 1) for e in range(AHEAD + 1) if i + d < len(a) and j + e < len(b) and a[i + d] == b[j + e]), default=(0, 1, 1))

@@ -1,3 +1,4 @@
+import random
 import struct
 import wave
 from collections import Counter
@@ -108,3 +109,17 @@ def test_running_tally_stream_equals_batch(spark, sf, tmp_path):
     q = streaming.running_tally(stream, late="40 days").writeStream.format("memory").queryName("tally").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert Counter(map(tuple, spark.table("tally").collect())) == Counter(map(tuple, streaming.running_tally_batch(events).collect()))
+
+
+def test_alignment_is_exact_at_every_size(monkeypatch):
+    from stavelake.operators import align as A
+
+    rng = random.Random(8)
+    cases = [([rng.choice("abcd") for _ in range(rng.randint(0, 40))], [rng.choice("abcd") for _ in range(rng.randint(0, 40))]) for _ in range(200)]
+    whole = [A.lcs_ops(a, b) for a, b in cases]
+    monkeypatch.setattr(A, "MOST_CELLS", 0)
+    assert [A.lcs_ops(a, b) for a, b in cases] == whole
+    monkeypatch.undo()
+    notes = [str(i) for i in range(1400)]
+    ops = A.lcs_ops(notes, notes[:300] + notes[330:])  # a gap of 30 notes in a table of 1.9 million cells
+    assert [sum(o == op for o, _, _ in ops) for op in "mdi"] == [1370, 30, 0]
