@@ -5,9 +5,11 @@ from __future__ import annotations
 import random
 import re
 import string
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import sha256
+from typing import NamedTuple
 from zlib import crc32
 
 import numpy as np
@@ -16,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, field, map_texts, table
+from .common import chunks, field, map_texts, stored, table
 
 # The base patterns, with the least length of the part that counts.
 KINDS = {
@@ -24,6 +26,7 @@ KINDS = {
     "access": (re.compile(r"AKIA[A-Z0-9]+"), 0, 20),
     "hex": (re.compile(r"[0-9a-f]+"), 0, 24),
 }
+CUES = ("passw", "secret", "token", "api")  # each name of `assign` holds one of them, in either case
 HEX_RUN = re.compile(r"[0-9a-f]{24,}")  # runs are taken whole, so this finds those that count and skips the rest
 CRF = "crf"
 BEGIN, INSIDE, OUTSIDE = 0, 1, 2
@@ -32,10 +35,16 @@ RADIX = np.uint64(0x100000001B3)
 SIGNS = "!@:%#$&*^~?+/_.=-"
 
 
-def base_spans(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of every base match of a whole text, by start and then by kind as listed."""
-    out = []
+def base_spans(text: str, runs: bool = True) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of every base match of a whole text, by start and then by kind as listed.
+
+    A text without any of the names in CUES has no `assign` match, which a plain search tells sooner than the pattern;
+    `runs` is false where it is known that no run of letters and digits has 24 signs.
+    """
+    out, low = [], text.lower()
     for order, (kind, (pattern, group, least)) in enumerate(KINDS.items()):
+        if kind == "assign" and not any(c in low for c in CUES) or kind == "hex" and not runs:
+            continue
         for m in (HEX_RUN if kind == "hex" else pattern).finditer(text):
             if m.end(group) - m.start(group) >= least:
                 out.append((m.start(), order, m.end(), kind))
@@ -52,59 +61,101 @@ def classes() -> np.ndarray:
     return out
 
 
-def tokens(text: str, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, shape, word, file) of a whole text's tokens: runs of letters and digits, or one sign of any other kind.
+SIGN = np.array([k in (4, 5) for k in range(7)])
+WORDY = np.array([k in (1, 2, 3, 6) for k in range(7)])
+#: Counts of small letters, capitals and digits add up side by side in one number, 21 bits for each.
+SIDE_BY_SIDE = np.array([0, 1, 1 << 21, 1 << 42, 0, 0, 0], np.int64)
+FIELD = (1 << 21) - 1
+STEPS = np.searchsorted([1, 2, 4, 8, 12, 20, 32], np.arange(33), "right")
+TOGETHER = 1 << 16
+HEAD = 6  # signs of a token that its word hash reads, beside its length
+
+
+class Tokens(NamedTuple):
+    """Tokens of texts laid end to end: which text each is in, where it starts and ends in it, and its features."""
+
+    owner: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    shape: np.ndarray
+    word: np.ndarray
+    file: np.ndarray
+
+    def place(self) -> np.ndarray:
+        """Places of the tokens in a row where two blanks stand before each text and after the last."""
+        return np.arange(len(self.owner)) + 2 * (self.owner + 1)
+
+
+def tokens(texts: list[str], table: np.ndarray) -> Tokens:
+    """Tokens of whole texts: runs of letters and digits, or one sign of any other kind.
 
     shape: length, counts of digits, capitals and small letters, and changes between them, in coarse steps; of a sign,
     which one it is and whether it touches a token before and after;
-    word: a hash of the lower-cased token; file: what share of the whole text's signs are digits and other signs.
+    word: a hash of the lower-cased token's first HEAD signs and its length, up to 63;
+    file: what share of the whole text's signs are digits and other signs.
     """
-    none = np.empty(0, np.int64)
-    cps = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    joined = "\n".join(texts)
+    if joined.isascii():
+        cps = np.frombuffer(joined.encode(), np.uint8)
+        kind = table[cps]
+    else:
+        cps = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
+        kind = table[np.minimum(cps, 256)]
     if not len(cps):
-        return none, none, none, none, none
-    kind = table[np.minimum(cps, 256)]
-    solid, sign = kind != 0, (kind == 4) | (kind == 5)
-    wordy = solid & ~sign
-    first = sign | (wordy & ~np.concatenate([[False], wordy[:-1]]))
-    starts = np.flatnonzero(first)
+        return Tokens(*[np.empty(0, np.int64)] * 6)
+    sign, wordy = SIGN[kind], WORDY[kind]
+    first, last = sign | wordy, sign | wordy
+    on = wordy[1:] & wordy[:-1]
+    first[1:] &= ~on
+    last[:-1] &= ~on
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     if not len(starts):
-        return none, none, none, none, none
-    inside = np.flatnonzero(solid)
-    edges = np.searchsorted(inside, starts)
-    kinds = kind[inside]
-    count = lambda k: np.add.reduceat((kinds == k).astype(np.int64), edges)
-    length = np.diff(np.append(edges, len(inside)))
-    small, capital, digit = count(1), count(2), count(3)
-    changed = np.concatenate([[0], (kinds[1:] != kinds[:-1]).astype(np.int64)])
-    changed[edges] = 0
-    turns = np.add.reduceat(changed, edges)
-    step = lambda x: np.searchsorted([1, 2, 4, 8, 12, 20, 32], x, "right")
-    part = lambda x: np.where(x == 0, 0, np.where(4 * x < length, 1, np.where(x < length, 2, 3)))
-    shape = ((((step(length) * 4 + part(digit)) * 4 + part(capital)) * 4 + part(small)) * 8 + np.minimum(step(turns), 4)) % SHAPES
-    touch = np.concatenate([[False], solid, [False]])
+        return Tokens(*[np.empty(0, np.int64)] * 6)
+    length = ends - starts
+    total = np.zeros(len(cps) + 1, np.int64)
+    np.cumsum(SIDE_BY_SIDE[kind], out=total[1:])
+    count = total[ends] - total[starts]
+    small, capital, digit = count & FIELD, (count >> 21) & FIELD, count >> 42
+    changed = np.zeros(len(cps), np.int32)
+    np.cumsum(kind[1:] != kind[:-1], out=changed[1:])
+    turns = changed[ends - 1] - changed[starts]
+    part = lambda x: (x > 0).view(np.int8) + (4 * x >= length) + (x >= length)
+    shape = ((((STEPS[np.minimum(length, 32)] * 4 + part(digit)) * 4 + part(capital)) * 4 + part(small)) * 8 + np.minimum(STEPS[np.minimum(turns, 32)], 4)) % SHAPES
     # no run of letters has a shape below 512, as its length is one step at least
-    shape = np.where(sign[starts], (touch[starts] * 2 + touch[starts + 2]) * 64 + cps[starts] % 64, shape)
-    signs = cps[inside].astype(np.uint64)
-    lower = np.where(kinds == 2, signs + np.uint64(32), signs)
-    power = np.cumprod(np.full(64, RADIX))[np.minimum(np.arange(len(inside)) - np.repeat(edges, length), 63)]
-    word = ((np.add.reduceat(lower * power, edges) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(WORDS)
-    lot = len(inside)
-    digits, others = int((kinds == 3).sum()), int((kinds >= 4).sum() - (kinds == 6).sum())
-    bucket = int(np.searchsorted([0.01, 0.05, 0.2], digits / lot)) * 4 + int(np.searchsorted([0.02, 0.1, 0.3], others / lot))
-    return starts, starts + length, shape, word.astype(np.int64), np.full(len(starts), bucket)
-
-
-def feature_rows(shape: np.ndarray, word: np.ndarray, file: np.ndarray) -> np.ndarray:
+    at = np.flatnonzero(sign[starts])
+    where = starts[at]
+    full = np.concatenate([[0], kind, [0]])
+    shape[at] = ((full[where] != 0) * 2 + (full[where + 2] != 0)) * 64 + cps[where] % 64
+    low = np.concatenate([np.where(kind == 2, cps + cps.dtype.type(32), cps), np.zeros(HEAD, cps.dtype)])
+    word = np.minimum(length, 63).astype(np.uint64)
+    for j in range(HEAD):
+        word *= RADIX
+        word += low[starts + j] * (length > j)
+    word = ((word * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(WORDS)
+    edges = np.cumsum([0, *[len(t) + 1 for t in texts]])
+    owner = np.searchsorted(edges, starts, "right") - 1
+    tops = np.minimum(edges, len(cps))
+    signs, lots = np.zeros((2, len(cps) + 1), np.int64)
+    np.cumsum(sign, out=signs[1:])
+    np.cumsum(kind != 0, out=lots[1:])
+    lot = np.maximum(np.diff(lots[tops]), 1)
+    digits, others = np.diff(total[tops] >> 42), np.diff(signs[tops])
+    bucket = np.searchsorted([0.01, 0.05, 0.2], digits / lot) * 4 + np.searchsorted([0.02, 0.1, 0.3], others / lot)
+    return Tokens(owner, starts - edges[owner], ends - edges[owner], shape, word.astype(np.int64), bucket[owner])
+
+
+def feature_rows(made: Tokens) -> np.ndarray:
     """Weight rows of each token: own shape, the two words before, the word after, the shapes beside, the file."""
-    pad = lambda x, k: np.concatenate([np.zeros(k, np.int64), x, np.zeros(2, np.int64)])
-    w, s, n = pad(word, 2), pad(shape, 2), len(shape)
-    at = SHAPES
-    rows = [shape]
-    for x, size in ((w[1 : n + 1], WORDS), (w[:n], WORDS), (w[3 : n + 3], WORDS), (s[1 : n + 1], SHAPES), (s[3 : n + 3], SHAPES)):
-        rows.append(x + at)
-        at += size
-    rows.append(file + at)
+    if not len(made.owner):
+        return np.empty((7, 0), np.int64)
+    at = made.place()
+    w, s = np.zeros((2, at[-1] + 3), np.int64)
+    w[at], s[at] = made.word, made.shape
+    rows, low = [made.shape], SHAPES
+    for x, size in ((w[at - 1], WORDS), (w[at - 2], WORDS), (w[at + 1], WORDS), (s[at - 1], SHAPES), (s[at + 1], SHAPES)):
+        rows.append(x + low)
+        low += size
+    rows.append(made.file + low)
     return np.stack(rows)
 
 
@@ -119,9 +170,9 @@ class SecretModel:
     moves: np.ndarray
 
     def scores(self, rows: np.ndarray) -> np.ndarray:
-        out = self.weights[rows[0]].copy()
+        out = np.take(self.weights, rows[0], axis=0)
         for r in rows[1:]:
-            out += self.weights[r]
+            out += np.take(self.weights, r, axis=0)
         return out
 
     def tags(self, scores: np.ndarray) -> np.ndarray:
@@ -173,18 +224,27 @@ class SecretModel:
 
     def spans(self, text: str, table: np.ndarray, least: int = 12) -> list[tuple[int, int]]:
         """Code-point spans of tagged secrets of at least `least` signs that mix digits with letters."""
-        starts, ends, shape, word, file = tokens(text, table)
-        if not len(starts):
-            return []
-        tags = self.tags(self.scores(feature_rows(shape, word, file)))
-        out = []
+        return self.spans_of([text], tokens([text], table), least)[0]
+
+    def spans_of(self, texts: list[str], made: Tokens, least: int = 12) -> list[list[tuple[int, int]]]:
+        """As `spans`, for texts laid end to end. What stands between two texts is outside, so none reads another."""
+        out: list[list[tuple[int, int]]] = [[] for _ in texts]
+        if not len(made.owner):
+            return out
+        at = made.place()
+        scores = np.full((at[-1] + 3, 3), [-1e6, -1e6, 0.0])
+        scores[at] = self.scores(feature_rows(made))
+        tags = self.tags(scores)
+        place = np.full(len(tags), -1)
+        place[at] = np.arange(len(at))
         for i in np.flatnonzero(tags == BEGIN):
             j = i
-            while j + 1 < len(tags) and tags[j + 1] == INSIDE:
+            while tags[j + 1] == INSIDE:
                 j += 1
-            s, e = int(starts[i]), int(ends[j])
-            if e - s >= least and re.search("[0-9]", text[s:e]) and re.search("[A-Za-z]", text[s:e]):
-                out.append((s, e))
+            owner, s, e = made.owner[place[i]], int(made.start[place[i]]), int(made.end[place[j]])
+            value = texts[owner][s:e]
+            if e - s >= least and re.search("[0-9]", value) and re.search("[A-Za-z]", value):
+                out[owner].append((s, e))
         return out
 
 
@@ -196,21 +256,21 @@ def fit(rows: np.ndarray, gold: np.ndarray, steps: int = 150, rate: float = 0.1,
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in (weights, moves)]
     n, t = gold.shape
     one = np.eye(3)[gold]
-    lse = lambda x, axis: (m := x.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - m).sum(axis))
+    seen = np.einsum("nti,ntj->ij", one[:, :-1], one[:, 1:])
     for step in range(1, steps + 1 if n else 0):
-        e, a = sum(weights[r] for r in rows), moves + banned
-        fore, back = np.empty((t, n, 3)), np.zeros((t, n, 3))
-        fore[0] = e[:, 0]
-        for k in range(1, t):
-            fore[k] = e[:, k] + lse(fore[k - 1][:, :, None] + a, 1)
+        e, go = sum(np.take(weights, r, axis=0) for r in rows), np.exp(moves + banned)
+        e = np.exp(e - e.max(2, keepdims=True)).transpose(1, 0, 2).copy()
+        # forward and backward sums, scaled to add up to one at every token
+        fore, back, scale = np.empty((t, n, 3)), np.ones((t, n, 3)), np.ones((t, n, 1))
+        for k in range(t):
+            fore[k] = e[k] * (fore[k - 1] @ go) if k else e[k]
+            scale[k] = fore[k].sum(1, keepdims=True)
+            fore[k] /= scale[k]
+        e /= scale
         for k in range(t - 2, -1, -1):
-            back[k] = lse(a[None] + (e[:, k + 1] + back[k + 1])[:, None, :], 2)
-        total = lse(fore[-1], 1)
-        mean = np.exp(fore + back - total[None, :, None]).transpose(1, 0, 2)
-        pair = np.zeros((3, 3))
-        for k in range(1, t):
-            pair += np.exp(fore[k - 1][:, :, None] + a + (e[:, k] + back[k])[:, None, :] - total[:, None, None]).sum(0)
-            pair -= one[:, k - 1].T @ one[:, k]
+            back[k] = (e[k + 1] * back[k + 1]) @ go.T
+        mean = (fore * back).transpose(1, 0, 2)
+        pair = go * (fore[:-1].reshape(-1, 3).T @ (e * back)[1:].reshape(-1, 3)) - seen
         delta = ((mean - one) / n).reshape(-1, 3)
         slope = np.stack([sum(np.bincount(r.ravel(), delta[:, c], WEIGHTS) for r in rows) for c in range(3)], 1) + decay * weights
         for x, g, (m, v) in zip((weights, moves), (slope, pair / n + decay * moves), state):
@@ -246,12 +306,18 @@ def made_secret(rng: random.Random) -> tuple[str, str, str]:
         return "".join(rng.choices(signs, k=rng.randint(least, most)))
 
     form = rng.random()
-    if form < 0.15:
+    if form > 0.8:  # keys that stand alone, with or without a short mark of who gave them out
+        mark = rng.choice(["", f"{run(lower, 2, 6)}{rng.choice('_-')}", f"{run(lower, 2, 5)}{rng.choice('_-')}{run(lower, 3, 5)}{rng.choice('_-')}"])
+        pool = rng.choice([both, both, both + 3 * string.digits, string.ascii_uppercase + string.digits, "0123456789ABCDEF"])
+        blocks = [run(pool, 24, 44)] if rng.random() < 0.6 else [run(rng.choice([string.digits, pool, pool]), 8, 40) for _ in range(rng.randint(1, 3))] + [run(pool, 20, 40)]
+        before = rng.choice(["", "", f"{run(lower, 2, 9)} ", f"{run(lower, 2, 9)}: ", f"{run(lower, 2, 9)}: {run(lower, 3, 8)} "])
+        return before, mark + rng.choice("-_.").join(blocks) + f"{rng.choice('aQx' if pool is both else 'ABC')}{rng.randint(0, 9)}", ""
+    if form < 0.12:
         width = rng.choice([24, 32, 40, 64])
         lines = ["".join(rng.choices(both + "+/", (62 * [1] + 2 * [0.5]), k=width)) for _ in range(rng.randint(2, 4))]
         return rng.choice(["-----BEGIN PRIVATE KEY-----\n", f"{run(lower, 3, 8)}:\n", f"{run(lower, 3, 8)} = "]), "\n".join(lines), "\n"
     signs, quote = SIGNS, rng.choice(["", "", '"', "'"])
-    if form < 0.3:
+    if form < 0.24:
         before, after, signs = f"{run(lower, 3, 6)}://{run(lower, 3, 8)}:", f"@{run(lower, 3, 8)}.{run(lower, 2, 3)}/", "!:%#$&*+_.=-"
     else:
         name = rng.choice(["token", "password", run(lower, 2, 9), f"{run(lower, 2, 6)}_{run(lower, 2, 6)}"])
@@ -270,7 +336,11 @@ def made_secret(rng: random.Random) -> tuple[str, str, str]:
 def made_decoy(rng: random.Random) -> str:
     """What looks like a secret and is none: settings with plain values, dates, addresses, numbers, names with digits."""
     word, n = "".join(rng.choices(string.ascii_lowercase, k=rng.randint(3, 10))), rng.randint(1, 9999)
+    number = lambda k: "".join(rng.choices(string.digits, k=k))
+    uuid = "-".join("".join(rng.choices("0123456789abcdef", k=k)) for k in (8, 4, 4, 4, 12))
     return rng.choice([
+        number(rng.randint(6, 16)), f"{number(4)} {number(4)} {number(4)} {number(4)}", f"978-{number(1)}-{number(4)}-{number(4)}-{number(1)}", uuid, f"{word}: {uuid}", f"IMG_{number(8)}_{number(6)}.jpg",
+        f"get{word.title()}By{word[::-1].title()}{n % 10}", f"{word}-{word[::-1]}-{word[:4]}-{n}", f"{word.upper()}_{word[::-1].upper()}_{n % 100}", f"{word * 3}{n % 10}", f"DE{number(2)} {number(4)} {number(4)} {number(2)}",
         f"{word} = {word[::-1]}", f"{word}: {n}", f"{word}={n}", f'{word}="{word[::-1]} {word}"', f"20{n % 90 + 10}-0{n % 9 + 1}-1{n % 10}T1{n % 10}:2{n % 10}:3{n % 10}Z",
         f"https://www.{word}.com/{word[::-1]}/{n}.html", f"{word}.{n}@{word[::-1]}.org", f"v{n % 10}.{n % 7}.{n % 5}-{word}{n % 3}", f"+{n % 90 + 10} {n}-{n * 7}", f"{word}{n}", f"{word}_{n}", f"/{word}/{word[::-1]}/{word}{n % 10}.txt",
     ])
@@ -292,12 +362,13 @@ def with_made(text: str, seed: int) -> tuple[str, list[tuple[int, int]], int]:
     return f"{made} {made_decoy(rng)} {text[:400]}", sorted([*spans, (len(head), len(head) + len(value))]), decoy
 
 
-def train_secrets(df: DataFrame, text: str = "text", sample_rows: int = 3000, windows: int = 3000, around: int = 10) -> SecretModel:
+def train_secrets(df: DataFrame, text: str = "text", sample_rows: int = 3000, windows: int = 6000, around: int = 10) -> SecretModel:
     """Fit the field on windows of tokens from at most about `sample_rows` texts (a documented bound, chosen by hash).
 
     The base patterns label the tokens: those of the value are the secret. As their values are of few forms, each text
-    comes twice more, each time with an invented secret of another form and a decoy. Windows lie around both ends of
-    secrets, around those of invented ones, and around decoys or anywhere else; at most `windows` reach the driver.
+    comes four times more, each time with an invented secret of another form, mostly without a name that the base knows, and a
+    decoy. Windows lie around both ends of secrets, around those of invented ones, and around decoys or anywhere else; at
+    most `windows` reach the driver. Repeated texts count once and null texts not; without texts the field tags nothing.
     """
     n = df.count()
     sample = df.select(F.col(text).alias("text")).where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text"), F.lit(max(1, n // sample_rows))) == 0)).distinct()
@@ -310,48 +381,77 @@ def train_secrets(df: DataFrame, text: str = "text", sample_rows: int = 3000, wi
                 out = []
 
                 def cut(t: str, spans: list[tuple[int, int]], kind: int, decoy: int | None = None) -> None:
-                    starts, ends, shape, word, file = tokens(t, table)
+                    made = tokens([t], table)
+                    starts = made.start
                     if len(starts) < wide:
                         return
-                    tags = gold_tags(starts, ends, spans)
+                    tags = gold_tags(starts, made.end, spans)
                     first = np.flatnonzero(tags == BEGIN)
                     last = np.flatnonzero((tags != OUTSIDE) & (np.append(tags[1:], OUTSIDE) != INSIDE))
                     mids = [(kind, i) for i in np.unique([*first[:4], *last[:4]]).tolist()]
                     mids += [(0, i) for i in ([int(np.searchsorted(starts, decoy))] if decoy else np.linspace(around, len(starts) - around - 1, 2).astype(int).tolist())]
-                    rows = feature_rows(shape, word, file)
+                    rows = feature_rows(made)
                     for which, mid in mids:
                         lo = min(max(0, mid - around), len(starts) - wide)
-                        out.append((which, np.concatenate([rows[:, lo : lo + wide].ravel(), tags[lo : lo + wide]]).tolist()))
+                        out.append((which, np.concatenate([rows[:, lo : lo + wide].ravel(), tags[lo : lo + wide]])))
 
                 for t in part.column("text").to_pylist():
                     cut(t, value_spans(t), 1)
-                    for seed in range(2):
+                    for seed in range(4):
                         made, spans, decoy = with_made(t, seed)
                         cut(made, spans, 2, decoy)
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.list_(pa.int32()))], names=["secret", "w"])
+                flat = np.concatenate([np.empty(0, np.int64), *[w for _, w in out]]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(np.arange(len(out) + 1, dtype=np.int32) * (8 * wide), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), lists], names=["secret", "w"])
 
-    made = sample.mapInArrow(run, "secret int, w array<int>")
+    made = stored(sample.mapInArrow(run, "secret int, w array<int>"), "windows")
     most = {1: windows // 6, 2: windows // 2, 0: windows // 3}
     got = [np.array(r.w) for s, k in most.items() for r in made.where(F.col("secret") == s).orderBy(F.xxhash64("w")).limit(k).collect()]
     flat = np.array(got, np.int64).reshape(len(got), 8, wide)
     return fit(flat[:, :7].transpose(1, 0, 2), flat[:, 7])
 
 
-def covered(s: int, e: int, spans: list[tuple[int, int, str]]) -> bool:
-    """Whether spans, sorted by start, hold every sign from s to e together."""
-    for s2, e2, _ in spans:
-        if s2 <= s < e2:
-            s = e2
-    return s >= e
+def solid(spans: list[tuple[int, int, str]]) -> tuple[list[int], list[int]]:
+    """(starts, ends) of the stretches that spans, sorted by start, cover together."""
+    starts, ends = [], []
+    for s, e, _ in spans:
+        if starts and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
 
+def all_spans(texts: list[str | None], model: SecretModel, table: np.ndarray) -> Iterator[tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]]:
+    """(base spans, all spans) of each whole text; tagged secrets join, whole, unless base spans hold all of them.
 
-def all_spans(text: str | None, model: SecretModel, table: np.ndarray) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
-    """(base spans, all spans) of a whole text; tagged secrets join, whole, unless base spans hold all of them."""
-    text = text or ""
-    base = base_spans(text)
-    more = [(s, e, CRF) for s, e in model.spans(text, table) if not covered(s, e, base)]
+    Short texts go through the field together, about TOGETHER signs at a time.
+    """
     rank = {k: i for i, k in enumerate([*KINDS, CRF])}
-    return base, sorted(base + more, key=lambda x: (x[0], rank[x[2]]))
+    for some in together([t or "" for t in texts]):
+        made = tokens(some, table)
+        longest = np.zeros(len(some), np.int64)
+        np.maximum.at(longest, made.owner, made.end - made.start)
+        for t, most, found in zip(some, longest, model.spans_of(some, made)):
+            base = base_spans(t, most >= 24)
+            starts, ends = solid(base)
+            more = [(s, e, CRF) for s, e in found if not ((k := bisect_right(starts, s)) and ends[k - 1] >= e)]
+            yield base, sorted(base + more, key=lambda x: (x[0], rank[x[2]]))
+
+
+def together(texts: list[str]) -> Iterator[list[str]]:
+    """Texts in order, in lists of about TOGETHER signs; a longer text is a list by itself."""
+    some: list[str] = []
+    size = 0
+    for t in texts:
+        if some and size + len(t) > TOGETHER:
+            yield some
+            some, size = [], 0
+        some.append(t)
+        size += len(t)
+    if some:
+        yield some
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:
@@ -364,8 +464,9 @@ COLUMNS = [*[field(f"n_{k}", T.LongType()) for k in KINDS], field("base_sha256",
 def scan_secrets(df: DataFrame, model: SecretModel, text: str = "text") -> DataFrame:
     """`df` with counts of base matches, their digest, and all spans of every whole text; one pass without a shuffle.
 
-    Null and empty texts have none. Very long texts are read whole. Repeated rows are scanned each. Columns of the same
-    names are replaced, others stay. The model (half a MB) goes to every task.
+    Null and empty texts have none. Very long texts are read whole. Repeated rows are scanned each. Spans that start
+    alike come in the order of kinds, the field's last. Columns of the same names are replaced, others stay. Empty tables
+    give none. The model (half a MB) goes to every task.
     """
     parts = (model.weights.astype(np.float32), model.moves)
 
@@ -373,7 +474,7 @@ def scan_secrets(df: DataFrame, model: SecretModel, text: str = "text") -> DataF
         own, table = SecretModel(parts[0].astype(np.float64), parts[1]), classes()
 
         def scan(texts: list[str | None]) -> list[pa.Array]:
-            rows = [all_spans(t, own, table) for t in texts]
+            rows = list(all_spans(texts, own, table))
             counts = [pa.array([sum(k == kind for _, _, k in base) for base, _ in rows], pa.int64()) for kind in KINDS]
             digests = [sha256(joined(base).encode()).hexdigest() for base, _ in rows]
             return [*counts, pa.array(digests, pa.string()), pa.array([joined(every) for _, every in rows], pa.string())]
@@ -384,21 +485,24 @@ def scan_secrets(df: DataFrame, model: SecretModel, text: str = "text") -> DataF
 
 
 def redact_secrets(df: DataFrame, model: SecretModel, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """`df` with every span of a secret replaced by `mark`; overlapping spans become one mark; null stays null."""
+    """`df` with every span of a secret replaced by `mark`; overlapping spans become one mark.
+
+    Null stays null, and texts without a secret stay as they are, whatever their length. Rows and columns stay too.
+    """
     parts, names = (model.weights.astype(np.float32), model.moves), df.columns
 
     def make():
         own, table = SecretModel(parts[0].astype(np.float64), parts[1]), classes()
 
-        def clean(t: str | None) -> str | None:
+        def clean(t: str | None, spans: list[tuple[int, int, str]]) -> str | None:
             out, at = [], 0
-            for s, e, _ in all_spans(t, own, table)[1]:
+            for s, e, _ in spans:
                 if s >= at:
                     out += [t[at:s], mark]
                 at = max(at, e)
             return "".join([*out, t[at:]]) if out else t
 
-        return lambda texts: [pa.array([clean(t) for t in texts], pa.string())]
+        return lambda texts: [pa.array([clean(t, every) for t, (_, every) in zip(texts, all_spans(texts, own, table))], pa.string())]
 
     new = "clean_text"
     while new in names:
