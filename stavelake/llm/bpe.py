@@ -17,6 +17,7 @@ from .common import field, map_texts, table
 
 END = 0x1000  # added to the last sign of a word: the two forms of a byte are different signs
 NEVER = np.iinfo(np.int64).max
+KNOWN_PLANES = 0x32000  # code points from here on are not looked up one by one
 #: Words of a task whose ids are kept; beyond this the memory of words starts anew.
 KEPT_WORDS = 300_000
 
@@ -39,17 +40,23 @@ class WordBPE:
     def __init__(self, path: str):
         import ahocorasick
         import regex
+        from tokenizers import Tokenizer
 
         with open(path) as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
+        # letters and cases that Python's tables don't know yet: the library itself cuts texts that hold them
+        self.exact = Tokenizer.from_file(path)
+        self.unsure = np.fromiter((unicodedata.category(chr(i)) == "Cn" for i in range(KNOWN_PLANES + 1)), bool, KNOWN_PLANES + 1)
+        self.unsure[KNOWN_PLANES] = True
         # space never reaches a word, so the file's \s is spelled as White_Space, which regex's own \s exceeds
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
         signs = byte_signs()
         suffix = spec["model"]["end_of_word_suffix"]
         self.at = signs
+        self.byte_of = {c: b for b, c in enumerate(signs)}
 
         def key(token: str) -> str:
             return token[: -len(suffix) - 1] + chr(ord(token[-len(suffix) - 1]) + END) if token.endswith(suffix) and token != suffix else token
@@ -204,10 +211,19 @@ class WordBPE:
         for part in self.split_special.split(text):
             if part in self.special:
                 yield self.special[part]
-            elif part:
-                if not part.isascii():
-                    part = unicodedata.normalize("NFC", part).replace("Σ", "σ")  # signs are lower-cased one by one
+            elif part.isascii():
                 yield self.words.findall(part.lower())
+            elif self._newer(part):
+                cut = self.exact.pre_tokenizer.pre_tokenize_str(self.exact.normalizer.normalize_str(part))
+                yield [bytes(map(self.byte_of.__getitem__, w)).decode() for w, _ in cut]
+            else:
+                # signs are lower-cased one by one
+                yield self.words.findall(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())
+
+    def _newer(self, text: str) -> bool:
+        """Whether a text holds code points that Python's Unicode tables have no entry for, or that lie beyond them."""
+        cps = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        return bool(self.unsure[np.minimum(cps, KNOWN_PLANES)].any())
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each whole text."""
@@ -240,7 +256,8 @@ COLUMNS = [field("n_tokens", T.LongType()), field("ids_sha256", T.StringType()),
 def token_digests(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     """`df` with token count and digests of the ids and of the decoded text of every whole text; one pass, no shuffle.
 
-    Null and empty texts have no ids. Very long words and texts are encoded whole. Repeated rows are encoded each.
+    Null and empty texts have no ids. Very long words and texts are encoded whole, and code points of any Unicode version
+    as the library takes them. Repeated rows are encoded each.
     Columns of the same names are replaced, others stay. Empty tables give none.
     """
 

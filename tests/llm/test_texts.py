@@ -11,7 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from stavelake.llm import secrets as S
-from stavelake.llm.bpe import WordBPE, decode, encode, token_digests
+from stavelake.llm.bpe import KNOWN_PLANES, WordBPE, decode, encode, token_digests
 from stavelake.llm.language import held_out, language_model, predict_languages, train_languages
 from stavelake.llm.licenses import BASE, scan_licenses
 
@@ -38,6 +38,19 @@ def test_bpe_against_the_library(bpe, library):
         assert bpe.decode_bytes(np.array(ids, np.int64)).decode() == library.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_at_every_code_point(bpe, library):
+    """Each code point alone, inside a word, before a number, twice and between signs; known and newer ones apart."""
+    low = [chr(i) for i in range(KNOWN_PLANES) if not 0xD800 <= i < 0xE000]
+    known, newer = [[c for c in low if bpe.unsure[ord(c)] == x] for x in (False, True)]
+    beyond = [chr(i) for i in range(KNOWN_PLANES, 0x110000)]
+    for signs, form in ((known, "{0} x{0}y {0}1 {0}{0} .{0}."), (newer, "{0} x{0}y {0}1 {0}{0} .{0}."), (beyond, "x{0}")):
+        for at in range(0, len(signs), 4096):
+            text = " ".join(map(form.format, signs[at : at + 4096]))
+            ids = library.encode(text, add_special_tokens=False).ids
+            assert bpe.encode_batch([text])[0].tolist() == ids
+            assert bpe.decode_bytes(np.array(ids, np.int64)).decode() == library.decode(ids, skip_special_tokens=False)
+
+
 def test_backtracking_alone_is_exact(bpe, library):
     rng = random.Random(4)
     for _ in range(2000):
