@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -18,15 +17,9 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`; a local session without one gets its own."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`, or else one beside the session's warehouse."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    own = tempfile.mkdtemp(prefix="stavelake-")
-    spark.sparkContext.setCheckpointDir(f"file://{own}")
-    return f"file://{own}"
+    return (found or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}-stored").rstrip("/")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -71,12 +64,12 @@ def map_texts(df: DataFrame, make: Callable[[], Callable], fields: list[T.Struct
     """`df` with new columns from its text column, in one Arrow pass without a shuffle.
 
     `make()` runs once in a task and gives a function from a list of texts (None for null) to a list of Arrow arrays,
-    one for each of `fields`. New columns take the place of columns of the same name.
+    one for each of `fields`. New columns take the place of columns of the same name, in either case.
     """
-    new = {f.name for f in fields}
-    if text in new:
+    new = {f.name.lower() for f in fields}
+    if text.lower() in new:
         raise ValueError(f"{text} is both read and made")
-    df = df.select(*[c for c in df.columns if c not in new])
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in new])
     keep = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

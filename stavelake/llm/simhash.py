@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import UPPER, field, map_texts, stored, table
-from .components import components
+from .components import components, with_key_values
 
 BITS = 64
 LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
@@ -110,12 +110,16 @@ def allocate(sample: np.ndarray, n: int, radius: int) -> list[tuple[list[int], i
 
 
 def _midpoint_edges(fps: DataFrame, radius: int) -> DataFrame:
-    """Edges that connect the pairs of `fps` within an even radius, in linear space: they share a pattern half as far from each."""
-    flips = [sum(1 << b for b in c) for d in range(radius // 2 + 1) for c in combinations(range(BITS), d)]
+    """Edges that connect the pairs of `fps` within the radius, in linear space.
+
+    Two of them share a pattern that is at most radius // 2 flips from one and (radius + 1) // 2 from the other, and all
+    that share a pattern so are within the radius of its least near one. An even radius makes no difference of the two.
+    """
+    flips = [sum(1 << b for b in c) for d in range((radius + 1) // 2 + 1) for c in combinations(range(BITS), d)]
     signed = [x - (1 << 64) if x >> 63 else x for x in flips]
     masks = fps.sparkSession.createDataFrame([(signed,)], "masks array<long>")
-    spread = fps.join(F.broadcast(masks)).select("fp", F.explode("masks").alias("x")).select("fp", F.expr("fp ^ x").alias("mid"))
-    least = spread.groupBy("mid").agg(F.min("fp").alias("low"), F.count("*").alias("n")).where("n > 1")
+    spread = fps.join(F.broadcast(masks)).select("fp", F.explode("masks").alias("x")).select("fp", F.expr("fp ^ x").alias("mid"), (F.bit_count("x") <= radius // 2).alias("near"))
+    least = spread.groupBy("mid").agg(F.min(F.when(F.col("near"), F.col("fp"))).alias("low"), F.count("*").alias("n")).where("n > 1 and low is not null")
     return spread.join(least, "mid").where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct()
 
 
@@ -123,8 +127,8 @@ def links(fps: DataFrame, radius: int = 4, sample_rows: int = 4000, hot: int = 1
     """Edges (a, b) over distinct fingerprints whose components are those of all pairs within `radius` bits.
 
     A bucket is one value of one part. Buckets of at most `hot` members are joined with their probes and verified
-    inside the join. Members and probes of larger buckets are connected by shared midpoints instead (radius 2 or 4;
-    an odd radius joins them too), so no bucket emits all its pairs. `sample_rows` bounds the rows that the plan is estimated on.
+    inside the join. Members and probes of larger buckets are connected by shared midpoints instead, so no bucket emits
+    all its pairs. `sample_rows` bounds the rows that the plan is estimated on.
     """
     if not 1 <= radius <= 4:
         raise ValueError("radius is 1 to 4")
@@ -148,7 +152,7 @@ def links(fps: DataFrame, radius: int = 4, sample_rows: int = 4000, hot: int = 1
     moved = moved.select("i", F.expr("key ^ x").alias("key"), "fp", F.expr("key ^ x < key").alias("down")).where("down").drop("down")
     probe = moved.withColumn("same", F.lit(False)).union(index.select("i", "key", "fp", F.lit(True)))
     large = index.groupBy("i", "key").count().where(F.col("count") > hot).select("i", "key")
-    crowded = radius % 2 == 0 and not large.isEmpty()
+    crowded = not large.isEmpty()
     extra = None
     if crowded:
         large = stored(large, "hot")
@@ -168,16 +172,17 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text: str = "text"
     """(id_col, fp, component_id) for every row: classes of texts whose fingerprints link, named by their least id.
 
     Rows with one fingerprint are one node, so copies are never paired. Null and blank texts have fingerprint zero and
-    link like any other. Rows without an id keep a fingerprint; they do not name a component unless no row of it has an
-    id, and then the name is null. Repeated ids are kept row by row. Other columns are dropped. Empty tables give none.
+    link like any other; long texts are read whole. Rows without an id keep a fingerprint; they do not name a component
+    unless no row of it has an id, and then the name is null. Repeated ids are kept row by row. Other columns are
+    dropped. Empty tables give none. Copies and components with a large share of all rows stay spread over tasks.
     """
     docs = stored(fingerprints(df.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")), "text", "fp", width).select("doc_id", "fp"), "fingerprints")
-    classes = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     found = stored(components(links(classes.select("fp"), radius, **plan)), "components")
-    rooted = classes.join(found, classes.fp == found.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = stored(rooted.join(least, "root").select("fp", "component_id"), "named")
-    return docs.join(named, "fp").select(F.col("doc_id").alias(id_col), "fp", "component_id")
+    rooted = stored(classes.join(found.hint("merge"), classes.fp == found.node, "left").select("fp", "rep", "copies", F.coalesce("root", "fp").alias("root")), "rooted")
+    least = stored(rooted.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("n")), "least")
+    named = stored(with_key_values(rooted, least, "root", rooted.count()).select("fp", "component_id", F.col("copies").alias("n")), "named")
+    return with_key_values(docs, named, "fp", docs.count()).select(F.col("doc_id").alias(id_col), "fp", "component_id")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

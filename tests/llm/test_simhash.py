@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from stavelake.llm.components import components
+from pyspark.sql import functions as F
+from stavelake.llm.components import components, with_key_values
 from stavelake.llm.simhash import allocate, fingerprint, links, simhash_components
 
 
@@ -64,7 +65,7 @@ def edges_of(spark, fps, **more):
     return label
 
 
-@pytest.mark.parametrize("radius,hot", [(4, 1024), (4, 3), (2, 3), (3, 3), (1, 1024)])
+@pytest.mark.parametrize("radius,hot", [(4, 1024), (4, 3), (2, 3), (3, 3), (1, 2), (1, 1024)])
 def test_links_and_crowded_buckets(spark, radius, hot):
     rng, fps = random.Random(radius * hot), set()
     for _ in range(12):
@@ -86,6 +87,28 @@ def test_thresholds_meet_the_pigeonhole():
         assert len(bits) == len(set(bits)) and all(t >= 0 for _, t in plan)
 
 
+def tasks_of(df):
+    """Rows that come out of each task."""
+    return sorted((r.n for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()), reverse=True)
+
+
+def test_hot_keys_stay_spread(spark):
+    """One component holds most rows and one fingerprint a third of them; no task gets more than its share."""
+    rows = spark.range(0, 40_000, 1, 64).select(F.when(F.col("id") % 10 < 8, 7).otherwise(F.col("id") % 500 + 10).alias("k"), "id")
+    small = rows.groupBy("k").agg(F.min("id").alias("v"), F.count("*").alias("n"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        out = with_key_values(rows, small, "k", 40_000)
+        assert max(tasks_of(out)) < 40_000 / 64 + 800
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert Counter(out.collect()) == Counter(rows.join(small.drop("n"), "k").select("k", "id", "v").collect())
+    star = spark.range(1, 6000).select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b"))
+    assert Counter(r.root for r in components(star.union(star.select(F.col("a"), F.col("a") + 10_000))).collect()) == Counter({0: 11_999})
+
+
 def test_components_of_a_path(spark):
     n = 60
     path = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(100, 101), (101, 100), (7, 7), (None, 3)], "a long, b long")
