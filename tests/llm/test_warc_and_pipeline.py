@@ -1,4 +1,5 @@
 import gzip
+import random
 from collections import Counter
 from hashlib import sha1
 
@@ -98,3 +99,27 @@ def test_near_copies_with_repeated_and_missing_ids(spark):
     assert Counter(x[:2] for x in got if x[1]) == Counter([(1, a), (1, b), (3, c), (5, d), (None, e), (7, f)])
     assert sum(not x[1] for x in got) == 1 and {x[2:] for x in got} == {("x", "y")}
     assert corpus_pipeline.drop_near_copies(spark, df.where("false"), "").count() == 0
+
+
+def test_stages_on_odd_tables(spark, sf):
+    """Nulls, empty, blank and long texts, repeats, missing ids, extra columns that clash, and empty tables."""
+    rng = random.Random(5)
+    words = [w for r in spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'en'").limit(40).collect() for w in r.text.split()]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    a, b, c = prose(150), prose(150), prose(20_000)
+    texts = [(1, a), (1, b), (2, a + " "), (2, None), (3, ""), (4, " \n"), (None, c), (None, c), (None, None), (5, prose(90) + " token = 'q1w2e3r4t5y6u7i8'"), (5, prose(90))]
+    df = spark.createDataFrame([(i, t, "en" if n % 2 else None, n, n, "y", n, n, n) for n, (i, t) in enumerate(texts)], "doc_id long, text string, lang string, n_chars long, Kept long, FP string, row long, may_go long, clean_text long")
+    docs = df
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == df.columns and stage(spark, df.where("false"), sf).count() == 0 and stage(spark, df.where("text is null"), sf).count() <= 4, name
+        rows = out.collect()
+        assert all(r.FP == "y" and r.Kept == r.row == r.may_go == r.clean_text for r in rows)
+        docs = spark.createDataFrame(rows, df.schema)
+    got = Counter((r.doc_id, r.text.split()[0]) for r in docs.collect())
+    assert got == Counter((i, t.split()[0]) for i, t in ((1, a), (1, b), (None, c), texts[9], texts[10]))
+    assert not any("q1w2e3r4t5y6u7i8" in r.text for r in docs.collect())
+    for table in (docs, df):
+        pieces = corpus_pipeline.STAGES[-1][1](spark, table, sf).collect()
+        assert sum(r.start == 0 for r in pieces) == table.count()
+    assert corpus_pipeline.STAGES[-1][1](spark, df.where("false"), sf).count() == 0
