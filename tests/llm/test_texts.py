@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 from stavelake.llm import secrets as S
 from stavelake.llm.bpe import KNOWN_PLANES, WordBPE, decode, encode, token_digests
 from stavelake.llm.language import held_out, language_model, predict_languages, train_languages
+from stavelake.llm.license_texts import TEMPLATES
 from stavelake.llm.licenses import BASE, scan_licenses
 
 PATH = P.path("word_bpe_49k.json")
@@ -270,8 +271,53 @@ def test_base_licenses_against_brute_force(spark, docs, odd, none):
     assert scan_licenses(none).count() == 0
 
 
+def labelled(spark, texts):
+    return {r.doc_id: (r.labels, r.score) for r in scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+
+
 def test_license_templates(spark):
     texts = ["Licensed under the Apache License, Version 2.0.", "Licensed under the (new) Apache License, Version 2.0", "Licensed under CC BY-NC 4.0.", "Licensed under the GNU General Public License, version 3.", "the license of version 2"]
-    got = {r.doc_id: (r.labels, r.score) for r in scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    got = labelled(spark, texts)
     assert [got[i][0] for i in range(5)] == ["apache-2.0", "apache-2.0", "cc-by,cc-by-nc-4.0", "gpl,gpl-3.0", ""]
-    assert got[0][1] == 1.0 and 0.8 <= got[1][1] < 1 and got[4][1] == 0
+    assert got[0][1] == 1.0 and got[1][1] == 8 / 9 and got[4][1] == 0
+
+
+def test_every_template_with_a_word_less_and_a_word_more(spark):
+    rng, made = random.Random(3), []
+    for label, text in TEMPLATES:
+        w = text.split()
+        free = [i for i, x in enumerate(w) if not (x.isupper() or x.isdigit())]
+        made.append((label, text, 1.0))
+        made += [(label, " ".join(w[:i] + w[i + 1 :]), None) for i in (free if len(w) < 10 else rng.sample(free, 3)) if len(w) > 4 or i == 0]
+        made += [(label, " ".join([*w[:i], "zzyx", *w[i:]]), None) for i in rng.sample(range(1, len(w)), 3)]
+    got = labelled(spark, [f"Xx yy. {t.title()}; zz xx" for _, t, _ in made])
+    for i, (label, text, score) in enumerate(made):
+        assert label in got[i][0].split(","), text
+        assert score is None or got[i][1] == score
+
+
+def test_license_order_keys_and_places(spark):
+    rng = random.Random(4)
+    wrong = []
+    for label, text in TEMPLATES:
+        w = text.split()
+        if len(w) > 8:
+            wrong.append((label, " ".join(rng.sample(w, len(w)))))
+            wrong.append((label, " ".join(reversed(w))))
+        if any(x.isupper() for x in w):
+            wrong.append((label, " ".join("other" if x.isupper() else x for x in w)))
+    got = labelled(spark, [t for _, t in wrong])
+    assert [(x, t) for i, (x, t) in enumerate(wrong) if x in got[i][0].split(",")] == []
+    mit, isc = (next(t for x, t in TEMPLATES if x == label and len(t) > 90) for label in ("mit", "isc"))
+    beside = f"{isc} {mit.replace('obtaining', 'getting')}"
+    texts = [beside, f"{mit} " * 300, "cc by " * 5000, f"licensed under the mit license {isc} licensed under cc by 4 0", "Released under the MIT license. " * 50 + "Licensed under the BSD 3-clause license"]
+    got = labelled(spark, texts)
+    assert [got[i][0] for i in range(5)] == ["isc,mit", "mit", "cc-by", "cc-by,cc-by-4.0,isc,mit", "bsd,mit"]
+
+
+def test_licenses_on_odd_rows(spark, odd):
+    text = "x released under the mit license"
+    rows = [(1, text), (1, text), (None, text), (2, None), (2, ""), (2, " "), (3, "  cc by  "), (4, "mit")]
+    got = Counter(tuple(r) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    hit, nothing = (6, 0, None, None, "", "mit", 1.0), (0, 0, None, None, "", "", 0.0)
+    assert got == Counter([(1, *hit), (1, *hit), (None, *hit), *[(2, *nothing)] * 3, (3, 2, 1, 0, 0, "cc-by", "cc-by", 0.0), (4, 1, *nothing[1:])])
