@@ -10,7 +10,7 @@ from .bpe import op5_bpe
 from .language import op7_language
 from .licenses import op10_licenses
 from .packing import op1_packing
-from .quality import op4_quality
+from .quality import OP4_SQL, op4_quality
 from .secrets import op8_secrets
 from .simhash import op9_simhash
 from .topk import OP2_SQL, op2_top_k
@@ -29,4 +29,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_licenses": op10_licenses,
 }
-ORACLES: dict[str, str] = {"op2_top_k": OP2_SQL, "op3_url_filter": OP3_SQL, "op6_warc": OP6_SQL}
+ORACLES: dict[str, str] = {"op2_top_k": OP2_SQL, "op3_url_filter": OP3_SQL, "op4_quality": OP4_SQL, "op6_warc": OP6_SQL}

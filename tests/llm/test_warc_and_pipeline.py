@@ -65,7 +65,7 @@ def test_pipeline_stage_by_stage(spark, sf, docs):
         if name == "quality_rules":
             for r in kept.collect():
                 t = Text(r.text)
-                good = t.n_words >= 50 and 2 * t.n_repeat_words() <= t.n_words and not any(rule(t) for rule in RULES.values())
+                good = t.n_words >= 50 and 2 * t.n_repeat_words <= t.n_words and not any(rule(t) for rule in RULES.values())
                 assert (r.doc_id in ids) == good
         if name == "simhash_near_dedup":
             fps = {r.doc_id: fingerprint(r.text) for r in kept.collect()}
