@@ -67,42 +67,59 @@ def may_contain(spark: SparkSession, words: np.ndarray):
     return test
 
 
+def those_it_may_contain(spark: SparkSession, words: np.ndarray):
+    """As `may_contain`, from an array of hashes to an array of those that the filter may hold."""
+    shared = spark.sparkContext.broadcast(words)
+
+    @F.pandas_udf("array<long>")
+    def test(hs: pd.Series) -> pd.Series:
+        words, sizes = shared.value, hs.map(len).to_numpy(np.int64)
+        h = np.concatenate([np.empty(0, np.int64), *hs])
+        at, masks = _places(h, len(words) // WORDS)
+        hit = (words[at] & masks == masks).all(axis=1)
+        ends = np.cumsum(np.bincount(np.repeat(np.arange(len(sizes)), sizes)[hit], minlength=len(sizes)))
+        return pd.Series(np.split(h[hit], ends[:-1]) if len(sizes) else [], index=hs.index, dtype=object)
+
+    return test
+
+
+#: A URL's key for each shape (labels of host, characters of path) in the list that it has room for.
+KEYS = """filter(transform(shapes, s -> if(size(split(host, '[.]', -1)) >= s.labels and length(path) >= s.chars,
+  named_struct('labels', s.labels, 'chars', s.chars, 'key', concat(substring_index(host, '.', -s.labels), substring(path, 1, s.chars))), null)), k -> k is not null)"""
+
+
 def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
     """(id, host, path, rule, verdict) for every row: the longest listed host and path prefix that fits, or `default`.
 
     `rules` has host, path and verdict. A rule fits its host and all subdomains when the path starts with the rule's.
-    Each URL gives one key for every shape (labels of host, characters of path) in the list, at most one for each label
-    count and path length; the Bloom filter passes possible hits and an exact join on the key drops the false ones.
-    Up to MOST_LISTED rules are broadcast; a longer list is joined by shuffle, where skewed keys are split by AQE.
-    Null or odd URLs have empty host and path and get `default`. Repeated rows are judged each; a rule listed twice
-    counts once, `block` before `allow`. Other columns are dropped. Empty tables give none.
+    Each URL gives one key for every shape in the list, at most one for each label count and path length; the Bloom
+    filter passes possible hits. A URL without one gets `default` where it is and moves nowhere; the others meet the
+    list in an exact join on the key, which drops the false hits, and the longest rule of each row is taken by its row
+    number. Up to MOST_LISTED rules are broadcast; a longer list is joined by shuffle, where skewed keys are split by AQE.
+    Null or odd URLs have empty host and path and get `default`; long ones are read whole. Repeated rows are judged
+    each; a rule listed twice counts once, `block` before `allow`. Other columns are dropped. Empty tables give none.
     """
     spark = pages.sparkSession
-    labels = F.size(F.split("host", r"\.", -1))
+    labels = F.size(F.split("host", r"[.]", -1))
     rules = rules.select(ascii_lower(F.col("host")).alias("host"), "path", "verdict").where("host is not null and path is not null")
     listed = rules.groupBy(F.concat("host", "path").alias("key"), labels.alias("labels"), F.length("path").alias("chars")).agg(F.max("verdict").alias("verdict"))
     listed = listed.withColumn("h", F.xxhash64("key"))
     n = listed.count()
-    shapes = [(r.labels, r.chars) for r in listed.select("labels", "chars").distinct().collect()]
-    test = may_contain(spark, bloom_words(listed, n))
+    passed = those_it_may_contain(spark, bloom_words(listed, n))
+    shapes = listed.agg(F.array_sort(F.collect_set(F.struct("labels", "chars"))).alias("shapes"))
     host, path = host_path(F.col(url))
-    base = pages.select(F.col(id_col).alias("id"), F.col(url).alias("url"), host.alias("host"), path.alias("path"))
-    keys = [
-        F.when((labels >= k) & (F.length("path") >= c), F.struct(F.lit(k).alias("labels"), F.lit(c).alias("chars"), F.concat(F.substring_index("host", ".", -k), F.substring("path", 1, c)).alias("key")))
-        for k, c in shapes
-    ]
-    cols = ["id", "url", "host", "path"]
-    none = base.select(*cols, F.lit(1).alias("n"), F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
-    if keys:
-        tried = base.select(*cols, F.explode(F.filter(F.array(*keys), lambda k: k.isNotNull())).alias("k"))
-        tried = tried.select(*cols, "k.labels", "k.chars", "k.key").where(test(F.xxhash64("key")))
-        exact = listed.select("labels", "chars", "key", "verdict")
-        hits = tried.join(F.broadcast(exact) if n <= MOST_LISTED else exact, ["labels", "chars", "key"])
-        none = none.union(hits.select(*cols, F.lit(0), F.col("key"), "verdict"))
-    # url and id stand for a row; the same row given twice comes back twice
-    best = none.groupBy(*cols).agg(F.sum("n").alias("n"), F.max(F.struct(F.length("rule").alias("size"), F.col("rule"), F.col("verdict"))).alias("b"))
-    out = best.select(F.col("id").alias(id_col), "host", "path", F.col("b.rule").alias("rule"), F.coalesce("b.verdict", F.lit(default)).alias("verdict"), "n")
-    return out.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("n")
+    base = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("row"))
+    keyed = base.join(F.broadcast(shapes)).select("id", "row", "host", "path", F.expr(KEYS).alias("keys"))
+    keyed = keyed.withColumn("passed", passed(F.transform("keys", lambda k: F.xxhash64(k.key))))
+    cols = ["id", "host", "path"]
+    none = keyed.where(F.size("passed") == 0).select(*cols, F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
+    tried = keyed.where(F.size("passed") > 0).select("row", *cols, F.explode(F.filter("keys", lambda k: F.array_contains("passed", F.xxhash64(k.key)))).alias("k"))
+    tried = tried.select("row", *cols, "k.labels", "k.chars", "k.key")
+    exact = listed.select("labels", "chars", "key", "verdict")
+    hits = tried.join(F.broadcast(exact) if n <= MOST_LISTED else exact, ["labels", "chars", "key"], "left").withColumn("rule", F.when(F.col("verdict").isNotNull(), F.col("key")))
+    best = hits.groupBy("row").agg(*[F.first(c).alias(c) for c in cols], F.max(F.struct(F.length("rule").alias("size"), F.col("rule"), F.col("verdict"))).alias("b"))
+    out = none.unionByName(best.select(*cols, F.col("b.rule").alias("rule"), F.col("b.verdict").alias("verdict")))
+    return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
