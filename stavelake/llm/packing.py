@@ -119,37 +119,36 @@ def _ranges(patterns: list[tuple[int, list[tuple[int, int]]]]) -> list[tuple[int
     return out
 
 
-def packed(pieces: DataFrame, most: int = 1024, groups: int = 2000) -> DataFrame:
-    """`pieces` with `sequence_id` and `offset`.
+def packed(pieces: DataFrame, most: int = 1024, deal_rows: int = 250_000) -> DataFrame:
+    """`pieces` with `sequence_id` and `offset`; `pieces` is a written table with a `row` number, which is dropped.
 
     The driver sees the histogram only (at most `most` rows). Pieces get a rank within their length: each length is
-    dealt into groups in proportion to its rows, ranked there, and moved up by the rows of the groups before it, so no
-    length is one task. Patterns join back by length and rank range. Both lookups are bounded by `most` and `groups`.
-    `pieces` has to be a written table, as it is read more than once.
+    dealt by row number into groups of about `deal_rows` or fewer, ranked there, and moved up by the rows of the groups
+    before it, so neither a length nor a repeated id is one task. Patterns join back by length and rank range. Both
+    lookups are small: at most `most` lines, and one for each group.
     """
     spark = pieces.sparkSession
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
-    share = max(1, sum(counts.values()) // groups)
-    deal = spark.createDataFrame([(n, -(-c // share)) for n, c in counts.items()], "length long, deals long")
+    deal = spark.createDataFrame([(n, -(-c // deal_rows)) for n, c in counts.items()], "length long, deals long")
     slots = spark.createDataFrame(_ranges(packing_patterns(counts, most)), "length long, first long, end long, packs long, sequence long, at long")
-    key = F.xxhash64("doc_id", "start", "ids_crc32")
-    dealt = pieces.join(F.broadcast(deal), "length").withColumn("deal", F.pmod(key, F.col("deals"))).drop("deals")
+    dealt = pieces.join(F.broadcast(deal), "length").withColumn("deal", F.pmod(F.xxhash64("row"), F.col("deals"))).drop("deals")
     before = dealt.groupBy("length", "deal").count()
     before = before.select("length", "deal", (F.sum("count").over(Window.partitionBy("length").orderBy("deal")) - F.col("count")).alias("before"))
-    ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("length", "deal").orderBy("doc_id", "start", "ids_crc32")) - 1)
+    ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("length", "deal").orderBy("row")) - 1)
     ranked = ranked.join(F.broadcast(before), ["length", "deal"]).withColumn("rank", F.col("rank") + F.col("before")).drop("before", "deal")
     joined = ranked.join(F.broadcast(slots.withColumnRenamed("length", "slot")), F.expr("length = slot and rank >= first and rank < end"))
     seq, off = F.expr("sequence + (rank - first) % packs"), F.expr("at + (rank - first) div packs * length")
-    return joined.withColumns({"sequence_id": seq, "offset": off}).drop("rank", "slot", "first", "end", "packs", "sequence", "at")
+    return joined.withColumns({"sequence_id": seq, "offset": off}).drop("rank", "row", "slot", "first", "end", "packs", "sequence", "at")
 
 
 def pack_documents(df: DataFrame, json_path: str, ranks_path: str | None, pattern: str, most: int = 1024, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row's ids in sequences of at most `most` tokens, one row for each piece.
 
-    A null or empty text is one end id. Very long texts become many full pieces. Repeated rows are packed each. A null
-    id is kept. Other columns are dropped. Empty tables give none.
+    A null or empty text is one end id. Very long texts become many full pieces. Repeated rows are packed each. Pieces of
+    one length are ranked in the order they are written. A null id is kept. Other columns are dropped. Empty tables give none.
     """
-    pieces = stored(token_pieces(df, json_path, ranks_path, pattern, most, id_col, text), "pieces")
+    pieces = token_pieces(df, json_path, ranks_path, pattern, most, id_col, text)
+    pieces = stored(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
     return packed(pieces, most).withColumnRenamed("doc_id", id_col)
 
 
