@@ -12,7 +12,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, shared_dir, stored, table
+from .common import chunks, drop_folder, shared_dir, stored, table
 
 LEVEL = 3
 READ = 1 << 20
@@ -58,13 +58,13 @@ def page_of(urn: str | None) -> int | None:
 
 
 class Inflated:
-    """Bytes of a gzip file, inflated once from front to end; members may follow each other."""
+    """Bytes of a gzip file, inflated once from front to end, READ at a time; members may follow each other."""
 
     def __init__(self, source) -> None:
         self.source, self.engine, self.held = source, zlib.decompressobj(31), bytearray()
 
     def more(self) -> bool:
-        raw = self.engine.unused_data if self.engine.eof else b""
+        raw = self.engine.unused_data if self.engine.eof else self.engine.unconsumed_tail
         raw = raw or self.source.read(READ)
         if not raw:
             if not self.engine.eof:
@@ -72,7 +72,7 @@ class Inflated:
             return False
         if self.engine.eof:
             self.engine = zlib.decompressobj(31)
-        self.held += self.engine.decompress(raw)
+        self.held += self.engine.decompress(raw, READ)
         return True
 
     def until(self, mark: bytes) -> bytes | None:
@@ -151,7 +151,7 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
     """Inflate each archive once, rewrite every record as a gzip member of its own, and write the offsets beside it.
 
     Gives the sidecar's rows: (path, record, offset, size). Works on archives of one member, of many, or of both.
-    Rows that name archives are small while archives are not, so there are as many tasks as archives.
+    Rows that name archives are small while archives are not, so they are dealt in turn to as many tasks as there are archives.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +175,7 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
                 cols = [pa.array([e[i] for e in entries], pa.int64()) for i in range(3)]
                 yield pa.RecordBatch.from_arrays([pa.array([path] * len(entries), pa.string()), *cols], names=["path", "record", "offset", "size"])
 
-    return archives.repartition(max(1, archives.count()), "path").mapInArrow(run, ENTRY)
+    return archives.repartition(max(1, archives.count())).mapInArrow(run, ENTRY)
 
 
 PAGE = "page_id long, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -217,11 +217,13 @@ def archive_pages(pages: DataFrame, least: int = 1000) -> DataFrame:
 
     A null html is an empty payload. Of equal payloads of `least` bytes or more the rows with the largest page_id are
     responses and the others revisits; where all ids are null, all are responses. A null id among others is a revisit.
-    Repeated rows give a record each. Other columns are dropped. Empty tables give no archives and no rows.
+    Repeated rows give a record each, all of one id being responses or all revisits. Long payloads are written and read
+    whole. Other columns are dropped. Empty tables give no archives and no rows.
     """
     folder = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     archives = stored(write_archives(marked_pages(pages, least), f"{folder}/raw"), "archives")
     index = stored(normalise(archives, f"{folder}/members"), "offsets")
+    drop_folder(pages.sparkSession, f"{folder}/raw")  # every record is in a member by now
     return read_records(index, folder)
 
 
