@@ -19,8 +19,8 @@ MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
 def letter_table() -> np.ndarray:
-    """Which code points below U+20000 are letters (Unicode category L)."""
-    return np.fromiter((chr(i).isalpha() for i in range(0x20000)), bool, 0x20000)
+    """Which code points below U+40000 are letters (Unicode category L); there are none beyond."""
+    return np.fromiter((chr(i).isalpha() for i in range(0x40000)), bool, 0x40000)
 
 
 def code_points(text: str) -> np.ndarray:
@@ -30,7 +30,7 @@ def code_points(text: str) -> np.ndarray:
 def grams(text: str, letters: np.ndarray, width: int) -> np.ndarray:
     """Hashes of all n-grams of a lower-cased whole text, with other signs as one kind of gap; none without a letter."""
     cps = code_points(f" {text.lower()} ")
-    is_letter = letters[np.minimum(cps, len(letters) - 1)]
+    is_letter = letters[np.minimum(cps, len(letters) - 1)]  # the last one is no letter
     keep = is_letter.copy()
     keep[1:] |= is_letter[:-1]  # one gap after each word
     keep[0] = True
@@ -45,23 +45,30 @@ def grams(text: str, letters: np.ndarray, width: int) -> np.ndarray:
 
 @dataclass
 class LanguageModel:
-    """`rows[i]` has bit l set if some n-gram of language l falls on row i; `fill[l]` is the share of rows set for l."""
+    """`rows[i]` has bit l % 64 of word l // 64 set if some n-gram of language l falls on row i.
+
+    `cover[l]` is the share of all n-grams of l's own texts that its filter holds.
+    """
 
     languages: list[str]
     rows: np.ndarray
     width: int
     prior: int
+    cover: list[float]
 
     def __post_init__(self) -> None:
-        bits = np.arange(len(self.languages), dtype=np.uint64)
-        self.false = np.array([((self.rows >> b) & np.uint64(1)).mean() for b in bits]) ** HASHES
+        self.false = np.array([((self.rows[:, b >> 6] >> np.uint64(b & 63)) & np.uint64(1)).mean() for b in range(len(self.languages))]) ** HASHES
 
     def masks(self, h: np.ndarray) -> np.ndarray:
-        """For each n-gram, the bits of all languages that may contain it: the AND of its rows."""
+        """For each n-gram, the bits of all languages that may contain it: the AND of its rows, a word for 64 languages."""
         return self.rows[places(h, 0, len(self.rows))] & self.rows[places(h, 1, len(self.rows))] & self.rows[places(h, 2, len(self.rows))]
 
     def predict(self, texts: list[str | None], letters: np.ndarray) -> tuple[list[str], list[float]]:
-        """Language and score of each text: per-language popcounts over the masks, less the expected false positives."""
+        """Language and score of each text: per-language popcounts over the masks, less the expected false positives.
+
+        The score is the best language's share of known n-grams against what its own texts have, 1 at most, so that a
+        language with very many n-grams is not held to have a poor fit.
+        """
         each = [grams(t or "", letters, self.width) for t in texts]
         sizes = np.array([len(g) for g in each])
         known = np.array([any(map(str.isalpha, t or "")) for t in texts], bool)
@@ -70,11 +77,12 @@ class LanguageModel:
             masks, full = self.masks(np.concatenate(each)), np.flatnonzero(sizes)
             starts = (np.cumsum(sizes) - sizes)[full]
             for b in range(len(self.languages)):
-                hits = np.add.reduceat(((masks >> np.uint64(b)) & np.uint64(1)).astype(np.int64), starts)
+                hits = np.add.reduceat(((masks[:, b >> 6] >> np.uint64(b & 63)) & np.uint64(1)).astype(np.int64), starts)
                 share[full, b] = (hits / sizes[full] - self.false[b]) / (1 - self.false[b])
         share = np.clip(share, 0, 1)
         best = np.where(share.max(1) > 0, share.argmax(1), self.prior)
-        return [self.languages[b] if k else UNKNOWN for b, k in zip(best, known)], [float(share[i, b]) if known[i] else 0.0 for i, b in enumerate(best)]
+        score = [min(1.0, float(share[i, b]) / max(self.cover[b], 1e-9)) for i, b in enumerate(best)]
+        return [self.languages[b] if k else UNKNOWN for b, k in zip(best, known)], [x if k else 0.0 for x, k in zip(score, known)]
 
 
 def places(h: np.ndarray, k: int, rows: int) -> np.ndarray:
@@ -82,24 +90,22 @@ def places(h: np.ndarray, k: int, rows: int) -> np.ndarray:
     return ((h >> np.uint64(7 + 19 * k)) & np.uint64(rows - 1)).astype(np.int64)
 
 
-def train_languages(labelled: DataFrame, text: str = "text", lang: str = "lang", rows_each: int = 1500, grams_each: int = 1200, width: int = 3) -> LanguageModel:
+def train_languages(labelled: DataFrame, text: str = "text", lang: str = "lang", rows_each: int = 1500, grams_each: int = 1000, width: int = 3) -> LanguageModel:
     """Fit filters on labelled texts.
 
-    At most about `rows_each` texts of each language are used (a documented bound, chosen by hash of the text), and at
-    most 64 languages. Spark counts their n-grams; each language keeps the `grams_each` with the highest count, weighed
-    by how much more often it uses them than the languages together. Only those reach the driver.
+    At most about `rows_each` different texts of each language are used (a documented bound, chosen by hash of the text).
+    Spark counts their n-grams; each language keeps the `grams_each` (a bound too) with the highest count, weighed by how
+    much more often it uses them than the languages together. Only those reach the driver. Any number of languages can
+    be learned; the model grows with it, by 16 bits a kept n-gram.
     """
     labelled = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy("lang").limit(65).collect()}
+    totals = labelled.groupBy("lang").agg(F.count("*").alias("rows"))
+    counts = {r["lang"]: r["rows"] for r in totals.collect()}
     if not counts:
-        return LanguageModel([UNKNOWN], np.zeros(1 << 12, np.uint64), width, 0)
-    if len(counts) > 64:
-        raise ValueError("a mask holds 64 languages at most")
+        return LanguageModel([UNKNOWN], np.zeros((1 << 12, 1), np.uint64), width, 0, [1.0])
     languages = sorted(counts)
-    keep = F.lit(False)
-    for name, n in counts.items():
-        keep = F.when(F.col("lang") == name, F.pmod(F.xxhash64("text"), F.lit(max(1, n // rows_each))) == 0).otherwise(keep)
-    sample = labelled.where(keep)
+    step = F.greatest(F.floor(F.col("rows") / rows_each), F.lit(1))
+    sample = labelled.join(F.broadcast(totals), "lang").where(F.pmod(F.xxhash64("text"), step) == 0).select("text", "lang").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = letter_table()
@@ -118,24 +124,28 @@ def train_languages(labelled: DataFrame, text: str = "text", lang: str = "lang",
     share = F.col("rate") / F.sum("rate").over(Window.partitionBy("g"))
     weighed = rate.withColumn("w", F.col("rate") * share)
     top = weighed.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("w"), "g"))).where(F.col("k") <= grams_each)
-    chosen = top.select("lang", "g").toPandas()
+    chosen = top.select("lang", "g", "rate").toPandas()
     size = 1 << int(np.ceil(np.log2(16 * grams_each)))
-    rows = np.zeros(size, np.uint64)
+    rows = np.zeros((size, -(-len(languages) // 64)), np.uint64)
+    cover = []
     for b, name in enumerate(languages):
-        h = chosen.loc[chosen["lang"] == name, "g"].to_numpy(np.int64).view(np.uint64)
+        own = chosen[chosen["lang"] == name]
+        h = own["g"].to_numpy(np.int64).view(np.uint64)
         for k in range(HASHES):
-            rows[np.unique(places(h, k, size))] |= np.uint64(1 << b)
-    return LanguageModel(languages, rows, width, max(range(len(languages)), key=lambda i: counts[languages[i]]))
+            rows[np.unique(places(h, k, size)), b >> 6] |= np.uint64(1 << (b & 63))
+        cover.append(float(own["rate"].sum()) or 1.0)
+    return LanguageModel(languages, rows, width, max(range(len(languages)), key=lambda i: counts[languages[i]]), cover)
 
 
 def predict_languages(df: DataFrame, model: LanguageModel, text: str = "text", out: str = "lang_pred", score: str = "score") -> DataFrame:
     """`df` with the predicted language and a score from 0 to 1 for every whole text, in one pass without a shuffle.
 
-    The model (a few hundred KB at most, whatever the corpus) goes to every task. Null texts and texts without a letter
+    The model (128 KB for each 64 languages, whatever the corpus) goes to every task. Null texts and texts without a letter
     are `und` with score 0. A text that no filter knows gets the most frequent training language with score 0; ties go
-    to the first language by name. Repeated rows are judged each. Columns of the same names are replaced.
+    to the first language by name. Long texts are read whole. Repeated rows are judged each. Columns of the same names
+    are replaced. Empty tables give none.
     """
-    parts = (model.languages, model.rows, model.width, model.prior)
+    parts = (model.languages, model.rows, model.width, model.prior, model.cover)
 
     def make():
         own, letters = LanguageModel(*parts), letter_table()

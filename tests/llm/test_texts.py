@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from stavelake.llm import secrets as S
 from stavelake.llm.bpe import KNOWN_PLANES, WordBPE, decode, encode, token_digests
-from stavelake.llm.language import held_out, language_model, predict_languages, train_languages
+from stavelake.llm.language import grams, held_out, language_model, letter_table, predict_languages, train_languages
 from stavelake.llm.license_texts import TEMPLATES
 from stavelake.llm.licenses import BASE, scan_licenses
 
@@ -92,6 +92,38 @@ def test_language_filters_hold_their_ngrams(docs):
     assert model.languages == sorted(model.languages) and (model.false < 0.05).all()
 
 
+def test_language_against_plain_sets(docs, odd):
+    """Shares counted with exact sets of n-grams in place of the filters: the same languages, nearly the same scores."""
+    rows = [(r.text, r.lang) for r in docs.collect() if r.text and r.lang]
+    table, counts = letter_table(), {}
+    for t, lang in set(rows):
+        counts.setdefault(lang, Counter()).update(grams(t, table, 3).tolist())
+    rate = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in counts.items()}
+    total = Counter()
+    for r in rate.values():
+        total.update(r)
+    signed = lambda g: g - 2**64 if g >> 63 else g
+    kept = {lang: set(sorted(r, key=lambda g: (-r[g] * r[g] / total[g], signed(g)))[:1000]) for lang, r in rate.items()}
+    cover = {lang: sum(rate[lang][g] for g in kept[lang]) for lang in kept}
+    got = predict_languages(docs, train_languages(docs)).select("text", "lang_pred", "score").collect()
+    close = 0
+    for r in got:
+        h = grams(r.text or "", table, 3).tolist()
+        share = {lang: sum(g in kept[lang] for g in h) / max(1, len(h)) for lang in sorted(kept)}
+        best = max(sorted(share), key=share.get)
+        close += not h or r.lang_pred == best and abs(r.score - min(1, share[best] / cover[best])) < 0.05
+    assert close >= 0.98 * len(got)
+
+
+def test_more_languages_than_a_word_has_bits(spark):
+    letters = [chr(0x4E00 + 3 * i) for i in range(130 * 40)]
+    rng = random.Random(3)
+    texts = [(f"l{k:03d}", " ".join("".join(rng.choices(letters[40 * k : 40 * k + 40], k=4)) for _ in range(60))) for k in range(130) for _ in range(2)]
+    df = spark.createDataFrame(texts, "lang string, text string")
+    got = predict_languages(df, train_languages(df)).collect()
+    assert all(r.lang == r.lang_pred and r.score > 0.3 for r in got) and len(got) == 260
+
+
 def plain_spans(text):
     kinds = [(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "assign", 6, 1), ("AKIA[A-Z0-9]+", "access", 20, 0), ("[0-9a-f]+", "hex", 24, 0)]
     found = [(m.start(), k, m.end(), name) for k, (p, name, least, g) in enumerate(kinds) for m in re.finditer(p, text or "") if len(m[g]) >= least]

@@ -1,4 +1,5 @@
 import gzip
+import io
 import random
 from collections import Counter
 from hashlib import sha1
@@ -32,6 +33,16 @@ def test_odd_pages_round_trip(spark):
     assert W.archive_pages(df.where("false")).count() == 0
 
 
+def test_repeated_pages_and_bombs(spark):
+    """Repeated rows give a record each; a payload of repeated bytes is inflated in steps."""
+    big, huge = "z" * 2000, "ab" * 8_000_000
+    rows = [(1, "u", big), (1, "u", big), (2, "u", big), (2, "u", big), (3, "u", huge), (None, "u", big)]
+    got = Counter((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in W.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got == Counter({(1, "revisit", 2, 2000): 2, (2, "response", None, 2000): 2, (3, "response", None, 16_000_000): 1, (None, "revisit", 2, 2000): 1})
+    stream = W.Inflated(io.BytesIO(gzip.compress(b"\0" * 50_000_000)))
+    assert stream.more() and len(stream.held) <= W.READ and len(stream.exactly(50_000_000)) == 50_000_000 and not stream.more()
+
+
 def test_normaliser_takes_members_and_whole_streams(spark):
     folder = f"{shared_dir(spark)}/mixed"
     fs, root = W.open_fs(folder)
