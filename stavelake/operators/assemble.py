@@ -94,3 +94,55 @@ def join_pages(notes: DataFrame, book: str = "book") -> DataFrame:
     before = F.sum("width").over(Window.partitionBy(book).orderBy("page")) - F.col("width")
     at = width.select(book, "page", before.alias("before"))
     return notes.join(at, [book, "page"]).select("event_id", book, "page", long(F.col("before") + F.col("measure")).alias("measure"))
+
+
+def split_staves(notes: DataFrame, clefs: DataFrame, part: str = "part") -> DataFrame:
+    """Each staff of each part as a row of its own: its name, its place in the system from the top, staff 1, and its clef.
+
+    Rows are in order of part, then staff; a staff without a clef of its own has a treble clef.
+    """
+    at = F.dense_rank().over(Window.partitionBy("page", "system").orderBy(part, "staff"))
+    clef = clefs.select("page", "system", "staff", F.concat("sign", F.col("line").cast("string")).alias("clef"))
+    rows = notes.select("event_id", "page", "system", "staff", part).withColumns({"row": at, "id": F.concat(F.col(part).cast("string"), F.lit(".s"), F.col("staff").cast("string"))})
+    return rows.join(clef, ["page", "system", "staff"], "left").select("event_id", "page", "system", "id", "row", F.lit(1).alias("staff"), F.coalesce("clef", F.lit("G2")).alias("clef"))
+
+
+def assemble_fragments(notes: DataFrame, fragment: list[str], names: DataFrame | None = None) -> DataFrame:
+    """Fragments of a page as a part each, in order, with measures numbered from 1; `names` has (number, name)."""
+    number = F.dense_rank().over(Window.partitionBy("page").orderBy(*fragment))
+    measure = F.dense_rank().over(Window.partitionBy("page", *fragment).orderBy("measure"))
+    rows = notes.select("event_id", "page", number.alias("number"), measure.alias("measure"))
+    rows = rows.withColumn("name", F.lit(None).cast("string")) if names is None else rows.join(names.select("number", "name"), "number", "left")
+    return rows.select("event_id", "page", F.concat(F.lit("P"), F.col("number").cast("string")).alias("part"), F.coalesce("name", F.concat(F.lit("Staff "), F.col("number").cast("string"))).alias("name"), "measure")
+
+
+def page_context(measures: DataFrame) -> DataFrame:
+    """The meter and the key that most bars of a page have, each with its votes; of equals the one met first."""
+    out = None
+    for name, value in (("meter", F.concat("beats", F.lit("/"), "beat_type")), ("fifths", F.col("fifths"))):
+        votes = measures.where(value.isNotNull()).groupBy("page", value.alias(name)).agg(long(F.count("*")).alias(f"{name}_votes"), F.min("measure").alias("first"))
+        top = votes.withColumn("k", F.row_number().over(Window.partitionBy("page").orderBy(F.desc(f"{name}_votes"), "first"))).where("k = 1").drop("k", "first")
+        out = top if out is None else out.join(top, "page", "full_outer")
+    return out
+
+
+def join_parts(notes: DataFrame, book: str = "book", part: str = "part", first_staff: int = 3, voices: int = 10) -> DataFrame:
+    """Pages of each book in one part: part 0 of a page, and each further part on a staff of its own, in voices of its own.
+
+    Bars of part 0 are numbered through the book; the others' bars meet them by their place on the page, and what has no
+    bar to meet goes. `staves` is 2 and one for each further part that any page has, or null without any; `new_page` marks
+    the first bar of a page after the first.
+    """
+    bars = notes.where(F.col(part) == 0).select(book, "page", "measure").distinct()
+    bars = bars.withColumn("at", F.row_number().over(Window.partitionBy(book, "page").orderBy("measure")))
+    width = bars.groupBy(book, "page").agg(F.max("at").alias("width"))
+    w = Window.partitionBy(book).orderBy("page")
+    pages = width.select(book, "page", "width", (F.sum("width").over(w) - F.col("width")).alias("before"), F.row_number().over(w).alias("nth"))
+    most = notes.groupBy(book).agg(F.max(part).alias("most"))
+    own = notes.withColumn("at", F.dense_rank().over(Window.partitionBy(book, "page", part).orderBy("measure")))
+    rows = own.join(pages, [book, "page"]).where("at <= width").join(most, book)
+    extra = F.col(part) > 0
+    return rows.select(
+        "event_id", book, "page", long(F.col("before") + F.col("at")).alias("measure"), F.when(extra, F.col(part) + first_staff - 1).otherwise(F.col("staff")).alias("staff"),
+        F.when(extra, F.col("voice") + voices).otherwise(F.col("voice")).alias("voice"), F.when(F.col("most") > 0, F.col("most") + first_staff - 1).alias("staves"), ((F.col("at") == 1) & (F.col("nth") > 1)).cast("int").alias("new_page"),
+    )

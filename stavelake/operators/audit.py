@@ -161,27 +161,65 @@ def page_summary(notes: DataFrame) -> DataFrame:
     )
 
 
+def missing_context(notes: DataFrame, clefs: DataFrame) -> DataFrame:
+    """Pages with notes for which no clef is known."""
+    return notes.select("page").distinct().join(clefs.where("sign is not null").select("page"), "page", "left_anti")
+
+
+def stream_flags(notes: DataFrame) -> DataFrame:
+    """(check, severity, page, measure) of all checks that look at a note and the one before it, in one pass.
+
+    Streams are in order of measure and onset, so a note collides with the one before if both stand at one onset.
+    """
+    before = {f"before_{c}": F.lag(c).over(stream()) for c in ("midi", "dur", "measure", "onset")}
+    found = {
+        "voice_collision": (3, "measure = before_measure and onset = before_onset"),
+        "dotted_eighth": (1, "dur = 18 and before_dur = 18"),
+        "duplicate_adjacent": (1, "midi = before_midi and dur = before_dur"),
+    }
+    hits = F.array(*[F.when(F.expr(when), F.struct(F.lit(name).alias("check"), F.lit(level).alias("severity"))) for name, (level, when) in found.items()])
+    own = notes.where("not is_rest and not is_chord").withColumns(before)
+    return own.select("page", "measure", F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("f")).select("f.check", "f.severity", "page", "measure")
+
+
 CHECKS = {
-    "voice_collision": (3, lambda n, m, c: voice_collision(n)),
     "empty_measure": (3, lambda n, m, c: empty_measure(n, m)),
     "broken_measure": (2, lambda n, m, c: broken_measure(n, m)),
     "out_of_range": (1, lambda n, m, c: out_of_range(n)),
-    "dotted_eighth": (1, lambda n, m, c: dotted_eighth(n)),
-    "duplicate_adjacent": (1, lambda n, m, c: duplicate_adjacent(n)),
+}
+#: Checks of whole pages and streams, and those that need clefs. What has no measure of its own gets none.
+PAGE_CHECKS = {
+    "wrong_meter": (3, lambda n, m, c: wrong_meter(n, m)),
+    "missing_meter": (2, lambda n, m, c: missing_meter(m)),
+    "outlier_pitch": (2, lambda n, m, c: outlier_pitch(n, c)),
+    "clef_content": (2, lambda n, m, c: clef_content(n, c)),
+    "vocal_leap": (1, lambda n, m, c: vocal_leap(n)),
+    "silence_run": (1, lambda n, m, c: silence_run(n, m)),
+    "missing_context": (1, lambda n, m, c: missing_context(n, c)),
 }
 
 
-def flags(notes: DataFrame, measures: DataFrame, clefs: DataFrame | None = None, checks: dict = CHECKS) -> DataFrame:
-    """(check, severity, page, measure) of all checks; add a check by name with a severity and a function."""
-    out = None
-    for name, (severity, check) in checks.items():
+def flags(notes: DataFrame, measures: DataFrame, clefs: DataFrame | None = None, checks: dict | None = None) -> DataFrame:
+    """(check, severity, page, measure) of all checks; with clefs, also of PAGE_CHECKS. Name others with a severity and a function."""
+    out = stream_flags(notes)
+    for name, (severity, check) in (checks or (CHECKS if clefs is None else CHECKS | PAGE_CHECKS)).items():
         found = check(notes, measures, clefs)
         level = F.col("severity") if "severity" in found.columns else F.lit(severity)
-        rows = found.select(F.lit(name).alias("check"), level.cast("int").alias("severity"), "page", "measure")
-        out = rows if out is None else out.unionByName(rows)
+        measure = F.col("measure") if "measure" in found.columns else F.lit(None)
+        out = out.unionByName(found.select(F.lit(name).alias("check"), level.cast("int").alias("severity"), "page", measure.cast("int").alias("measure")))
     return out
 
 
+def page_reports(notes: DataFrame, measures: DataFrame, clefs: DataFrame, found: DataFrame) -> DataFrame:
+    """Per page: the summary, its first meter, its clefs by staff, and how many flags of each severity it has."""
+    meter = measures.groupBy("page").agg(F.min_by(F.concat("beats", F.lit("/"), "beat_type"), "measure").alias("time"))
+    first = clefs.groupBy("page", "staff").agg(F.min_by(F.concat("sign", F.col("line").cast("string")), "system").alias("clef"))
+    named = first.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("staff", "clef"))), lambda x: x.clef), ",").alias("clefs"))
+    level = lambda k: long(F.sum((F.col("severity") == k).cast("int"))).alias(f"flags_{k}")
+    out = page_summary(notes).join(meter, "page", "left").join(named, "page", "left").join(found.groupBy("page").agg(level(3), level(2), level(1)), "page", "left")
+    return out.na.fill(0, ["flags_3", "flags_2", "flags_1"])
+
+
 def tally(found: DataFrame) -> DataFrame:
     return found.groupBy("check").agg(long(F.count("*")).alias("n"), long(F.countDistinct("page")).alias("pages")).orderBy(F.desc("n"), "check")
 

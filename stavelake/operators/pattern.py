@@ -25,12 +25,32 @@ def pattern_keys(sigs: DataFrame) -> DataFrame:
     return sigs.groupBy("page", *KEY).agg(long(F.count("*")).alias("systems"), F.min("system").alias("first"))
 
 
-def deviations(sigs: DataFrame, least: int = 2, opening: int = 2) -> DataFrame:
-    """Systems outside the patterns that recur on their page; where none recurs, outside those of the first systems."""
+def recurring(keys: DataFrame, least: int = 2) -> DataFrame:
+    """Patterns that `least` systems of their page share."""
+    return keys.where(F.col("systems") >= least)
+
+
+def known_patterns(sigs: DataFrame, least: int = 2, opening: int = 2, reference: DataFrame | None = None) -> DataFrame:
+    """Patterns that recur on their page; where none recurs, those of its reference systems.
+
+    `reference` names them as (page, system); without it they are the first `opening` patterns, and on a page of which it
+    names no system, the first one.
+    """
     keys = pattern_keys(sigs).withColumn("recurs", F.col("systems") >= least)
-    any_ = F.max("recurs").over(Window.partitionBy("page"))
-    nth = F.row_number().over(Window.partitionBy("page").orderBy("first"))
-    known = keys.withColumns({"any": any_, "nth": nth}).where(F.when(F.col("any"), F.col("recurs")).otherwise(F.col("nth") <= opening))
+    page = Window.partitionBy("page")
+    if reference is None:
+        chosen = F.row_number().over(page.orderBy("first")) <= opening
+    else:
+        named = sigs.join(reference.select("page", "system").distinct(), ["page", "system"], "left_semi").select("page", *KEY).distinct()
+        keys = keys.join(named.withColumn("named", F.lit(1)), ["page", *KEY], "left")
+        chosen = F.coalesce(F.col("named") == 1, F.max("named").over(page).isNull() & (F.col("first") == F.min("first").over(page)))
+    known = keys.withColumns({"any": F.max("recurs").over(page), "chosen": chosen})
+    return known.where(F.when(F.col("any"), F.col("recurs")).otherwise(F.col("chosen"))).select("page", *KEY, "systems", "first")
+
+
+def deviations(sigs: DataFrame, least: int = 2, opening: int = 2, reference: DataFrame | None = None) -> DataFrame:
+    """Systems outside the known patterns of their page."""
+    known = known_patterns(sigs, least, opening, reference)
     return sigs.join(known.select("page", *KEY), ["page", *KEY], "left_anti").select("page", "system", *KEY)
 
 

@@ -20,6 +20,31 @@ def combine(tallies: DataFrame, keys: list[str]) -> DataFrame:
     return tallies.groupBy(*keys).agg(*[long(F.sum(f)).alias(f) for f in FIELDS])
 
 
+def comparable_fields(fragments: DataFrame, keys: list[str]) -> DataFrame:
+    """The fields that every fragment of a key can be compared in; `comparable` is an array of names, null for none."""
+    n = fragments.groupBy(*keys).agg(F.count("*").alias("all"))
+    each = fragments.select(*keys, F.explode(F.array_distinct("comparable")).alias("field")).groupBy(*keys, "field").agg(F.count("*").alias("n"))
+    shared = each.join(n, keys).where(F.col("n") == F.col("all")).groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("field")), ",").alias("comparable"))
+    return n.select(*keys).join(shared, keys, "left").na.fill("", ["comparable"])
+
+
+def agree(differing: DataFrame, pages: DataFrame, field: str) -> DataFrame:
+    """Whether each page agrees in a field, from the rows of `reconcile`."""
+    off = differing.where(F.col("field") == field).select("page").distinct().withColumn("off", F.lit(1))
+    return pages.select("page").distinct().join(off, "page", "left").select("page", F.col("off").isNull().cast("int").alias("agrees"))
+
+
+def groupings(layout: DataFrame) -> DataFrame:
+    """Staves of each page's systems from the top, as `2+2+3`, and on how many pages each grouping is.
+
+    One grouping on all pages is a sign that the detector does not tell them apart: `alike` is 1 then.
+    """
+    each = layout.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("system", "n_staves_read"))).alias("s"), long(F.sum("n_staves_read")).alias("staves"))
+    named = each.select("page", "staves", F.array_join(F.transform("s", lambda x: x.n_staves_read.cast("string")), "+").alias("grouping"))
+    counts = named.groupBy("grouping").agg(long(F.count("*")).alias("pages"), long(F.sum("staves")).alias("staves"))
+    return counts.join(F.broadcast(counts.agg((F.count("*") <= 1).cast("int").alias("alike"))))  # one row
+
+
 def pitch_counts(notes: DataFrame, keys: list[str]) -> DataFrame:
     return notes.where("not is_rest").groupBy(*keys, "midi").agg(long(F.count("*")).alias("n"))
 

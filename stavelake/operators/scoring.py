@@ -108,3 +108,53 @@ def case_rows(scores: DataFrame, cases: DataFrame, key: str) -> DataFrame:
     """One row for each labelled case with its counts; a case without a score has zeros."""
     counts = [c for c in scores.columns if c != key]
     return cases.join(scores, key, "left").na.fill(0, counts)
+
+
+def melody_diff(truth: DataFrame, pred: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Per key, by pitch alone: exact, wrong_pitch, missed and spurious notes, and precision, recall and f1 in thousandths.
+
+    What the alignment leaves loose is paired in number: the lesser side is wrong_pitch, the rest missed or spurious.
+    """
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+    sides = [df.where("not is_rest").select(*keys, F.col("midi").cast("string").alias("value"), place.alias("place")) for df in (truth, pred)]
+    ops = align(*sides, keys, "value", ["place"]).groupBy(*keys).agg(*[long(F.sum((F.col("op") == k).cast("int"))).alias(k) for k in "mdi"])
+    loose = F.least("d", "i")
+    counts = ops.select(
+        *keys, (F.col("m") + F.col("d")).alias("truth_notes"), (F.col("m") + F.col("i")).alias("pred_notes"), F.col("m").alias("exact"),
+        loose.alias("wrong_pitch"), (F.col("d") - loose).alias("missed"), (F.col("i") - loose).alias("spurious"),
+    )
+    ratio = lambda n, d: F.when(d == 0, 0).otherwise(F.floor(1000 * n / d)).cast("long")
+    return counts.withColumns({"precision": ratio(F.col("exact"), F.col("pred_notes")), "recall": ratio(F.col("exact"), F.col("truth_notes")), "f1": ratio(2 * F.col("exact"), F.col("truth_notes") + F.col("pred_notes"))})
+
+
+CORRUPTIONS = ("drop", "shift", "double", "flood", "rests")
+
+
+def corrupted_cases(notes: DataFrame, kinds: tuple[str, ...] = CORRUPTIONS) -> DataFrame:
+    """Each page as it is (kind `good`) and under each corruption, with `good` telling which."""
+    out = notes.withColumns({"kind": F.lit("good"), "good": F.lit(True)})
+    for kind in kinds:
+        out = out.unionByName(corrupt(notes, kind).withColumns({"kind": F.lit(kind), "good": F.lit(False)}))
+    return out
+
+
+def flagged_cases(cases: DataFrame, baseline: DataFrame, off: float = 0.1) -> DataFrame:
+    """(page, kind, good, flagged): a case is flagged if its sounding notes, or its ink, are off those of the page by more than a share."""
+    measures = [long(F.sum((~F.col("is_rest")).cast("int"))).alias("sounding"), long(F.sum("dur")).alias("ink")]
+    base = baseline.groupBy("page").agg(*measures).select("page", F.col("sounding").alias("b_sounding"), F.col("ink").alias("b_ink"))
+    rows = cases.groupBy("page", "kind", "good").agg(*measures).join(base, "page")
+    far = lambda c: F.abs(F.col(c) - F.col(f"b_{c}")) > off * F.col(f"b_{c}")
+    return rows.select("page", "kind", "good", (far("sounding") | far("ink")).alias("flagged"))
+
+
+def confusion(cases: DataFrame) -> DataFrame:
+    """One row: broken cases that were flagged or not, good ones that were or not, recall and precision in thousandths."""
+    n = lambda good, hit: long(F.coalesce(F.sum(((F.col("good") == good) & (F.col("flagged") == hit)).cast("int")), F.lit(0)))
+    out = cases.agg(n(False, True).alias("tp"), n(False, False).alias("fn"), n(True, True).alias("fp"), n(True, False).alias("tn"))
+    ratio = lambda d: F.floor(1000 * F.col("tp") / F.greatest(F.col("tp") + F.col(d), F.lit(1))).cast("long")
+    return out.withColumns({"recall": ratio("fn"), "precision": ratio("fp")})
+
+
+def catch_rates(cases: DataFrame) -> DataFrame:
+    """Broken cases of each kind, and how many were flagged."""
+    return cases.where("not good").groupBy("kind").agg(long(F.sum(F.col("flagged").cast("int"))).alias("caught"), long(F.count("*")).alias("cases"))

@@ -167,8 +167,8 @@ SIG = lambda n, m, c: pattern.signatures(n, m, c)
 add("pat_signatures", "notes_v measures_v clefs_v", SIG, f"with {SIGS} select * from sg")
 add("pat_keys", "notes_v measures_v clefs_v", lambda n, m, c: pattern.pattern_keys(SIG(n, m, c)), f"with {SIGS} select * from pk")
 add("pat_deviations", "notes_v measures_v clefs_v", lambda n, m, c: pattern.deviations(SIG(n, m, c)), f"with {SIGS}, {KNOWN} select page, system, staves, meter, clefs from sg anti join kn using (page, staves, meter, clefs)")
-add("pat_nearest", "notes_v measures_v clefs_v", lambda n, m, c: pattern.nearest(pattern.deviations(SIG(n, m, c)), pattern.pattern_keys(SIG(n, m, c))).select("page", "system", "k_clefs", "differ"), f"""with {SIGS}, {KNOWN}, dv as (select page, system, staves, meter, clefs from sg anti join kn using (page, staves, meter, clefs)),
-j as (select dv.page, dv.system, pk.clefs as k_clefs, (dv.staves <> pk.staves)::int * 2 + (dv.meter <> pk.meter)::int + (dv.clefs <> pk.clefs)::int as differ, first from dv join pk using (page))
+add("pat_nearest", "notes_v measures_v clefs_v", lambda n, m, c: pattern.nearest(pattern.deviations(SIG(n, m, c)), pattern.known_patterns(SIG(n, m, c))).select("page", "system", "k_clefs", "differ"), f"""with {SIGS}, {KNOWN}, dv as (select page, system, staves, meter, clefs from sg anti join kn using (page, staves, meter, clefs)),
+j as (select dv.page, dv.system, kn.clefs as k_clefs, (dv.staves <> kn.staves)::int * 2 + (dv.meter <> kn.meter)::int + (dv.clefs <> kn.clefs)::int as differ, first from dv join kn using (page))
 select page, system, k_clefs, differ from j qualify row_number() over (partition by page, system order by differ, first) = 1""")
 add("pat_columns", "clefs_v", pattern.columns, """with v as (select page, staff, sign || line as clef, count(*) as votes, min(system) as first, list(system) as systems from clefs_v group by all),
 r as (select *, row_number() over (partition by page, staff order by votes desc, first) as k, sum(votes) over (partition by page, staff) as alle from v),
@@ -198,3 +198,5 @@ y as (select *, cast(sum(new) over (partition by {SK} order by measure, onset, e
 add("stream_tally", "events", running_tally_batch, "select date_trunc('hour', ts) as start, event_type, count(*) as n from events group by all")
 add("stream_sample_trace", "events", lambda e: sample_trace(e, ["err*", "view"], "k", 3, 5), """with k as (select event_id, event_type, row_number() over (partition by event_type order by event_id) as hit from events where (event_type like 'err%' or event_type = 'view') and contains(props, 'k'))
 select event_id, event_type, cast(hit as int) as hit from k where hit > 3 and hit <= 8""")
+
+from . import review  # noqa: E402, F401  (registers its own, over the fragments above)
