@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import sources
 from ..operators import emit, validate
+from ..shared import stored
 from .parts import KEYS, TRIM
 from .registry import add
 
@@ -23,10 +23,24 @@ def text_counts(notes: DataFrame, measures: DataFrame) -> DataFrame:
 
 
 def validity(notes: DataFrame, measures: DataFrame) -> DataFrame:
-    raw = sources.shred_texts(texts_of(notes, measures)).persist(StorageLevel.DISK_ONLY)  # every check reads it
+    raw = stored(sources.shred_texts(texts_of(notes, measures)), "shredded")  # every check reads it
     return validate.validity_rate(validate.validate(raw), raw)
 
 
+def with_faults(texts: DataFrame) -> DataFrame:
+    """Score texts with a fault on some pages: every seventh is cut off, and every fifth lacks its first pitch."""
+    bare = F.regexp_replace("text", "(?s)^(.*?)<pitch>.*?</pitch>", "$1")
+    cut = F.expr("substring(text, 1, length(text) - 9)")
+    return texts.withColumn("text", F.when(F.col("doc_id") % 7 == 0, cut).when(F.col("doc_id") % 5 == 0, bare).otherwise(F.col("text")))
+
+
+def faults(notes: DataFrame, measures: DataFrame) -> DataFrame:
+    raw = stored(sources.shred_texts(with_faults(texts_of(notes, measures))), "shredded")
+    return validate.validate(raw).groupBy(F.col("doc_id").cast("int").alias("page"), "check").agg(F.count("*").alias("n"))
+
+
+add("emit_faults", "notes_v measures_v", faults, f"""with {TRIM}, p as (select distinct page from tm join notes_v using (event_id, page, staff, voice, measure) where kept and not is_rest)
+select distinct page, 'parse_error' as "check", cast(1 as bigint) as n from measures_v where page % 7 = 0 union all select page, 'bare_note', 1 from p where page % 5 = 0 and page % 7 <> 0""")
 add("emit_layout", "notes_v", lambda n: emit.lay_out(n.where("not is_rest"), ["page", "staff"], ["measure", "onset", "event_id"]).withColumn("is_rest", F.col("is_rest").cast("int")), """with n as (select page, staff, dur, midi, row_number() over (partition by page, staff order by measure, onset, event_id) as k from notes_v where not is_rest),
 lo as (select * from (with recursive r as (select page, staff, cast(0 as bigint) as k, 1 as number, 0 as onset, 0 as used, 0 as midi, 0 as dur from n where k = 1
 union all select page, staff, k, case when used + dur > 96 then number + 1 else number end, case when used + dur > 96 then 0 else used end, case when used + dur > 96 then 0 else used end + dur, midi, dur from (select n.page, n.staff, n.k, n.dur, n.midi, r.number, r.used from r join n on n.page = r.page and n.staff = r.staff and n.k = r.k + 1)) select * from r where k > 0))

@@ -106,8 +106,8 @@ def read_song_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_verdicts(spark: SparkSession, path: str, inputs: DataFrame) -> DataFrame:
-    """One verdict for each input; absent and unreadable ones are errors."""
-    found = spark.read.schema("name string, verdict string").json(path, mode="DROPMALFORMED").where("name is not null").groupBy("name").agg(F.first("verdict").alias("verdict"))
+    """One verdict for each input; absent and unreadable ones, and several that differ, are errors."""
+    found = spark.read.schema("name string, verdict string").json(path, mode="DROPMALFORMED").where("name is not null").groupBy("name").agg(F.when(F.countDistinct("verdict") == 1, F.min("verdict")).alias("verdict"))
     return inputs.select("name").distinct().join(found, "name", "left").select("name", F.coalesce("verdict", F.lit("error")).alias("verdict"))
 
 
