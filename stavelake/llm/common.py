@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,36 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shared import drop_folder, drop_stored, shared_dir, stored  # noqa: F401  (for the operators of this folder)
+
 #: Bytes of text that one call of a batch function gets, so a task's memory does not follow the batch's rows.
 CHUNK_BYTES = 4 << 20
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or else one beside the session's warehouse."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return (found or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}-stored").rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet into the shared folder and read it again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])).parquet(path)
-
-
-def drop_stored(df: DataFrame) -> None:
-    """Delete the files behind a frame from `stored`."""
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        drop_folder(df.sparkSession, folder)
-
-
-def drop_folder(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, UPPER, UPPER.lower())
