@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from .common import drop_stored, stored
 
 
-#: Keys with more than this share of all rows are hot. There are fewer than 1000 of them, so they are broadcast.
-HOT_SHARE = 1000
+#: Keys with more than a HOT_SHARE-th of all rows, and FEW at least, are hot. There are fewer than HOT_SHARE of them at any
+#: size, so they are broadcast.
+HOT_SHARE, FEW = 1000, 64
 
 
 def with_key_values(rows: DataFrame, small: DataFrame, key: str, total: int) -> DataFrame:
@@ -18,7 +19,7 @@ def with_key_values(rows: DataFrame, small: DataFrame, key: str, total: int) ->
     Rows of hot keys stay where they are and take their values from the broadcast hot part of `small`; the others meet
     theirs by shuffle. So no task gets the rows of a hot key, whatever its share. `total` is the number of `rows`.
     """
-    most = max(HOT_SHARE, total // HOT_SHARE)
+    most = max(FEW, total // HOT_SHARE)
     hot = small.where(F.col("n") > most)
     marked = rows.join(F.broadcast(hot), key, "left")
     cold = marked.where("n is null").select(*rows.columns).join(small.where(F.col("n") <= most).hint("merge"), key)
