@@ -26,6 +26,27 @@ SYSTEMS = """sy as (select page, staff, cast(sum(new) over (partition by page or
   from st join sp using (page) window w as (partition by page order by y_top)))"""
 
 
+MERGED = """s as (select *, row_number() over (partition by page order by y, x0, x1) as k from pieces_v),
+m as (select * from (with recursive r as (select page, k, [struct_pack(y := y, x0 := x0, x1 := x1, th := th, n := cast(1 as int))] as kept from s where k = 1
+union all select page, k, case when hit is null then list_append(kept, struct_pack(y := y, x0 := x0, x1 := x1, th := th, n := cast(1 as int)))
+  else list_transform(kept, lambda q, i: case when i = hit then struct_pack(y := (q.y * q.n + y) / (q.n + 1), x0 := least(q.x0, x0), x1 := greatest(q.x1, x1), th := q.th, n := cast(q.n + 1 as int)) else q end) end
+  from (select s.*, kept, list_max(list_filter(range(1, len(kept) + 1), lambda i: abs(kept[i].y - s.y) <= 6 and s.x0 <= kept[i].x1 + 40 and s.x1 >= kept[i].x0 - 40)) as hit from r join s on s.page = r.page and s.k = r.k + 1)) select * from r)),
+u as (select page, unnest(kept) as q from (select * from m qualify row_number() over (partition by page order by k desc) = 1))"""
+THINNED = f"""{SPACE.replace('lines_v', 'pieces_v')}, s as (select pieces_v.*, 0.45 * coalesce(space, 0) as near, row_number() over (partition by page order by y, x0, x1) as k from pieces_v left join sp using (page)),
+m as (select * from (with recursive r as (select page, k, [struct_pack(y := y, x0 := x0, x1 := x1, th := th)] as kept from s where k = 1
+union all select page, k, case when hit is null then list_append(kept, struct_pack(y := y, x0 := x0, x1 := x1, th := th))
+  when x1 - x0 > kept[hit].x1 - kept[hit].x0 then list_transform(kept, lambda q, i: case when i = hit then struct_pack(y := y, x0 := x0, x1 := x1, th := th) else q end) else kept end
+  from (select s.*, kept, list_min(list_filter(range(1, len(kept) + 1), lambda i: abs(kept[i].y - s.y) < s.near)) as hit from r join s on s.page = r.page and s.k = r.k + 1)) select * from r)),
+u as (select page, unnest(kept) as q from (select * from m qualify row_number() over (partition by page order by k desc) = 1))"""
+MATCHED = """h as (select run, page, staff, measure, event_id % 997 / 997 + case run when 'B' then cast(0.001 as double) else 0 end as x, midi as y from runs_v where not is_rest),
+b as (select page, staff, measure, list(struct_pack(x := x, y := y) order by x, y) as heads from h where run = 'B' group by all),
+a as (select h.*, heads, row_number() over (partition by page, staff, measure order by x, h.y) as k from h join b using (page, staff, measure) where run = 'A'),
+mt as (select * from (with recursive r as (select distinct page, staff, measure, cast(0 as bigint) as k, cast([] as bigint[]) as used, cast(0 as double) as ax, 0 as ay, cast(0 as double) as bx, 0 as by_ from a
+union all select page, staff, measure, k, case when j is null then used else list_append(used, j) end, x, y, heads[j].x, heads[j].y
+  from (select a.*, used, list_sort(list_transform(list_filter(range(1, len(heads) + 1), lambda i: heads[i].x >= a.x - 0.02 and heads[i].x <= a.x + 0.02 and not list_contains(used, i)), lambda i: struct_pack(off := abs(heads[i].x - a.x), i := i)))[1].i as j
+    from r join a on a.page = r.page and a.staff = r.staff and a.measure = r.measure and a.k = r.k + 1)) select * from r where k > 0 and bx is not null))"""
+
+
 def staves_of(lines: DataFrame) -> DataFrame:
     return geometry.group_lines(lines, geometry.staff_spacing(lines))
 
@@ -65,10 +86,12 @@ add("geo_pair_staves", "staves_v", lambda s: geometry.pair_staves(s, s.where("st
 select * from a join b using (page, system, depth)""")
 
 HEADS = lambda r, run: r.where(f"run = '{run}' and not is_rest").select("page", "staff", "measure", (F.col("event_id") % 997 / 997 + F.lit(0.001 if run == "B" else 0)).alias("x"), F.col("midi").alias("y"))
-add("geo_noteheads", "runs_v", lambda r: geometry.match_noteheads(HEADS(r, "A"), HEADS(r, "B"), ["page", "staff", "measure"]), None)
-add("geo_displacements", "runs_v", lambda r: geometry.displacements(geometry.match_noteheads(HEADS(r, "A"), HEADS(r, "B"), ["page", "staff", "measure"]), ["page"]), None)
-add("geo_merge_collinear", "lines_v", lambda n: geometry.merge_collinear(n), None)
-add("geo_drop_slivers", "lines_v", lambda n: geometry.drop_slivers(n, geometry.staff_spacing(n)), None)
+add("geo_noteheads", "runs_v", lambda r: geometry.match_noteheads(HEADS(r, "A"), HEADS(r, "B"), ["page", "staff", "measure"]), f'with {MATCHED} select page, staff, measure, ax, ay, bx, by_ as "by" from mt')
+add("geo_displacements", "runs_v", lambda r: geometry.displacements(geometry.match_noteheads(HEADS(r, "A"), HEADS(r, "B"), ["page", "staff", "measure"]), ["page"]), f"""with {MATCHED}, d as (select page, list(bx - ax order by bx - ax) as l, count(*) as c from mt group by page),
+e as (select page, case when c % 2 = 1 then l[(c + 1) // 2] else 0.5 * l[c // 2] + 0.5 * l[c // 2 + 1] end as x_shift from d)
+select page, cast(by_ - ay as int) as moved, count(*) as n, x_shift from mt join e using (page) group by page, moved, x_shift""")
+add("geo_merge_collinear", "pieces_v", lambda n: geometry.merge_collinear(n), f"with {MERGED} select page, q.y, q.x0, q.x1, q.th, q.n from u")
+add("geo_drop_slivers", "pieces_v", lambda n: geometry.drop_slivers(n, geometry.staff_spacing(n)), f"with {THINNED} select page, q.y, q.x0, q.x1, q.th from u")
 
 RATE, SIZE = 8000, 512
 

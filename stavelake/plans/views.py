@@ -32,9 +32,10 @@ from (select distinct page, system, (staff - 1) * 2 + voice as row_ from {notes_
     "fragments_v": """select event_id, page, system, (staff - 1) * 2 + voice as staff, measure - (system - 1) * 5 as measure, onset, dur, is_rest, midi from {notes_v}""",
     "lines_v": """select page, cast(y as double) as y, min(x0) as x0, max(x1) as x1, 2 as th
 from (select page, system * 400 + (staff - 1) * 100 + event_id % 5 * 10 as y, onset as x0, 900 + dur as x1 from {notes_v}) l group by page, y""",
+    "pieces_v": """select page, cast(system * 400 + (staff - 1) * 100 + event_id % 5 * 10 + event_id % 3 * 2 as double) as y, onset * 10 as x0, onset * 10 + dur as x1, 2 as th from {notes_v}""",
     "rules_v": """select distinct page, 20 + onset as x, cast(system * 400 as double) as top, cast(system * 400 + case when dur > 48 then 140 else 40 end as double) as bottom from {notes_v} where dur > 36""",
 }
-NEEDS = {"notes_v": ["events"], "measures_v": ["notes_v"], "clefs_v": ["notes_v", "measures_v"], "runs_v": ["notes_v"], "layout_v": ["notes_v"], "staves_v": ["notes_v"], "fragments_v": ["notes_v"], "lines_v": ["notes_v"], "rules_v": ["notes_v"]}
+NEEDS = {"notes_v": ["events"], "measures_v": ["notes_v"], "clefs_v": ["notes_v", "measures_v"], "runs_v": ["notes_v"], "layout_v": ["notes_v"], "staves_v": ["notes_v"], "fragments_v": ["notes_v"], "lines_v": ["notes_v"], "pieces_v": ["notes_v"], "rules_v": ["notes_v"]}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
