@@ -119,17 +119,24 @@ def _ranges(patterns: list[tuple[int, list[tuple[int, int]]]]) -> list[tuple[int
     return out
 
 
+def deals(counts: dict[int, int], deal_rows: int = 250_000, groups: int = 1024, least: int = 64) -> dict[int, int]:
+    """Number of groups each length is dealt into, so that a group has about a `groups`-th of all rows, but at least
+    `least` rows and at most `deal_rows`. A common length is thus spread over tasks in small tables too."""
+    size = min(deal_rows, max(least, sum(counts.values()) // groups))
+    return {n: -(-c // size) for n, c in counts.items()}
+
+
 def packed(pieces: DataFrame, most: int = 1024, deal_rows: int = 250_000) -> DataFrame:
     """`pieces` with `sequence_id` and `offset`; `pieces` is a written table with a `row` number, which is dropped.
 
     The driver sees the histogram only (at most `most` rows). Pieces get a rank within their length: each length is
-    dealt by row number into groups of about `deal_rows` or fewer, ranked there, and moved up by the rows of the groups
-    before it, so neither a length nor a repeated id is one task. Patterns join back by length and rank range. Both
+    dealt by row number into groups (`deals`), ranked there, and moved up by the rows of the groups before it, so neither
+    a length nor a repeated id is one task. Patterns join back by length and rank range. Both
     lookups are small: at most `most` lines, and one for each group.
     """
     spark = pieces.sparkSession
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
-    deal = spark.createDataFrame([(n, -(-c // deal_rows)) for n, c in counts.items()], "length long, deals long")
+    deal = spark.createDataFrame(list(deals(counts, deal_rows).items()), "length long, deals long")
     slots = spark.createDataFrame(_ranges(packing_patterns(counts, most)), "length long, first long, end long, packs long, sequence long, at long")
     dealt = pieces.join(F.broadcast(deal), "length").withColumn("deal", F.pmod(F.xxhash64("row"), F.col("deals"))).drop("deals")
     before = dealt.groupBy("length", "deal").count()

@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 
-from stavelake.llm.packing import Encoder, pack_documents, packing_patterns
+from stavelake.llm.packing import Encoder, deals, pack_documents, packed, packing_patterns
 
 ARGS = (P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
 
@@ -60,6 +60,27 @@ def test_patterns_hold_each_length(seed):
     assert got == hist
 
 
+@pytest.mark.parametrize("counts", [{}, {7: 1}, {1024: 18_000, 3: 35_000}, {1024: 10**6, 5: 1}, {1024: 9 * 10**9, **{n: 10**7 for n in range(1, 1024)}}])
+def test_groups_of_a_length_are_small_and_few(counts):
+    got, total = deals(counts), sum(counts.values())
+    assert all(counts[n] / got[n] <= max(64, min(250_000, total / 1024)) for n in counts)
+    assert sum(got.values()) <= len(counts) + max(1024, total / 250_000) + 1
+
+
+def test_a_common_length_keeps_its_ranks_over_groups(spark):
+    """Of 5,000 pieces 4,000 have one length, so they are dealt into many groups."""
+    lengths = [8] * 4000 + [3] * 1000
+    pieces = spark.createDataFrame([(i, n, i) for i, n in enumerate(lengths)], "doc_id long, length long, row long")
+    by = {}
+    for r in packed(pieces, 16).collect():
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert sum(map(len, by.values())) == 5000
+    for parts in by.values():
+        ends = [o + n for o, n in sorted(parts)]
+        assert [o for o, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] <= 16
+    assert len(by) == 2200
+
+
 def test_fast_ids_equal_the_library():
     both, rng = Encoder(*ARGS), random.Random(3)
     alpha = "abz ABZ'sñé.,-09 \n\t\x00\x1f\x85\xa0ΣǅҰ漢🙂"
