@@ -103,15 +103,20 @@ select event_id, kind from e where not (kind = 'stop' and k = 1) and not (kind =
 
 # notes against truth
 LETTERS = lambda r, run: r.where(f"run = '{run}'").withColumn("letter", F.expr("substr('CCDDEFFGGAAB', midi % 12 + 1, 1)"))
-ALIGNED = f"""nt as (select run, {KEYS}, substr('CCDDEFFGGAAB', midi % 12 + 1, 1) as letter, dur, is_rest, case when is_rest then 'rest' else cast(midi as varchar) end as value, row_number() over (partition by run, {KEYS} order by measure, onset, event_id) - 1 as place from runs_v),
-kl as (select {KEYS}, coalesce(list(value order by place) filter (run = 'A'), []) as a, coalesce(list(value order by place) filter (run = 'B'), []) as b from nt group by {KEYS}),
-rw as (select * from (with recursive r as (select {KEYS}, cast(len(a) as bigint) as i, list_transform(range(0, len(b) + 1), lambda x: cast(0 as bigint)) as best from kl
-  union all select {KEYS}, i, list_transform(range(1, len(cand) + 1), lambda j: list_max(cand[j:])) from (
-    select {KEYS}, i - 1 as i, list_transform(range(1, len(b) + 2), lambda j: case when j <= len(b) and b[j] = a[i] then greatest(best[j], best[j + 1] + 1) else best[j] end) as cand from r join kl using ({KEYS}) where i > 0)) select * from r)),
-tb as (select * from (with recursive t as (select {KEYS}, cast(0 as bigint) as i, cast(0 as bigint) as j, cast(null as varchar) as op from kl
-  union all select {KEYS}, case when op = 'i' then i else i + 1 end, case when op = 'd' then j else j + 1 end, op from (
-    select {KEYS}, i, j, case when i < len(a) and j < len(b) and a[i + 1] = b[j + 1] then 'm' when i < len(a) and (j = len(b) or under[j + 1] >= best[j + 2]) then 'd' else 'i' end as op
-    from t join kl using ({KEYS}) left join rw using ({KEYS}, i) left join (select {KEYS}, i - 1 as i, best as under from rw) using ({KEYS}, i) where i < len(a) or j < len(b))) select * from t where op is not null)),
+def aligned(keys: str, order: str, rows: str = "runs_v") -> str:
+    """SQL of the longest common subsequence of both runs: tb has (keys, i, j, op), i and j counting what is behind."""
+    return f"""nt as (select run, {keys}, substr('CCDDEFFGGAAB', midi % 12 + 1, 1) as letter, dur, is_rest, case when is_rest then 'rest' else cast(midi as varchar) end as value, row_number() over (partition by run, {keys} order by {order}) - 1 as place from {rows}),
+kl as (select {keys}, coalesce(list(value order by place) filter (run = 'A'), []) as a, coalesce(list(value order by place) filter (run = 'B'), []) as b from nt group by {keys}),
+rw as (select * from (with recursive r as (select {keys}, cast(len(a) as bigint) as i, list_transform(range(0, len(b) + 1), lambda x: cast(0 as bigint)) as best from kl
+  union all select {keys}, i, list_transform(range(1, len(cand) + 1), lambda j: list_max(cand[j:])) from (
+    select {keys}, i - 1 as i, list_transform(range(1, len(b) + 2), lambda j: case when j <= len(b) and b[j] = a[i] then greatest(best[j], best[j + 1] + 1) else best[j] end) as cand from r join kl using ({keys}) where i > 0)) select * from r)),
+tb as (select * from (with recursive t as (select {keys}, cast(0 as bigint) as i, cast(0 as bigint) as j, cast(null as varchar) as op from kl
+  union all select {keys}, case when op = 'i' then i else i + 1 end, case when op = 'd' then j else j + 1 end, op from (
+    select {keys}, i, j, case when i < len(a) and j < len(b) and a[i + 1] = b[j + 1] then 'm' when i < len(a) and (j = len(b) or under[j + 1] >= best[j + 2]) then 'd' else 'i' end as op
+    from t join kl using ({keys}) left join rw using ({keys}, i) left join (select {keys}, i - 1 as i, best as under from rw) using ({keys}, i) where i < len(a) or j < len(b))) select * from t where op is not null))"""
+
+
+ALIGNED = f"""{aligned(KEYS, 'measure, onset, event_id')},
 ta as (select {KEYS}, place + 1 as i, letter, dur, is_rest from nt where run = 'A'), pb as (select {KEYS}, place + 1 as j, letter as p_letter, dur as p_dur, is_rest as p_rest from nt where run = 'B'),
 lo as (select {KEYS}, letter, dur, row_number() over (partition by {KEYS} order by i) as nth from tb join ta using ({KEYS}, i) where op = 'd' and not is_rest),
 ex as (select {KEYS}, p_letter, p_dur, row_number() over (partition by {KEYS} order by j) as nth from tb join pb using ({KEYS}, j) where op = 'i' and not p_rest),

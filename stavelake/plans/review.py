@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import assemble, audit, pattern, reconcile, review, scoring
 from . import catalog as C
+from .parts import aligned
 from .registry import add
 
 A, B = C.A, C.B
@@ -121,7 +122,10 @@ add("rec_groupings", "layout_v", reconcile.groupings, "with g as (select page, c
 
 # scores
 ORDER = ["measure", "onset", "staff", "voice", "event_id"]
-add("score_melody_diff", "runs_v", lambda r: scoring.melody_diff(A(r), B(r), ["page"], ORDER), None)
+add("score_melody_diff", "runs_v", lambda r: scoring.melody_diff(A(r), B(r), ["page"], ORDER), f"""with {aligned("page", ", ".join(ORDER), "(select * from runs_v where not is_rest)")},
+c as (select page, count(*) filter (op = 'm') as m, count(*) filter (op = 'd') as d, count(*) filter (op = 'i') as i from tb group by page)
+select page, m + d as truth_notes, m + i as pred_notes, m as exact, least(d, i) as wrong_pitch, d - least(d, i) as missed, i - least(d, i) as spurious, case when m + i = 0 then 0 else 1000 * m // (m + i) end as "precision",
+  case when m + d = 0 then 0 else 1000 * m // (m + d) end as recall, case when 2 * m + d + i = 0 then 0 else 2000 * m // (2 * m + d + i) end as f1 from c""")
 CASES = f"""k as (select *, row_number() over (partition by {C.SK} order by measure, onset, event_id) as nth from notes_v),
 b as (select page, sum((not is_rest)::int) as s, sum(dur) as i from notes_v group by page),
 x as (select page, 'good' as kind, true as good, s as cs, i as ci from b union all select page, 'shift', false, s, i from b union all select page, 'double', false, 2 * s, 2 * i from b union all select page, 'flood', false, 6 * s, 6 * i from b
