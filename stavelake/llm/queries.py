@@ -17,6 +17,7 @@ from .spelling import op13_spelling
 from .topk import OP2_SQL, op2_top_k
 from .url_filter import OP3_SQL, op3_url_filter
 from .warc import OP6_SQL, op6_warc
+from .whitening import op11_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_simhash": op9_simhash,
     "op10_licenses": op10_licenses,
+    "op11_whitening": op11_whitening,
     "op13_spelling": op13_spelling,
 }
 ORACLES: dict[str, str] = {"op2_top_k": OP2_SQL, "op3_url_filter": OP3_SQL, "op4_quality": OP4_SQL, "op6_warc": OP6_SQL}
