@@ -14,6 +14,7 @@ from .quality import OP4_SQL, op4_quality
 from .secrets import op8_secrets
 from .simhash import op9_simhash
 from .spelling import op13_spelling
+from .substrings import OP12_SQL, op12_substrings
 from .topk import OP2_SQL, op2_top_k
 from .url_filter import OP3_SQL, op3_url_filter
 from .warc import OP6_SQL, op6_warc
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_licenses": op10_licenses,
     "op11_whitening": op11_whitening,
+    "op12_substrings": op12_substrings,
     "op13_spelling": op13_spelling,
 }
-ORACLES: dict[str, str] = {"op2_top_k": OP2_SQL, "op3_url_filter": OP3_SQL, "op4_quality": OP4_SQL, "op6_warc": OP6_SQL}
+ORACLES: dict[str, str] = {"op2_top_k": OP2_SQL, "op3_url_filter": OP3_SQL, "op4_quality": OP4_SQL, "op6_warc": OP6_SQL, "op12_substrings": OP12_SQL}
