@@ -26,6 +26,16 @@ TEMPLATES = [
     ("mpl-2.0", "licensed under the MOZILLA public license version 2 0"),
     ("bsd", "licensed under the BSD 3 clause license"),
     ("ofl-1.1", "this font software is licensed under the SIL open font license version 1 1"),
+    ("gpl-2.0", "licensed under GPL 2 0"),
+    ("gpl-3.0", "licensed under GPL 3 0"),
+    ("gpl-2.0", "licensed under the GPLV2"),
+    ("gpl-3.0", "licensed under the GPLV3"),
+    ("lgpl-2.1", "licensed under LGPL 2 1"),
+    ("agpl-3.0", "licensed under AGPL 3 0"),
+    # headings of license files
+    ("mit", "MIT license copyright c"),
+    ("isc", "ISC license copyright c"),
+    ("apache-2.0", "APACHE license version 2 0 january 2004"),
     # one line in source files
     ("mit", "spdx license identifier MIT"),
     ("isc", "spdx license identifier ISC"),
@@ -38,6 +48,7 @@ TEMPLATES = [
     ("bsd", "spdx license identifier BSD 3 clause"),
     ("bsd", "spdx license identifier BSD 2 clause"),
     # grants and notices
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
     ("bsl-1.0", "permission is hereby granted free of charge to any person or ORGANIZATION obtaining a copy of the software and accompanying documentation covered by this license"),

@@ -328,6 +328,49 @@ def test_every_template_with_a_word_less_and_a_word_more(spark):
         assert score is None or got[i][1] == score
 
 
+def test_all_variants_of_one_word_keep_their_label(spark):
+    """Every word of every template but a key taken out (down to three words), and a word put in at every place."""
+    made = []
+    for label, text in TEMPLATES:
+        w = text.split()
+        made += [(label, w[:i] + w[i + 1 :]) for i, x in enumerate(w) if len(w) > 4 and not (x.isupper() or x.isdigit())]
+        made += [(label, [*w[:i], "zzyx", *w[i:]]) for i in range(1, len(w)) if len(w) > 3]
+    got = labelled(spark, [f"xx {' '.join(w)} yy" for _, w in made])
+    assert [made[i] for i in range(len(made)) if made[i][0] not in got[i][0].split(",")] == []
+
+
+PROSE = """He studied under the MIT professor of physics|his identifier MIT was new|the national identifier ISC came late|it fell under the BSD 3 clause vote
+a license to drive was granted free of charge to any person|released under the bridge at night|the version 2 of the plan had 0 faults|under the law of the state
+the copyright of the song was sold|MIT and Apache are names|an Apache pilot was licensed in 2004|permission is granted to enter the hall|the general said the public was free
+licensed under the counter by a man|Mozilla made a browser in version 2|the Eclipse was seen by the public in 2 towns|creative work is common|by 4 0 clock they had left
+the free program of the theatre|redistribution of land in the source country|he may use the software as is|all other rights of way|in no event shall he be late
+the authors or holders of the cup|warranties of any kind are rare|this software is good|the license of the pub|a public license was issued|clause 3 of the act|clause 2 of the treaty
+he has a BSD box|cc by the way|nc 4 0 is a code|sa 4 0 is a code|she was released under bail at MIT|the font is large|SIL is a society|version 1 1 of the text
+the spdx list is long|a license identifier was lost|the agreement covers the source|gpl is a company|an isc member spoke|to the extent possible by law|the author has rights
+waived all fees|neighboring houses|for any purpose at all|including the rights of man|subject to tax|the following day|the name of the holder|written permission of the king"""
+
+
+def test_prose_has_no_labels(spark):
+    texts = [t for line in PROSE.split("\n") for t in line.split("|")]
+    got = labelled(spark, [f"And so {t} and that was it." for t in texts])
+    own = {texts[i]: x for i, (x, _) in got.items() if set(x.split(",")) - {"", "cc-by", "gpl", "reserved"}}
+    assert len(texts) > 50 and own == {}
+
+
+def test_other_public_forms(spark):
+    texts = {
+        "Licensed under GPL-3.0": "gpl-3.0", "Licensed under GPL 2.0 only": "gpl-2.0", "It is licensed under the GPLv3.": "gpl-3.0", "MIT License\n\nCopyright (c) 2020 X": "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy": "mit", "SPDX-License-Identifier: Apache-2.0": "apache-2.0", "Apache License\nVersion 2.0, January 2004": "apache-2.0",
+    }
+    got = labelled(spark, list(texts))
+    assert [got[i][0] for i in range(len(texts))] == list(texts.values())
+
+
+def test_license_columns_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, "released under the mit license", 1, "a", "b"), (None, None, 2, "c", "d")], "doc_id long, text string, at int, template string, rows string")
+    assert sorted((r.doc_id or 0, r.n_words, r.labels) for r in scan_licenses(df).collect()) == [(0, 0, ""), (1, 5, "mit")]
+
+
 def test_license_order_keys_and_places(spark):
     rng = random.Random(4)
     wrong = []
