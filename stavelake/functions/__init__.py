@@ -17,7 +17,7 @@ NAMES = ["C", "C#", "D", "D#", "E", "F", "F#", "G", "G#", "A", "A#", "B"]
 CLEF_BOUNDS = {"G": (30, 38), "F": (18, 26), "C": (30, 38)}
 ACCIDENTALS = {"-2": "bb", "-1": "b", "0": "", "1": "#", "2": "##", "": ""}
 VALUES = {"whole": 4.0, "half": 2.0, "quarter": 1.0, "eighth": 0.5, "16th": 0.25, "32nd": 0.125, "64th": 0.0625}
-TUPLET_TYPES = {(2, 3): ("quarter", False), (3, 2): ("eighth", False), (3, 4): ("quarter", False), (5, 4): ("sixteenth", False), (6, 4): ("eighth", True), (7, 4): ("sixteenth", False), (9, 8): ("thirty-second", False)}
+TUPLET_TYPES = {(2, 3): ("quarter", False), (3, 2): ("eighth", False), (3, 4): ("quarter", False), (5, 4): ("16th", False), (6, 4): ("eighth", True), (7, 4): ("16th", False), (9, 8): ("32nd", False)}
 
 
 def _c(c: Column | str) -> Column:
@@ -176,6 +176,13 @@ def measure_key(label: Column | str) -> Column:
     return F.struct(number.isNull().alias("other"), number.alias("number"), _c(label).alias("label"))
 
 
+def natural_order(name: Column | str) -> Column:
+    """An order key in which each number of a name counts as a number: `sys2.s10` before `sys10.s2`."""
+    digits = lambda t: F.regexp_replace(t, "^0+(?=[0-9])", "")
+    number = lambda t: F.concat(F.lpad(F.length(digits(t)).cast("string"), 3, "0"), digits(t))
+    return F.transform(F.regexp_extract_all(_c(name), F.lit("([0-9]+|[^0-9]+)"), F.lit(1)), lambda t: F.when(t.rlike("^[0-9]"), number(t)).otherwise(t))
+
+
 def natural_key(name: Column | str) -> Column:
     """Sort key of a name by its last number, so s2 comes before s10."""
     return F.struct(F.regexp_extract(_c(name), r"^(.*?)[0-9]*$", 1).alias("stem"), F.regexp_extract(_c(name), r"([0-9]*)$", 1).try_cast("long").alias("number"))

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import natural_order
 from .assemble import bar_fill
 from .audit import long
 from .pattern import deviations, known_patterns, nearest, pattern_keys, recurring
 from .reconcile import pitch_diff, reconcile, tally
 
 SEVERITY = {"coverage_miss": 3, "count_disagreement": 3, "pitch_disagreement": 3, "missing_fragment": 3, "pattern_deviation": 2, "weak_pattern": 1}
-CAVEAT = " [a crop missed staves -- see coverage_miss]"
+CAVEAT = " (staves are missing on this page: coverage_miss)"
 
 
 def described(staves: Column, meter: Column, clefs: Column) -> Column:
@@ -45,15 +46,15 @@ def bar_columns(notes: DataFrame) -> DataFrame:
 
 
 def systems_from_fragments(fragments: DataFrame, name: str = "file") -> DataFrame:
-    """Fragments as one system each, numbered in the order of their names on the page."""
-    return fragments.withColumn("system", F.dense_rank().over(Window.partitionBy("page").orderBy(name)))
+    """Fragments as one system each, numbered in the natural order of their names on the page: `sys2` before `sys10`."""
+    return fragments.withColumn("system", F.dense_rank().over(Window.partitionBy("page").orderBy(natural_order(name), name)))
 
 
 def coverage_flags(found: DataFrame, expected: DataFrame, label: str, what: str) -> DataFrame:
     """Pages on which a run has fewer fragments than the layout has staves or systems; both have (page, n)."""
     n, e = F.coalesce("n", F.lit(0)), F.col("expected")
     off = expected.withColumnRenamed("n", "expected").join(found, "page", "left").where(n < e)
-    detail = F.concat(n.cast("string"), F.lit(" of "), e.cast("string"), F.lit(f" {what} found; "), (e - n).cast("string"), F.lit(" missing -- this is a segmentation miss, not a note disagreement"))
+    detail = F.concat(n.cast("string"), F.lit(" of "), e.cast("string"), F.lit(f" {what} found; "), (e - n).cast("string"), F.lit(" were never cut out, so their notes are in no count"))
     return off.select("page", F.lit("coverage_miss").alias("check"), F.lit(label).alias("where"), detail.alias("detail"))
 
 
@@ -84,14 +85,14 @@ def review(left: DataFrame, right: DataFrame, sigs: DataFrame, coverage: DataFra
     seen = sigs.groupBy("page").agg(F.count("*").alias("n"))
     weak = seen.join(recurring(pattern_keys(sigs), least), "page", "left_anti").select(
         "page", F.lit("weak_pattern").alias("check"), F.lit("page").alias("where"),
-        F.concat(F.lit("too few systems share a pattern for a deviation to be meaningful; "), F.col("n").cast("string"), F.lit(" system(s) examined")).alias("detail"),
+        F.concat(F.lit("no pattern comes often enough to deviate from, among "), F.col("n").cast("string"), F.lit(" system(s)")).alias("detail"),
     )
     broke = differences(deviations(sigs, least), known_patterns(sigs, least)).select(
         "page", F.lit("pattern_deviation").alias("check"), F.concat(F.lit("system "), F.col("system").cast("string")).alias("where"),
-        F.concat(F.when(F.col("phrases") == "", "matches no pattern on this page").otherwise(F.col("phrases")), F.lit(" ("), F.col("described"), F.lit(")")).alias("detail"),
+        F.concat(F.when(F.col("phrases") == "", "like no other system here").otherwise(F.col("phrases")), F.lit(" ("), F.col("described"), F.lit(")")).alias("detail"),
     )
     pages = left.select("page").union(right.select("page")).distinct()
-    gone = pages.join(seen, "page", "left_anti").select("page", F.lit("missing_fragment").alias("check"), F.lit("page").alias("where"), F.lit("no per-system fragments; pattern check skipped").alias("detail"))
+    gone = pages.join(seen, "page", "left_anti").select("page", F.lit("missing_fragment").alias("check"), F.lit("page").alias("where"), F.lit("no system was read, so patterns were not checked").alias("detail"))
     every = coverage.unionByName(runs).unionByName(weak).unionByName(broke).unionByName(gone)
     level = F.coalesce(*[F.when(F.col("check") == k, v) for k, v in SEVERITY.items()])
     return every.select("page", "check", level.alias("severity"), "where", "detail")

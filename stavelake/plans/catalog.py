@@ -157,19 +157,31 @@ add("asm_phantom_bars", "notes_v measures_v", assemble.phantom_bars, "with s as
 add("asm_join_pages", "notes_v", lambda n: assemble.join_pages(n.withColumn("book", F.floor(F.col("page") / 16).cast("int"))), "with w as (select page // 16 as book, page, max(measure) as width from notes_v group by page), b as (select book, page, sum(width) over (partition by book order by page) - width as before from w) select event_id, cast(book as int) as book, page, cast(before + measure as bigint) as measure from notes_v join b using (page)")
 
 # patterns
-SIGS = """me as (select page, system, arg_min(beats || '/' || beat_type, measure) as meter from measures_v group by page, system),
-cl as (select page, system, array_to_string(list(sign || line order by staff), ',') as clefs from clefs_v group by page, system),
-nn as (select page, system, count(*) as staves, array_to_string(list(n order by staff), ',') as notes from (select page, system, staff, count(*) as n from notes_v group by all) group by page, system),
-sg as (select page, system, staves, meter, clefs, notes from nn join me using (page, system) join cl using (page, system)),
+def signature_sql(notes: str = "notes_v", measures: str = "measures_v", clefs: str = "clefs_v") -> str:
+    """Signatures (sg) and patterns (pk) of systems, as common table expressions."""
+    return f"""me as (select page, system, arg_min_null(beats || '/' || beat_type, measure) as meter from {measures} group by page, system),
+ln as (select page, system, measure, any_value(coalesce(cast(beats * 96 // beat_type as varchar), '?')) as length from {measures} group by page, system, measure),
+bs as (select page, system, staff, sum(n) as n, array_to_string(list(coalesce(length, '?') order by measure), ',') as bars
+  from (select page, system, staff, measure, count(*) as n from {notes} group by all) left join ln using (page, system, measure) group by page, system, staff),
+cn as (select page, system, staff, min(sign || line) as clef from {clefs} group by all),
+s0 as (select page, system, count(*) as staves, array_to_string(list(coalesce(clef, '?0') order by staff), ',') as clefs, array_to_string(list(coalesce(n, 0) order by staff), ',') as notes,
+  array_to_string(list(coalesce(bars, '') order by staff), ';') as bars from bs full join cn using (page, system, staff) group by page, system),
+sg as (select page, system, staves, meter, clefs, notes, bars from s0 left join me using (page, system)),
 pk as (select page, staves, meter, clefs, count(*) as systems, min(system) as first from sg group by all)"""
+
+
+SIGS = signature_sql()
 KNOWN = "kn as (select * from (select *, max(systems) over (partition by page) as most, row_number() over (partition by page order by first) as nth from pk) where case when most >= 2 then systems >= 2 else nth <= 2 end)"
+#: Systems of no known pattern; an unknown meter is like an unknown meter.
+DEVIANT = "select sg.page, sg.system, sg.staves, sg.meter, sg.clefs from sg anti join kn on sg.page = kn.page and sg.staves = kn.staves and sg.meter is not distinct from kn.meter and sg.clefs = kn.clefs"
+NEAREST = f"""dv as ({DEVIANT}), ne as (select dv.page, dv.system, dv.staves, dv.meter, dv.clefs, kn.staves as ks, kn.meter as km, kn.clefs as kc, first,
+  (dv.staves <> kn.staves)::int * 2 + (dv.meter is distinct from kn.meter)::int + (dv.clefs <> kn.clefs)::int as differ from dv join kn using (page) qualify row_number() over (partition by dv.page, dv.system order by differ, first) = 1)"""
 SIG = lambda n, m, c: pattern.signatures(n, m, c)
 add("pat_signatures", "notes_v measures_v clefs_v", SIG, f"with {SIGS} select * from sg")
 add("pat_keys", "notes_v measures_v clefs_v", lambda n, m, c: pattern.pattern_keys(SIG(n, m, c)), f"with {SIGS} select * from pk")
-add("pat_deviations", "notes_v measures_v clefs_v", lambda n, m, c: pattern.deviations(SIG(n, m, c)), f"with {SIGS}, {KNOWN} select page, system, staves, meter, clefs from sg anti join kn using (page, staves, meter, clefs)")
-add("pat_nearest", "notes_v measures_v clefs_v", lambda n, m, c: pattern.nearest(pattern.deviations(SIG(n, m, c)), pattern.known_patterns(SIG(n, m, c))).select("page", "system", "k_clefs", "differ"), f"""with {SIGS}, {KNOWN}, dv as (select page, system, staves, meter, clefs from sg anti join kn using (page, staves, meter, clefs)),
-j as (select dv.page, dv.system, kn.clefs as k_clefs, (dv.staves <> kn.staves)::int * 2 + (dv.meter <> kn.meter)::int + (dv.clefs <> kn.clefs)::int as differ, first from dv join kn using (page))
-select page, system, k_clefs, differ from j qualify row_number() over (partition by page, system order by differ, first) = 1""")
+add("pat_deviations", "notes_v measures_v clefs_v", lambda n, m, c: pattern.deviations(SIG(n, m, c)), f"with {SIGS}, {KNOWN} {DEVIANT}")
+NEAR_TO = lambda s: pattern.nearest(pattern.deviations(s), pattern.known_patterns(s)).select("page", "system", "k_clefs", "differ")
+add("pat_nearest", "notes_v measures_v clefs_v", lambda n, m, c: NEAR_TO(SIG(n, m, c)), f"with {SIGS}, {KNOWN}, {NEAREST} select page, system, kc as k_clefs, differ from ne")
 add("pat_columns", "clefs_v", pattern.columns, """with v as (select page, staff, sign || line as clef, count(*) as votes, min(system) as first, list(system) as systems from clefs_v group by all),
 r as (select *, row_number() over (partition by page, staff order by votes desc, first) as k, sum(votes) over (partition by page, staff) as alle from v),
 o as (select page, staff, array_to_string(list_sort(flatten(list(systems) filter (k > 1))), ',') as outliers from r group by page, staff)

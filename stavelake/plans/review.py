@@ -50,12 +50,12 @@ f1 as (select page, count(*) filter (severity = 3) as flags_3, count(*) filter (
 select s.*, time, clefs, coalesce(flags_3, 0) as flags_3, coalesce(flags_2, 0) as flags_2, coalesce(flags_1, 0) as flags_1 from s left join t1 using (page) left join c1 using (page) left join f1 using (page)""")
 
 # patterns: phrases, given references, bar lengths, systems from fragments
-NEAR = f"""{C.SIGS}, {C.KNOWN}, dv as (select page, system, staves, meter, clefs from sg anti join kn using (page, staves, meter, clefs)),
-ne as (select dv.page, dv.system, dv.staves, dv.meter, dv.clefs, kn.staves as ks, kn.meter as km, kn.clefs as kc from dv join kn using (page)
-  qualify row_number() over (partition by dv.page, dv.system order by (dv.staves <> ks)::int * 2 + (dv.meter <> km)::int + (dv.clefs <> kc)::int, first) = 1),
-ph as (select page, system, array_to_string(list_filter([case when staves <> ks then 'staff count ' || staves || ' (expected ' || ks || ')' end, case when meter <> km then 'meter ' || meter || ' (expected ' || km || ')' end,
+PHRASES = f"""{C.NEAREST},
+ph as (select page, system, array_to_string(list_filter([case when staves <> ks then 'staff count ' || staves || ' (expected ' || ks || ')' end,
+  case when meter is distinct from km then 'meter ' || coalesce(meter, 'none') || ' (expected ' || coalesce(km, 'none') || ')' end,
   case when clefs <> kc then 'clefs ' || replace(clefs, ',', ' ') || ' (expected ' || replace(kc, ',', ' ') || ')' end], lambda x: x is not null), '; ') as phrases,
-  staves || ' staff(s), ' || meter || ', ' || replace(clefs, ',', ' ') as described from ne)"""
+  staves || ' staff(s), ' || coalesce(meter, 'no meter') || ', ' || replace(clefs, ',', ' ') as described from ne)"""
+NEAR = f"{C.SIGS}, {C.KNOWN}, {PHRASES}"
 add("pat_differences", "notes_v measures_v clefs_v", lambda n, m, c: review.differences(pattern.deviations(C.SIG(n, m, c)), pattern.known_patterns(C.SIG(n, m, c))), f"with {NEAR} select page, system, phrases, described from ph")
 GIVEN = """rf as (select distinct page, staves, meter, clefs, 1 as named from sg where system in (2, 5) and page % 3 <> 0),
 kg as (select * from (select *, max(systems) over w as most, max(named) over w as any_, min(first) over w as lead_ from pk left join rf using (page, staves, meter, clefs) window w as (partition by page))
@@ -67,7 +67,7 @@ def given(sigs: DataFrame) -> DataFrame:
     return sigs.where("system in (2, 5) and page % 3 <> 0").select("page", "system")
 
 
-add("pat_reference", "notes_v measures_v clefs_v", lambda n, m, c: pattern.deviations(C.SIG(n, m, c), 4, reference=given(C.SIG(n, m, c))), f"with {C.SIGS}, {GIVEN} select page, system, staves, meter, clefs from sg anti join kg using (page, staves, meter, clefs)")
+add("pat_reference", "notes_v measures_v clefs_v", lambda n, m, c: pattern.deviations(C.SIG(n, m, c), 4, reference=given(C.SIG(n, m, c))), f"with {C.SIGS}, {GIVEN} {C.DEVIANT.replace('kn', 'kg')}")
 add("pat_bar_columns", "notes_v", review.bar_columns, f"""with {C.FILL}, p as (select distinct page, measure, system from notes_v), v as (select page, staff, fill, count(*) as votes, min(measure) as first, list(distinct system) as sy from fill join p using (page, measure) where fill > 0 group by all),
 a as (select page, staff, list_distinct(flatten(list(sy))) as alle from v group by page, staff),
 k as (select * from v qualify row_number() over (partition by page, staff order by votes desc, first) = 1)
@@ -78,11 +78,23 @@ def named_fragments(fragments: DataFrame) -> DataFrame:
     return fragments.withColumn("file", F.concat(F.lit("sys"), F.col("system").cast("string"), F.lit(".s"), F.col("staff").cast("string"), F.lit("_in.musicxml"))).drop("system")
 
 
-add("pat_fragment_systems", "fragments_v", lambda f: review.systems_from_fragments(named_fragments(f)).select("event_id", "page", "file", "system"), "with f as (select event_id, page, 'sys' || system || '.s' || staff || '_in.musicxml' as file from fragments_v) select event_id, page, file, cast(dense_rank() over (partition by page order by file) as int) as system from f")
+NATURAL = "list_transform(regexp_extract_all(file, '[0-9]+|[^0-9]+'), lambda t: case when t[1] between '0' and '9' then lpad(cast(length(regexp_replace(t, '^0+([0-9])', '\\1')) as varchar), 3, '0') || regexp_replace(t, '^0+([0-9])', '\\1') else t end)"
+FILES = f"select event_id, page, file, cast(dense_rank() over (partition by page order by {NATURAL}, file) as int) as system from f"
+NAMED = "with f as (select event_id, page, 'sys' || system || '.s' || staff || '_in.musicxml' as file from {})"
+add("pat_fragment_systems", "fragments_v", lambda f: review.systems_from_fragments(named_fragments(f)).select("event_id", "page", "file", "system"), f"{NAMED.format('fragments_v')} {FILES}")
+# pages of up to sixteen systems, with unknown meters and clefs
+OPEN = "slim_notes_v slim_measures_v slim_clefs_v"
+OPEN_SIGS = C.signature_sql(*OPEN.split())
+add("pat_open_fragment_systems", "slim_notes_v", lambda f: review.systems_from_fragments(named_fragments(f)).select("event_id", "page", "file", "system"), f"{NAMED.format('slim_notes_v')} {FILES}")
+add("pat_open_signatures", OPEN, C.SIG, f"with {OPEN_SIGS} select * from sg")
+add("pat_open_keys", OPEN, lambda n, m, c: pattern.pattern_keys(C.SIG(n, m, c)), f"with {OPEN_SIGS} select * from pk")
+add("pat_open_deviations", OPEN, lambda n, m, c: pattern.deviations(C.SIG(n, m, c)), f"with {OPEN_SIGS}, {C.KNOWN} {C.DEVIANT}")
+add("pat_open_nearest", OPEN, lambda n, m, c: C.NEAR_TO(C.SIG(n, m, c)), f"with {OPEN_SIGS}, {C.KNOWN}, {C.NEAREST} select page, system, kc as k_clefs, differ from ne")
+add("pat_open_differences", OPEN, lambda n, m, c: review.differences(pattern.deviations(C.SIG(n, m, c)), pattern.known_patterns(C.SIG(n, m, c))), f"with {OPEN_SIGS}, {C.KNOWN}, {PHRASES} select page, system, phrases, described from ph")
 
 # the review
 DETECTED = "dt as (select page, cast(sum(2) as bigint) as expected from layout_v group by page), fo as (select page, count(distinct system * 10 + staff) as n from runs_b group by page)"
-CAVEAT = "case when page in (select page from cv) then ' [a crop missed staves -- see coverage_miss]' else '' end"
+CAVEAT = "case when page in (select page from cv) then ' (staves are missing on this page: coverage_miss)' else '' end"
 
 
 def page_review(runs: DataFrame, notes: DataFrame, measures: DataFrame, clefs: DataFrame, layout: DataFrame) -> DataFrame:
@@ -90,21 +102,21 @@ def page_review(runs: DataFrame, notes: DataFrame, measures: DataFrame, clefs: D
     place = notes.select("event_id", "system")
     found = B(runs).where("dur >= 36").join(place, "event_id").groupBy("page").agg(F.countDistinct("system", "staff").alias("n"))
     expected = layout.groupBy("page").agg(F.sum("n_staves_detected").alias("n"))
-    return review.review(A(runs), B(runs), C.SIG(notes.where("page % 9 <> 0"), measures, clefs), review.coverage_flags(found, expected, "run B", "staves"), 4)
+    return review.review(A(runs), B(runs), C.SIG(notes.where("page % 9 <> 0"), measures, clefs.where("page % 9 <> 0")), review.coverage_flags(found, expected, "run B", "staves"), 4)
 
 
-PAGED = C.SIGS.replace("from notes_v group by all", "from notes_v where page % 9 <> 0 group by all")
+PAGED = C.signature_sql("(select * from notes_v where page % 9 <> 0)", clefs="(select * from clefs_v where page % 9 <> 0)")
 RV = f"""{C.TALLY}, {C.PITCH}, {C.FIELDS}, {PAGED}, {C.KNOWN.replace(">= 2", ">= 4")},
 ex as (select page, sum(n_staves_detected) as e from layout_v group by page),
 fo as (select r.page, count(distinct system * 10 + r.staff) as n from runs_v r join notes_v using (event_id) where run = 'B' and r.dur >= 36 group by r.page),
-cv as (select page, coalesce(n, 0) || ' of ' || e || ' staves found; ' || (e - coalesce(n, 0)) || ' missing -- this is a segmentation miss, not a note disagreement' as detail from ex left join fo using (page) where coalesce(n, 0) < e),
-{NEAR[len(C.SIGS) + len(C.KNOWN) + 4:]},
+cv as (select page, coalesce(n, 0) || ' of ' || e || ' staves found; ' || (e - coalesce(n, 0)) || ' were never cut out, so their notes are in no count' as detail from ex left join fo using (page) where coalesce(n, 0) < e),
+{PHRASES},
 rv as (select page, 'coverage_miss' as "check", 3 as severity, 'run B' as "where", detail from cv
   union all select page, case field when 'pitched' then 'pitch_disagreement' else 'count_disagreement' end, 3, 'two runs', field || ': left ' || coalesce("left", 0) || ' vs right ' || coalesce("right", 0) || ' (' || case when coalesce("right", 0) >= coalesce("left", 0) then '+' else '' end || (coalesce("right", 0) - coalesce("left", 0)) || ')' || {CAVEAT} from fi
   union all select page, 'pitch_disagreement', 3, 'two runs', 'pitch ' || midi || ' differs by ' || case when delta >= 0 then '+' else '' end || delta || ' between the two runs' || {CAVEAT} from pd
-  union all select page, 'weak_pattern', 1, 'page', 'too few systems share a pattern for a deviation to be meaningful; ' || count(*) || ' system(s) examined' from sg where page not in (select page from pk where systems >= 4) group by page
+  union all select page, 'weak_pattern', 1, 'page', 'no pattern comes often enough to deviate from, among ' || count(*) || ' system(s)' from sg where page not in (select page from pk where systems >= 4) group by page
   union all select page, 'pattern_deviation', 2, 'system ' || system, phrases || ' (' || described || ')' from ph
-  union all select distinct page, 'missing_fragment', 3, 'page', 'no per-system fragments; pattern check skipped' from runs_v where page not in (select page from sg))"""
+  union all select distinct page, 'missing_fragment', 3, 'page', 'no system was read, so patterns were not checked' from runs_v where page not in (select page from sg))"""
 add("review_pages", "runs_v notes_v measures_v clefs_v layout_v", page_review, f"with {RV} select * from rv")
 add("review_tally", "runs_v notes_v measures_v clefs_v layout_v", lambda *t: page_review(*t).groupBy("check", "severity").agg(F.count("*").alias("n"), F.countDistinct("page").alias("pages")), f'with {RV} select "check", severity, count(*) as n, count(distinct page) as pages from rv group by all')
 

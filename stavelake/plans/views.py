@@ -34,8 +34,13 @@ from (select distinct page, system, (staff - 1) * 2 + voice as row_ from {notes_
 from (select page, system * 400 + (staff - 1) * 100 + event_id % 5 * 10 as y, onset as x0, 900 + dur as x1 from {notes_v}) l group by page, y""",
     "pieces_v": """select page, cast(system * 400 + (staff - 1) * 100 + event_id % 5 * 10 + event_id % 3 * 2 as double) as y, onset * 10 as x0, onset * 10 + dur as x1, 2 as th from {notes_v}""",
     "rules_v": """select distinct page, 20 + onset as x, cast(system * 400 as double) as top, cast(system * 400 + case when dur > 48 then 140 else 40 end as double) as bottom from {notes_v} where dur > 36""",
+    "slim_notes_v": """select event_id, page, cast(floor((measure - 1) / 2) as int) + 1 as system, staff, voice, measure, onset, dur, is_rest, is_chord, midi from {notes_v}""",
+    "slim_measures_v": """select page, measure, cast(floor((measure - 1) / 2) as int) + 1 as system, case when page % 4 = 0 then null when (page + measure) % 11 = 0 then 3 else 4 end as beats,
+  case when page % 4 = 0 then null else 4 end as beat_type from {measures_v}""",
+    "slim_clefs_v": """select page, system, 1 as staff, case when (page + system) % 6 <> 0 then 'G' end as sign, 2 as line from (select distinct page, system from {slim_measures_v}) a where page % 3 <> 0 or system % 5 <> 3
+union all select page, system, 2, case when (page * system) % 7 = 0 then 'G' else 'F' end, case when (page * system) % 7 = 0 then 2 else 4 end from (select distinct page, system from {slim_measures_v}) b where page % 3 <> 0 or system % 5 <> 3""",
 }
-NEEDS = {"notes_v": ["events"], "measures_v": ["notes_v"], "clefs_v": ["notes_v", "measures_v"], "runs_v": ["notes_v"], "layout_v": ["notes_v"], "staves_v": ["notes_v"], "fragments_v": ["notes_v"], "lines_v": ["notes_v"], "pieces_v": ["notes_v"], "rules_v": ["notes_v"]}
+NEEDS = {"notes_v": ["events"], "measures_v": ["notes_v"], "clefs_v": ["notes_v", "measures_v"], "runs_v": ["notes_v"], "layout_v": ["notes_v"], "staves_v": ["notes_v"], "fragments_v": ["notes_v"], "lines_v": ["notes_v"], "pieces_v": ["notes_v"], "rules_v": ["notes_v"], "slim_notes_v": ["notes_v"], "slim_measures_v": ["measures_v"], "slim_clefs_v": ["slim_measures_v"]}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
