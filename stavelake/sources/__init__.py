@@ -13,34 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-EVENT = """doc_id string, part_idx int, part_id string, part_name string, measure_ord int, measure_label string, seq int, tag string,
-duration_raw int, type string, dots int, is_chord boolean, is_rest boolean, staff int, voice int, step string, alter_raw string, octave int,
-tie string, slur string, tup_actual int, tup_normal int, divisions int, beats int, beat_type int, fifths int, staves int,
-clefs array<struct<staff:int,sign:string,line:int>>, error string, declared boolean, children array<string>"""
+from .rows import EVENT, event_fields
+
 CLEFS = pa.list_(pa.struct([("staff", pa.int32()), ("sign", pa.string()), ("line", pa.int32())]))
 KINDS = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
 ARROW = pa.schema([(n, pa.list_(pa.string()) if n == "children" else KINDS.get(kind, CLEFS)) for n, kind in (c.split() for c in EVENT.replace("\n", " ").split(", "))])
 
 
-def _int(node: ET.Element | None, path: str) -> int | None:
-    text = node.findtext(path) if node is not None else None
-    return int(text) if text and text.strip().lstrip("-").isdigit() else None
-
-
-def _row(tag: str, e: ET.Element) -> dict:
-    if tag == "attributes":
-        clefs = [{"staff": int(c.get("number", "1")), "sign": c.findtext("sign"), "line": _int(c, "line")} for c in e.findall("clef")]
-        return {"divisions": _int(e, "divisions"), "beats": _int(e, "time/beats"), "beat_type": _int(e, "time/beat-type"), "fifths": _int(e, "key/fifths"), "staves": _int(e, "staves"), "clefs": clefs}
-    if tag != "note":
-        return {"duration_raw": _int(e, "duration")}
-    kind = lambda path: next((x.get("type") for x in e.findall(path)), None)
-    return {
-        "duration_raw": _int(e, "duration"), "type": e.findtext("type"), "dots": len(e.findall("dot")), "is_chord": e.find("chord") is not None, "is_rest": e.find("rest") is not None,
-        "staff": _int(e, "staff") or 1, "voice": _int(e, "voice") or 1, "step": e.findtext("pitch/step"), "alter_raw": e.findtext("pitch/alter"), "octave": _int(e, "pitch/octave"),
-        "tie": kind("tie"), "slur": kind("notations/slur"), "tup_actual": _int(e, "time-modification/actual-notes"), "tup_normal": _int(e, "time-modification/normal-notes"),
-    }
-
-
 def shred(doc_id: str, content: bytes) -> list[dict]:
     """Ordered event rows of one document; one row with `error` if it does not parse."""
     try:
@@ -52,7 +31,7 @@ def shred(doc_id: str, content: bytes) -> list[dict]:
     for i, part in enumerate(root.findall("part")):
         for k, measure in enumerate(part.findall("measure")):
             for seq, e in enumerate(measure):
-                out.append({"doc_id": doc_id, "part_idx": i, "part_id": part.get("id"), "part_name": names.get(part.get("id")) or f"Staff {i + 1}", "measure_ord": k, "measure_label": measure.get("number"), "seq": seq, "tag": e.tag, "declared": part.get("id") in names, "children": [c.tag for c in e] if e.tag in ("note", "attributes") else None} | _row(e.tag, e))
+                out.append({"doc_id": doc_id, "part_idx": i, "part_id": part.get("id"), "part_name": names.get(part.get("id")) or f"Staff {i + 1}", "measure_ord": k, "measure_label": measure.get("number"), "seq": seq, "tag": e.tag, "declared": part.get("id") in names} | event_fields(e))
     return out
 
 
@@ -67,8 +46,30 @@ def _shredded(rows: DataFrame, stem: bool) -> DataFrame:
     return rows.mapInArrow(run, EVENT)
 
 
-def read_scores(spark: SparkSession, path: str) -> DataFrame:
-    """Raw events of all MusicXML files under a path, in document order within each measure."""
+def read_scores(spark: SparkSession, path: str, columns: str | None = None) -> DataFrame:
+    """Raw events of all MusicXML files under a path, in document order within each measure.
+
+    Files are read in steps, so one of any size will do; large ones are tasks of their own, small ones share tasks.
+    columns: a schema string with the columns that are wanted; nothing else is made.
+    """
+    from . import files
+
+    files.register(spark)
+    reader = spark.read.format("scores")
+    return (reader.schema(columns) if columns else reader).load(path)
+
+
+def stream_scores(spark: SparkSession, path: str, columns: str | None = None, settle_seconds: float = 1) -> DataFrame:
+    """`read_scores` as a stream of the files that come in."""
+    from . import files
+
+    files.register(spark)
+    reader = spark.readStream.format("scores").option("settleSeconds", str(settle_seconds))
+    return (reader.schema(columns) if columns else reader).load(path)
+
+
+def read_stored_scores(spark: SparkSession, path: str) -> DataFrame:
+    """Raw events of files in a store that only Spark reads; each file is held whole."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return _shredded(files.select(F.col("path").alias("name"), "content"), True)
 
@@ -88,18 +89,65 @@ def read_journal(spark: SparkSession, path: str, schema: str = "stem string, sys
 
 
 def read_layout(spark: SparkSession, path: str) -> DataFrame:
-    """Detected staves and systems of each page; a page without a readable file has no row."""
+    """Counts of detected staves and systems of each page, from records that name their page; one that does not parse has no row."""
     return spark.read.schema("page int, n_staves int, n_systems int").json(path, multiLine=True, mode="DROPMALFORMED").where("page is not null")
 
 
+STAFF_BOX = "array<struct<y_top:double, y_bot:double, y_center:double, x0:int, x1:int, n_lines:int, spacing:double, spread:double, resid:double, width:int>>"
+LAYOUT = f"n_staves int, n_systems int, grouping array<int>, staff_space double, staves {STAFF_BOX}, broken string"
+
+
+def read_boxes(spark: SparkSession, path: str, nested: str = "homr") -> DataFrame:
+    """(folder, page, n_staves, n_systems, grouping, staff_space, staves) of each page's layout record `<page>.boxes.json`.
+
+    A record lies in a book's folder or in that folder's own folder `nested`; the first place that has one counts, even if
+    that one does not parse. A page without a readable record has no row, which is no claim that it has no staves.
+    """
+    reader = spark.read.schema(LAYOUT).options(recursiveFileLookup="true", pathGlobFilter="*.boxes.json")
+    rows = reader.json(path, multiLine=True, columnNameOfCorruptRecord="broken").select("*", F.col("_metadata.file_path").alias("file"))
+    inner = f"/{nested}/[^/]*$"
+    rows = rows.select(
+        F.regexp_replace(F.regexp_replace("file", inner, "/"), "/[^/]*$", "").alias("folder"), F.regexp_extract("file", r"([^/]*)\.boxes\.json$", 1).alias("page"),
+        "n_staves", "n_systems", "grouping", "staff_space", "staves", "broken", F.col("file").rlike(inner).alias("place"),
+    )
+    first = rows.withColumn("nth", F.row_number().over(Window.partitionBy("folder", "page").orderBy("place"))).where("nth = 1")
+    return first.where("broken is null").drop("broken", "place", "nth")
+
+
+def layout_staves(layout: DataFrame) -> DataFrame:
+    """One row for each detected staff, from top to bottom."""
+    return layout.select("folder", "page", F.posexplode("staves").alias("staff", "box")).select("folder", "page", (F.col("staff") + 1).alias("staff"), "box.*")
+
+
+def layout_counts(layout: DataFrame, what: str = "n_staves") -> DataFrame:
+    """(page, n) for the coverage check; pages whose record names no count make no claim."""
+    return layout.where(F.col(what).isNotNull()).select("page", F.col(what).alias("n"))
+
+
 def read_symbol_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Symbols of recogniser logs, read from the right: four last fields are fixed, the pitch before them may be absent."""
+    """Symbols of logs that have one on each line, read from the right: four last fields are fixed, the pitch before them may be absent."""
     lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.split(F.trim("value"), r"\s+").alias("f")).where(F.size("f") >= 5)
     at = lambda k: F.element_at("f", -k)
     pitch = F.when(F.size("f") >= 6, at(5))
     return lines.select("file", F.element_at("f", 1).alias("symbol"), pitch.alias("pitch"), at(4).alias("lift"), at(3).alias("articulation"), at(2).alias("slur"), at(1).alias("position"))
 
 
+def read_recogniser_logs(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, n, symbol, ...): symbols of whole recogniser logs, between their marks, in the order they were printed."""
+    from . import files
+
+    files.register(spark)
+    return spark.read.format("symbol_logs").load(path)
+
+
+def stream_recogniser_logs(spark: SparkSession, path: str, settle_seconds: float = 1) -> DataFrame:
+    """`read_recogniser_logs` as a stream of the logs that come in."""
+    from . import files
+
+    files.register(spark)
+    return spark.readStream.format("symbol_logs").option("settleSeconds", str(settle_seconds)).load(path)
+
+
 def read_song_index(spark: SparkSession, path: str) -> DataFrame:
     """(title, place, page) of a JSON list of songs with their pages in order."""
     return spark.read.schema("title string, pages array<int>").json(path, multiLine=True).select("title", F.posexplode("pages").alias("place", "page"))
