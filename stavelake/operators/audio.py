@@ -72,25 +72,25 @@ def frame_pitch(frames: DataFrame, gates: DataFrame | None = None, low: float =
 
 
 def frame_notes(frames: DataFrame, most_gap: int = 2, least: int = 3) -> DataFrame:
-    """(doc_id, midi, start, stop, frames, hz, clarity): runs of one pitch of at least `least` frames, in frame order.
+    """(doc_id, midi, start, stop, frames, hz, clarity): notes of at least `least` frames from start to stop, in frame order.
 
-    An unvoiced or foreign gap of at most `most_gap` frames between two runs of one pitch is absorbed, one gap a note:
-    in a chain of such runs the first takes the second, the third takes the fourth and so on.
+    A note is a run of voiced frames of one pitch. An unvoiced gap of at most `most_gap` frames before the next run of the
+    same pitch is absorbed, one gap a note: of several such runs the first takes the second, the third the fourth and so
+    on. `frames` counts the voiced ones.
     """
     w = Window.partitionBy("doc_id").orderBy("frame")
     voiced = frames.where("midi is not null")
     breaks = (F.lag("midi").over(w) != F.col("midi")) | (F.lag("frame").over(w) != F.col("frame") - 1)
     runs = voiced.withColumn("new", F.coalesce(breaks, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(w))
-    runs = runs.withColumns({"first": F.min("frame").over(Window.partitionBy("doc_id", "run")), "last": F.max("frame").over(Window.partitionBy("doc_id", "run"))})
-    one = runs.select("doc_id", "midi", "run", "first", "last").distinct()
-    pitch = Window.partitionBy("doc_id", "midi").orderBy("first")
-    near = F.coalesce(F.col("first") - F.lag("last").over(pitch) - 1 <= most_gap, F.lit(False))
-    chains = one.withColumn("near", near).withColumn("chain", F.sum((~F.col("near")).cast("int")).over(pitch))
-    place = F.row_number().over(Window.partitionBy("doc_id", "midi", "chain").orderBy("first")) - 1
+    one = runs.groupBy("doc_id", "run").agg(F.first("midi").alias("midi"), F.min("frame").alias("first"), F.max("frame").alias("last"))
+    order = Window.partitionBy("doc_id").orderBy("first")
+    near = (F.lag("midi").over(order) == F.col("midi")) & (F.col("first") - F.lag("last").over(order) - 1 <= most_gap)
+    chains = one.withColumn("far", (~F.coalesce(near, F.lit(False))).cast("int")).withColumn("chain", F.sum("far").over(order))
+    place = F.row_number().over(Window.partitionBy("doc_id", "chain").orderBy("first")) - 1
     notes = chains.withColumn("note", F.floor(place / 2)).select("doc_id", "run", "chain", "note")
     out = runs.join(notes, ["doc_id", "run"]).groupBy("doc_id", "midi", "chain", "note")
     rows = out.agg(F.min("frame").alias("start"), F.max("frame").alias("stop"), long(F.count("*")).alias("frames"), F.expr("percentile(hz, 0.5)").alias("hz"), F.avg("clarity").alias("clarity"))
-    return rows.where(F.col("frames") >= least).drop("chain", "note")
+    return rows.where(F.col("stop") - F.col("start") + 1 >= least).drop("chain", "note")
 
 
 def melody_records(notes: DataFrame, gates: DataFrame) -> DataFrame:

@@ -119,6 +119,6 @@ f as (select page, cast(start + unnest(generate_series(0, n - 1)) as bigint) as
 a as (select *, coalesce((midi <> lag(midi) over w or frame <> lag(frame) over w + 1)::int, 1) as new from f where not is_rest window w as (partition by page order by frame)),
 b as (select *, sum(new) over (partition by page order by frame) as run from a),
 c as (select page, midi, run, min(frame) as first, max(frame) as last, count(*) as n from b group by page, midi, run),
-d as (select *, sum(far) over (partition by page, midi order by first) as chain from (select *, coalesce((first - lag(last) over (partition by page, midi order by first) - 1 > 2)::int, 1) as far from c)),
-e as (select *, (row_number() over (partition by page, midi, chain order by first) - 1) // 2 as note from d)
-select page as doc_id, midi, min(first) as start, max(last) as stop, cast(sum(n) as bigint) as frames, 440.0::double as hz, 1.0::double as clarity from e group by page, midi, chain, note having sum(n) >= 3""")
+d as (select *, sum(far) over (partition by page order by first) as chain from (select *, coalesce((midi <> lag(midi) over o or first - lag(last) over o - 1 > 2)::int, 1) as far from c window o as (partition by page order by first))),
+e as (select *, (row_number() over (partition by page, chain order by first) - 1) // 2 as note from d)
+select page as doc_id, midi, min(first) as start, max(last) as stop, cast(sum(n) as bigint) as frames, 440.0::double as hz, 1.0::double as clarity from e group by page, midi, chain, note having max(last) - min(first) + 1 >= 3""")
