@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
@@ -32,45 +33,44 @@ class SuffixAutomaton:
         self.next: list[dict] = [{}]
         self.link, self.length, self.count = [-1], [0], [0]
 
-    def _state(self, length: int, following: dict, link: int) -> int:
-        self.next.append(following)
-        self.length.append(length)
-        self.link.append(link)
-        self.count.append(0)
-        return len(self.length) - 1
-
     def add(self, words: list, times: int = 1) -> list[int]:
         """Put in a sequence that occurs `times` times; returns the state of each of its prefixes."""
         following, link, length, count = self.next, self.link, self.length, self.count
         last, states = 0, []
         for c in words:
-            p, q = last, following[last].get(c)
-            if q is None:
-                last = self._state(length[p] + 1, {}, 0)
+            p, new = last, -1
+            size = length[p] + 1
+            if c not in following[p]:
+                new = len(length)
+                following.append({})
+                length.append(size)
+                link.append(0)
+                count.append(0)
                 while p >= 0 and c not in following[p]:
-                    following[p][c] = last
+                    following[p][c] = new
                     p = link[p]
-                if p >= 0:
-                    link[last] = self._split(p, c)
-            else:
-                last = self._split(p, c)
-            count[last] += times
-            states.append(last)
+            if p >= 0:  # the state of p's longest words and c: the next one if it has just these, else a copy for them
+                own = q = following[p][c]
+                size = length[p] + 1
+                if length[q] != size:
+                    own = len(length)
+                    following.append(dict(following[q]))
+                    length.append(size)
+                    link.append(link[q])
+                    count.append(0)
+                    link[q] = own
+                    while p >= 0 and following[p].get(c) == q:
+                        following[p][c] = own
+                        p = link[p]
+                if new >= 0:
+                    link[new] = own
+                else:
+                    new = own
+            count[new] += times
+            states.append(new)
+            last = new
         return states
 
-    def _split(self, p: int, c: object) -> int:
-        """The state of p's longest words and c alone: the next one if it is that, else a copy for the shorter words."""
-        following, link, length = self.next, self.link, self.length
-        q = following[p][c]
-        if length[q] == length[p] + 1:
-            return q
-        copy = self._state(length[p] + 1, dict(following[q]), link[q])
-        link[q] = copy
-        while p >= 0 and following[p].get(c) == q:
-            following[p][c] = copy
-            p = link[p]
-        return copy
-
     def repeated(self) -> list[int]:
         """For each state, the length of its longest suffix that ends at two places or more, once all sequences are in."""
         length, link, count = self.length, self.link, list(self.count)
@@ -118,22 +118,74 @@ def token(word: bytes) -> bytes:
     return word if len(word) <= LONG_WORD else b"\t" + xxhash.xxh3_128_hexdigest(word).encode()
 
 
-def anchors(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first, end) of each anchor: the windows that start at first to end - 1 have it as their least.
+def tokens(text: str | None) -> list[bytes]:
+    """The words of a text as automata see them."""
+    words = split_words(text)
+    return list(map(token, words)) if words and len(max(words, key=len)) > LONG_WORD else words
+
+
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Word groups whose places fit beside the upper bits of their hashes.
+PLACES = 1 << 24
+#: An odd number and its inverse modulo 2^64.
+BASE = 0x100000001B3
+POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of BASE and of its inverse; a task keeps those of its longest texts up to a million bytes."""
+    if len(POWERS[0]) >= n:
+        return POWERS[0][:n], POWERS[1][:n]
+    made = [np.cumprod(np.full(max(n, 1 << 16), b, np.uint64)) * np.uint64(pow(b, -1, 1 << 64)) for b in (BASE, pow(BASE, -1, 1 << 64))]
+    if n <= 1 << 20:
+        POWERS[:] = made
+    return made[0][:n], made[1][:n]
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A hash of each word of a text, all at once: a word's polynomial out of sums over the text, moved to its own start."""
+    raw = np.frombuffer(text, np.uint8)
+    inside = np.concatenate([[False], ~SPACE[raw], [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    first, end = edges[::2], edges[1::2]
+    up, down = powers(len(raw) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)])])
+    h = (sums[end] - sums[first]) * down[first]
+    return (h ^ (h >> np.uint64(29))) * FINAL
+
+
+def sliding_least(h: np.ndarray, width: int) -> np.ndarray:
+    """The least of each `width` neighbours, by doubling."""
+    done, out = 1, h
+    while 2 * done <= width:
+        out, done = np.minimum(out[: len(out) - done], out[done:]), 2 * done
+    return np.minimum(out[: len(h) - width + 1], out[width - done :])
+
+
+def anchors(text: str | None, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first, end) of each anchor of a text: the windows that start at first to end - 1 have it as their least.
 
-    Which anchor a window has follows from its words alone (of equal ones the first), and each window has one.
+    An anchor is the word group of a window whose hash has the least upper bits, the first of several. So it follows from the
+    window's words alone, each window has one, and no anchor has more than window - GRAM + 1 windows.
     """
-    n = len(words) - window + 1
-    if n < 1:
+    w = word_hashes(text.encode()) if text else np.zeros(0, np.uint64)
+    if len(w) < window:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     gram = min(GRAM, window)
-    w, h = np.array([xxhash.xxh3_64_intdigest(x) for x in words], np.uint64), np.zeros(len(words) - gram + 1, np.uint64)
+    h = np.zeros(len(w) - gram + 1, np.uint64)
     for j in range(gram):
         h = h * MIX + w[j : j + len(h)]
     h = (h ^ (h >> np.uint64(31))) * FINAL
-    best = np.lib.stride_tricks.sliding_window_view(h, window - gram + 1).argmin(1) + np.arange(n)
-    first = np.concatenate([[0], np.flatnonzero(np.diff(best)) + 1])
-    return h[best[first]].view(np.int64), first, np.append(first[1:], n)
+    width = window - gram + 1
+    if len(h) <= PLACES:  # the place in the low bits: of equal upper bits the first wins
+        low = np.uint64(PLACES - 1)
+        best = (sliding_least((h & ~low) | np.arange(len(h), dtype=np.uint64), width) & low).astype(np.int64)
+    else:
+        upper = h & ~np.uint64(PLACES - 1)
+        best = np.lib.stride_tricks.sliding_window_view(upper, width).argmin(1) + np.arange(len(h) - width + 1)
+    first = np.concatenate([[0], np.flatnonzero(best[1:] != best[:-1]) + 1])
+    return h[best[first]].view(np.int64), first, np.append(first[1:], len(best))
 
 
 def text_anchors(rows: DataFrame, window: int) -> DataFrame:
@@ -142,7 +194,7 @@ def text_anchors(rows: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
-                found = [np.unique(anchors(split_words(t), window)[0], return_counts=True) for t in part.column("text").to_pylist()]
+                found = [np.unique(anchors(t, window)[0], return_counts=True) for t in part.column("text").to_pylist()]
                 sizes = [len(h) for h, _ in found]
                 made = [pa.array(np.concatenate([f[i] for f in found]), pa.int64()) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(np.repeat(np.arange(len(found)), sizes))), *made], names=["key", "h", "c"])
@@ -160,10 +212,11 @@ def hot_windows(rows: DataFrame, hot: set[int], window: int, most: int) -> list[
             for part in chunks(batch, "text"):
                 count: Counter[bytes] = Counter()
                 for text in part.column("text").to_pylist():
-                    words = split_words(text)
-                    h, first, end = anchors(words, window)
-                    for i in np.flatnonzero(np.isin(h, wanted)):
-                        own = [token(w) for w in words[first[i] : end[i] + window - 1]]
+                    h, first, end = anchors(text, window)
+                    found = np.flatnonzero(np.isin(h, wanted)).tolist()
+                    words = tokens(text) if found else []
+                    for i in found:
+                        own = words[first[i] : end[i] + window - 1]
                         count.update(b" ".join(own[s : s + window]) for s in range(end[i] - first[i]))
                 yield pa.RecordBatch.from_arrays([pa.array(count.keys(), pa.binary()), pa.array(count.values(), pa.int64())], names=["words", "c"])
 
@@ -214,15 +267,15 @@ def pieces(rows: DataFrame, window: int, hot: set[int], automaton) -> DataFrame:
                     sent[digest] += 1
                     if sent[digest] > 2:
                         continue
-                    words = split_words(text)
-                    h, first, end = anchors(words, window)
+                    words = tokens(text)
+                    h, first, end = anchors(text, window)
                     known, own = np.isin(h, np.array(hs, np.int64)), {}
                     is_hot = np.isin(h, held)
                     for i in np.flatnonzero(known & ~is_hot).tolist():
-                        own.setdefault((int(h[i]), b" ".join(map(token, words[first[i] : end[i] + window - 1]))), []).append(int(first[i]))
+                        own.setdefault((int(h[i]), b" ".join(words[first[i] : end[i] + window - 1])), []).append(int(first[i]))
                     for i in np.flatnonzero(known & is_hot).tolist():
                         lo, n = int(first[i]), int(end[i] - first[i])
-                        here = list(map(token, words[lo : lo + n + window - 1]))
+                        here = words[lo : lo + n + window - 1]
                         known_here = list(automaton.value.matches(here))
                         for a, b in spans(known_here, window):
                             out.append((int.from_bytes(digest[:8], "big", signed=True), key, digest, None, [lo + a, lo + b]))
@@ -252,9 +305,11 @@ def repeated_spans(shard: pa.Table, window: int) -> pa.Table:
         if w is not None:
             times[w] += len(at)
     automaton, numbers = SuffixAutomaton(), {}
+    gc.disable()  # the automaton makes no cycles, and has too many parts to look through again and again
     states = {w: automaton.add([numbers.setdefault(x, len(numbers)) for x in w.split(b" ")], n) for w, n in times.items()}
     best = automaton.repeated()
     found = {w: spans((best[v] for v in path), window) for w, path in states.items()}
+    gc.enable()
     out = []
     for key, digest, w, at in zip(keys, digests, words, starts):
         flat = at if w is None else [s + x for s in at for span in found[w] for x in span]

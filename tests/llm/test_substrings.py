@@ -5,7 +5,8 @@ from collections import Counter
 
 import pytest
 
-from stavelake.llm.substrings import OP12_SQL, SuffixAutomaton, anchors, op12_substrings, passages, remove_repeats, spans, split_words, token
+from stavelake.llm import substrings
+from stavelake.llm.substrings import OP12_SQL, SuffixAutomaton, anchors, op12_substrings, passages, remove_repeats, spans, split_words, token, word_hashes
 
 
 def brute(rows, window=35):
@@ -83,17 +84,29 @@ def test_automaton_statistics():
         assert list(automaton.matches(probe)) == [max([0, *(n for n in range(1, e + 1) if ends[tuple(probe[e - n : e])])]) for e in range(1, 16)]
 
 
-def test_anchors_follow_the_words_of_a_window():
+@pytest.mark.parametrize("places", [1 << 24, 1 << 8])
+def test_anchors_follow_the_words_of_a_window(monkeypatch, places):
+    monkeypatch.setattr(substrings, "PLACES", places)
     rng = random.Random(2)
-    words = [b"%d" % rng.randint(0, 3) for _ in range(400)]
-    h, first, end = anchors(words, 20)
+    words = [str(rng.randint(0, 3)) for _ in range(300)] + ["same"] * 100
+    h, first, end = anchors(" \n".join(words), 20)
     own = {}
     for x, lo, hi in zip(h, first, end):
         for s in range(lo, hi):
             assert own.setdefault(tuple(words[s : s + 20]), x) == x
     assert sorted(s for lo, hi in zip(first, end) for s in range(lo, hi)) == list(range(381))
     for s in (0, 100, 380):
-        assert anchors(words[s : s + 20], 20)[0].tolist() == [own[tuple(words[s : s + 20])]]
+        assert anchors("  " + "\t".join(words[s : s + 20]) + " ", 20)[0].tolist() == [own[tuple(words[s : s + 20])]]
+    assert max(end - first) <= 30 and len(anchors(" x" * 34, 35)[0]) == len(anchors(None, 35)[0]) == 0
+
+
+def test_word_hashes_tell_words_apart():
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abü\x00\x1f") for _ in range(rng.randint(1, 9))) for _ in range(20_000)]
+    own = {}
+    for w, h in zip(words, word_hashes(" ".join(words).encode())):
+        assert own.setdefault(w, h) == h
+    assert len(set(own.values())) == len(own)
 
 
 def test_passages_have_exactly_their_windows():
@@ -102,5 +115,5 @@ def test_passages_have_exactly_their_windows():
     windows = rng.sample(sorted({tuple(text[i : i + 6]) for i in range(295)}), 80)
     made = passages([list(w) for w in windows])
     assert {tuple(p[i : i + 6]) for p in made for i in range(len(p) - 5)} == set(windows) and sum(len(p) - 5 for p in made) == 80
-    assert spans([0, 0, 3, 3, 0, 0, 3], 3) == [(0, 4), (4, 7)] and spans([0, 0, 3, 0, 4], 3) == [(0, 5)]
+    assert spans([0, 0, 3, 3, 0, 0, 3], 3) == [(0, 7)] and spans([0, 0, 3, 0, 4], 3) == [(0, 5)]
     assert split_words("a\x1fb c\x0bd　e") == [b"a\x1fb", b"c", b"d\xe3\x80\x80e"] and token(b"y" * 33).startswith(b"\t")
