@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 #: Cells of the table above which it is kept in blocks of rows, so its memory grows with the root of its rows.
 MOST_CELLS = 1_500_000
-#: How far `greedy_ops` looks.
-AHEAD = 8
+#: Cells of a table that is filled without a search for a short way first.
+FEW_CELLS = 4096
 
 
 def row_above(x: int, below: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -23,10 +23,8 @@ def row_above(x: int, below: np.ndarray, right: np.ndarray) -> np.ndarray:
     return out
 
 
-def lcs_ops(a: list, b: list) -> list[tuple[str, int | None, int | None]]:
-    """(op, left, right) with op m, d or i: a longest common subsequence; of equal ways deleting comes first.
-
-    Exact at every size: a large table keeps one row of each block, and blocks are filled again as the way reaches them.
+def table_ops(a: list, b: list) -> list[tuple[str, int | None, int | None]]:
+    """`lcs_ops` by the lengths of all pairs of rests. A large table keeps one row of each block, and blocks are filled again as the way reaches them.
     """
     codes = {x: i for i, x in enumerate(dict.fromkeys([*a, *b]))}
     left, right = [codes[x] for x in a], np.array([codes[x] for x in b], np.int64)
@@ -62,17 +60,57 @@ def lcs_ops(a: list, b: list) -> list[tuple[str, int | None, int | None]]:
     return out
 
 
-def greedy_ops(a: list, b: list) -> list[tuple[str, int | None, int | None]]:
-    """What the reference does with large groups, by looking ahead; `align` does without it."""
-    out, i, j = [], 0, 0
-    while i < len(a) and j < len(b):
-        near = min(((d + e, d, e) for d in range(AHEAD + 1) for e in range(AHEAD + 1) if i + d < len(a) and j + e < len(b) and a[i + d] == b[j + e]), default=(0, 1, 1))
-        out += [("d", i + k, None) for k in range(near[1])] + [("i", None, j + k) for k in range(near[2])]
-        i, j = i + near[1], j + near[2]
-        if near[0] or (i < len(a) and j < len(b) and a[i] == b[j]):
+def short_way(a: list, b: list, most: int) -> list[tuple[str, int | None, int | None]] | None:
+    """`lcs_ops` in (n + m) x D steps for lists with D differences; None where D is above `most`.
+
+    From the ends of both lists backward, for d = 0, 1, 2.. and each diagonal (left less right): the least place from
+    which the ends are d differences away, found by one difference more and then all equal items. The way then runs
+    forward, and deletes wherever the rest after it is still on the shortest way.
+    """
+    n, m = len(a), len(b)
+    reach: list[dict[int, int]] = []
+    for d in range(most + 1):
+        now: dict[int, int] = {}
+        for k in range(n - m - d, n - m + d + 1, 2):
+            if d:
+                before = reach[-1]
+                i = min(before.get(k + 1, n + 2) - 1, before.get(k - 1, n + 1))
+                if i < 0 or i > n or i < k or i - k > m:
+                    continue
+            else:
+                i = n
+            while i > 0 and i > k and a[i - 1] == b[i - k - 1]:
+                i -= 1
+            now[k] = i
+        reach.append(now)
+        if now.get(0) == 0:
+            break
+    else:
+        return None
+    out, i, j, d = [], 0, 0, len(reach) - 1
+    while i < n or j < m:
+        if i < n and j < m and a[i] == b[j]:
             out.append(("m", i, j))
             i, j = i + 1, j + 1
-    return out + [("d", k, None) for k in range(i, len(a))] + [("i", None, k) for k in range(j, len(b))]
+        else:
+            d -= 1
+            if i < n and reach[d].get(i - j + 1, n + 1) <= i + 1:
+                out.append(("d", i, None))
+                i += 1
+            else:
+                out.append(("i", None, j))
+                j += 1
+    return out
+
+
+def lcs_ops(a: list, b: list) -> list[tuple[str, int | None, int | None]]:
+    """(op, left, right) with op m, d or i: a longest common subsequence; of equal ways deleting comes first.
+
+    Exact at every size. Lists with few differences take time by these (`short_way`), others by the table of all cells.
+    """
+    if len(a) * len(b) > FEW_CELLS and (found := short_way(a, b, isqrt(MOST_CELLS))) is not None:
+        return found
+    return table_ops(a, b)
 
 
 def align(truth: DataFrame, pred: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 import struct
+import time
 import wave
 from collections import Counter
 
@@ -10,7 +11,7 @@ from stavelake import functions as N
 from stavelake import sources as S
 from stavelake import streaming
 from stavelake.operators import meter, normalise
-from stavelake.operators.align import align, greedy_ops, lcs_ops
+from stavelake.operators.align import align, lcs_ops, short_way, table_ops
 
 SCORE = """<score-partwise><part-list><score-part id="P1"><part-name>Voice</part-name></score-part></part-list><part id="P1">
 <measure number="1"><attributes><divisions>2</divisions><time><beats>4</beats><beat-type>4</beat-type></time><clef><sign>G</sign><line>2</line></clef></attributes>
@@ -88,7 +89,7 @@ def test_audio_frames(spark, tmp_path):
 def test_alignment(spark):
     assert [o for o, _, _ in lcs_ops(list("abcd"), list("bxd"))] == ["d", "m", "d", "i", "m"]
     assert all(o == "m" for o, _, _ in lcs_ops(list("abc") * 9, list("abc") * 9))
-    for ops in (lcs_ops, greedy_ops):
+    for ops in (lcs_ops, table_ops):
         got = ops(list("abcabcab"), list("abxcabab"))
         assert [i for o, i, _ in got if o != "i"] == list(range(8)) and [j for o, _, j in got if o != "d"] == list(range(8))
     a = spark.createDataFrame([(1, i, x) for i, x in enumerate("abc")] + [(2, 0, "q")], "k int, t int, x string")
@@ -123,3 +124,31 @@ def test_alignment_is_exact_at_every_size(monkeypatch):
     notes = [str(i) for i in range(1400)]
     ops = A.lcs_ops(notes, notes[:300] + notes[330:])  # a gap of 30 notes in a table of 1.9 million cells
     assert [sum(o == op for o, _, _ in ops) for op in "mdi"] == [1370, 30, 0]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_short_way_keeps_the_ties_of_the_table(seed):
+    rng = random.Random(seed)
+    for _ in range(300):
+        a = [rng.choice("abc") for _ in range(rng.randint(0, 25))]
+        b = [x for x in a if rng.random() > 0.2] if rng.random() < 0.5 else [rng.choice("abcd") for _ in range(rng.randint(0, 25))]
+        for _ in range(rng.randint(0, 3)):
+            b.insert(rng.randint(0, len(b)), rng.choice("abcd"))
+        whole = table_ops(a, b)
+        differences = sum(o != "m" for o, _, _ in whole)
+        assert short_way(a, b, 60) == short_way(a, b, differences) == whole
+        assert differences == 0 or short_way(a, b, differences - 1) is None
+
+
+def test_long_streams_with_few_differences_take_seconds():
+    rng = random.Random(9)
+    a = [str(rng.randint(40, 90)) for _ in range(100_000)]
+    b = list(a)
+    for at in sorted(rng.sample(range(100_000), 100), reverse=True):
+        b[at : at + 1] = rng.choice([[], ["x"], [b[at], "y"]])
+    began = time.process_time()
+    ops = lcs_ops(a, b)
+    assert time.process_time() - began < 20
+    n = Counter(o for o, _, _ in ops)
+    assert n["m"] + n["d"] == 100_000 and n["m"] + n["i"] == len(b) and n["d"] + n["i"] <= 200
+    assert all(a[i] == b[j] for o, i, j in ops if o == "m") and [i for o, i, _ in ops if o != "i"] == list(range(100_000))
