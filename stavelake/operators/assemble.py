@@ -40,6 +40,28 @@ def grid_shape(notes: DataFrame) -> DataFrame:
     return size.groupBy("page").agg(long(F.max("n")).alias("tallest"), long(F.min("n")).alias("lowest"), (F.max("n") == F.min("n")).cast("int").alias("uniform"))
 
 
+def grid_scan(notes: DataFrame) -> DataFrame:
+    """(level, book, page, pages, varies, rows, lowest, accompaniment, solo, content) for every page, every book and all of them.
+
+    A row of a system is one staff of one part. rows: those of the tallest layout, on which every system has to fit;
+    accompaniment: the most staves that one part has; where several parts fill the tallest system with one of them, a row is
+    added, so that the solo is not lost; solo: the rows above. lowest: rows of the smallest system; varies: pages whose systems
+    differ in their rows; content: the most rows of one system that have a note. Books and the whole take the largest of each.
+    """
+    staff = notes.groupBy("book", "page", "system", "part", "staff").agg(F.max((~F.col("is_rest")).cast("int")).alias("sounds"))
+    part = staff.repartition("book", "page").groupBy("book", "page", "system", "part").agg(F.count("*").alias("n"), F.sum("sounds").alias("sounds"))
+    system = part.groupBy("book", "page", "system").agg(F.sum("n").alias("n"), F.max("n").alias("braced"), F.sum("sounds").alias("sounds"), F.collect_set("part").alias("parts"))
+    several = F.size(F.array_distinct(F.flatten(F.collect_list("parts")))) > 1
+    page = system.groupBy("book", "page").agg(F.max("n").alias("tall"), F.min("n").alias("low"), F.max("braced").alias("braced"), F.max("sounds").alias("content"), several.alias("several"))
+    page = page.withColumn("rows", F.col("tall") + (F.col("several") & (F.col("tall") == F.col("braced"))).cast("int"))
+    level = F.when(F.grouping("book") == 1, "all").when(F.grouping("page") == 1, "book").otherwise("page")
+    out = page.rollup("book", "page").agg(
+        level.alias("level"), long(F.count("*")).alias("pages"), long(F.sum((F.col("tall") != F.col("low")).cast("int"))).alias("varies"), long(F.max("rows")).alias("rows"), long(F.min("low")).alias("lowest"),
+        long(F.max("braced")).alias("accompaniment"), long(F.max(F.col("rows") - F.col("braced"))).alias("solo"), long(F.max("content")).alias("content"),
+    )
+    return out.where("pages > 0").select("level", "book", "page", "pages", "varies", "rows", "lowest", "accompaniment", "solo", "content")
+
+
 def clef_votes(clefs: DataFrame) -> DataFrame:
     """The clef of each staff by majority of systems, ties to the first seen, with its votes and the others'."""
     votes = clefs.groupBy("page", "staff", "sign", "line").agg(long(F.count("*")).alias("n"), F.min("system").alias("first"))

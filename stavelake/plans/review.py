@@ -166,6 +166,12 @@ add("asm_fragments", "fragments_v", lambda f: assemble.assemble_fragments(f, ["s
 add("asm_page_context", "measures_v", lambda m: assemble.page_context(m.withColumn("fifths", (F.col("page") + F.col("system")) % 3 - 1)), """with a0 as (select page, beats || '/' || beat_type as meter, count(*) as meter_votes, min(measure) as first from measures_v group by all), a as (select * from a0 qualify row_number() over (partition by page order by meter_votes desc, first) = 1),
 b0 as (select page, (page + system) % 3 - 1 as fifths, count(*) as fifths_votes, min(measure) as first from measures_v group by all), b as (select * from b0 qualify row_number() over (partition by page order by fifths_votes desc, first) = 1)
 select page, meter, meter_votes, fifths, fifths_votes from a join b using (page)""")
+add("asm_grid_scan", "slim_notes_v", lambda n: assemble.grid_scan(in_parts(n)), """with st as (select page // 16 as book, page, system, voice - 1 as part, staff, max((not is_rest)::int) as sounds from slim_notes_v group by all),
+pt as (select book, page, system, part, count(*) as n, sum(sounds) as sounds from st group by all), sy as (select book, page, system, sum(n) as n, max(n) as braced, sum(sounds) as sounds from pt group by all),
+np as (select book, page, count(distinct part) as parts from st group by all),
+pg as (select book, page, max(n) as tall, min(n) as low, max(braced) as braced, max(sounds) as content, max(n) + (any_value(parts) > 1 and max(n) = max(braced))::int as rows from sy join np using (book, page) group by book, page)
+select case when grouping(book) = 1 then 'all' when grouping(page) = 1 then 'book' else 'page' end as level, cast(book as int) as book, page, count(*) as pages, cast(sum((tall <> low)::int) as bigint) as varies, cast(max(rows) as bigint) as rows,
+  cast(min(low) as bigint) as lowest, cast(max(braced) as bigint) as accompaniment, cast(max(rows - braced) as bigint) as solo, cast(max(content) as bigint) as content from pg group by rollup (book, page)""")
 add("asm_join_parts", "notes_v", lambda n: assemble.join_parts(in_parts(n)), """with p as (select *, voice - 1 as part, page // 16 as book from notes_v),
 w as (select book, page, count(distinct measure) as width from p where part = 0 group by book, page), b as (select *, sum(width) over (partition by book order by page) - width as before, row_number() over (partition by book order by page) as nth from w),
 m as (select book, max(part) as most from p group by book), o as (select *, dense_rank() over (partition by page, part order by measure) as at_ from p)
