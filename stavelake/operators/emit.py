@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import functions as N
+from ..shared import stored
 from .audit import SK, long
 from .meter import infer_clef, trim_overlaps
 
@@ -14,15 +16,67 @@ LINE = [*SK, "measure"]
 PART = ["doc_id", "part_idx"]
 
 
-def lay_out(melody: DataFrame, keys: list[str], order: list[str], bar: int = 4 * N.TICKS) -> DataFrame:
+def _step(used: np.ndarray, dur: int, bar: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ticks used after a note, whether it opened a bar) from the ticks used before it."""
+    over = used + dur > bar
+    return np.where(over, dur, used + dur), over
+
+
+def passage(durs: list[int], bar: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a stretch of notes does: for each number of ticks used before it, those used after it and the bars it opens."""
+    used, bars = np.arange(bar + 1), np.zeros(bar + 1, np.int64)
+    for dur in durs:
+        used, over = _step(used, min(dur, bar), bar)
+        bars += over
+    return used, bars
+
+
+def after_each(stretches: DataFrame, keys: list[str]) -> DataFrame:
+    """`stretches(keys, nth, used, bars)` with what all up to each one do together, by doubling: after r rounds each row
+    holds 2^r stretches. Rows are as many as stretches, whatever the number of notes; each round is a written table."""
+    most, reach = (stretches.agg(F.max("nth")).first()[0] or 0), 1
+    while reach <= most:
+        before = stretches.select(*keys, (F.col("nth") + reach).alias("nth"), F.col("used").alias("u"), F.col("bars").alias("n"))
+        joined = stretches.join(before, [*keys, "nth"], "left")
+        bars = F.zip_with("u", "n", lambda u, n: n + F.get("bars", u))
+        used = F.transform("u", lambda u: F.get("used", u))
+        stretches, reach = stored(joined.select(*keys, "nth", F.coalesce(used, "used").alias("used"), F.coalesce(bars, "bars").alias("bars")), "stretches"), 2 * reach
+    return stretches
+
+
+def lay_out(melody: DataFrame, keys: list[str], order: list[str], bar: int = 4 * N.TICKS, partitions: int | None = None) -> DataFrame:
     """(keys, measure, onset, dur, midi, is_rest): each melody in bars; a note that does not fit opens the next bar, and a
-    rest fills what is left. A note longer than a bar is cut to it. Where a bar ends depends on all before it, so each
-    melody is laid out as a whole.
-    """
+    rest fills what is left. A note longer than a bar is cut to it.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out, number, used = [], 1, 0
-        for dur, midi in zip(rows["dur"], rows["midi"]):
+    Where a bar ends depends on all notes before it, but only through the ticks used so far, of which there are bar + 1. So
+    rows are dealt by key and order into `partitions` ranges; each stretch of a melody in one is summed up as a function of
+    these ticks, the functions are put together by doubling (`after_each`), and each stretch is laid out from where the one before it
+    ends. No task gets more of a melody than one range holds. Keys must not be null; rows of equal order come as they lie.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in melody.schema}
+    spark, cols = melody.sparkSession, list(dict.fromkeys([*keys, *order, "dur", "midi"]))
+    many = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = melody.select(*cols).repartitionByRange(many, *keys, *order).sortWithinPartitions(*keys, *order)
+    rows = stored(dealt.select(*keys, F.col("dur").cast("long").alias("dur"), F.col("midi").cast("int").alias("midi"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("n")), "melodies")
+    place, typed = [*keys, "part"], ", ".join(f"{k} {kinds[k]}" for k in keys)
+
+    def summed(group: pa.Table) -> pa.Table:
+        group = group.sort_by("n")
+        used, bars = passage(group["dur"].to_pylist(), bar)
+        first = group.select(place).slice(0, 1)
+        return first.append_column("used", pa.array([used.tolist()], pa.list_(pa.int32()))).append_column("bars", pa.array([bars.tolist()], pa.list_(pa.int64())))
+
+    stretches = stored(rows.groupBy(*place).applyInArrow(summed, f"{typed}, part int, used array<int>, bars array<long>"), "passages")
+    by_key = Window.partitionBy(*keys)
+    numbered = stretches.withColumns({"nth": F.row_number().over(by_key.orderBy("part")) - 1, "all": F.count("*").over(by_key)})
+    done = after_each(stored(numbered.select(*keys, "nth", "used", "bars"), "stretches"), keys)
+    ends = done.select(*keys, (F.col("nth") + 1).alias("nth"), F.col("used")[0].alias("used"), F.col("bars")[0].alias("bars"))
+    starts = numbered.drop("used", "bars").join(ends, [*keys, "nth"], "left").select(*place, F.coalesce("used", F.lit(0)).alias("used"), F.coalesce("bars", F.lit(0)).alias("bars"), (F.col("nth") == F.col("all") - 1).alias("last"))
+
+    def laid(notes: pa.Table, start: pa.Table) -> pa.Table:
+        notes, out = notes.sort_by("n"), []
+        used, number = start["used"][0].as_py(), start["bars"][0].as_py() + 1
+        for dur, midi in zip(notes["dur"].to_pylist(), notes["midi"].to_pylist()):
             dur = min(dur, bar)
             if used + dur > bar:
                 if used < bar:
@@ -30,16 +84,21 @@ def lay_out(melody: DataFrame, keys: list[str], order: list[str], bar: int = 4 *
                 number, used = number + 1, 0
             out.append((number, used, dur, midi, False))
             used += dur
-        if used < bar:
+        if start["last"][0].as_py() and used < bar:
             out.append((number, used, bar - used, None, True))
-        made = pd.DataFrame(out, columns=["measure", "onset", "dur", "midi", "is_rest"])
-        made["midi"] = made["midi"].astype("Int32")
-        return made.assign(**{k: rows[k].iloc[0] for k in keys})
+        made = {k: pa.chunked_array([pa.repeat(notes[k][0], len(out))]) for k in keys}
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())
+        return pa.table(made | {c: pa.array(v, t) for c, v, t in zip(("measure", "onset", "dur", "midi", "is_rest"), zip(*out), types)})
 
-    kinds = {f.name: f.dataType.simpleString() for f in melody.schema}
-    schema = ", ".join([f"{k} {kinds[k]}" for k in keys] + ["measure bigint", "onset bigint", "dur bigint", "midi int", "is_rest boolean"])
-    sorted_run = lambda rows: run(rows.sort_values(order, kind="stable"))
-    return melody.select(*dict.fromkeys([*keys, *order, "dur", "midi"])).groupBy(*keys).applyInPandas(sorted_run, schema).select(*keys, "measure", "onset", "dur", "midi", "is_rest")
+    return rows.groupBy(*place).cogroup(starts.groupBy(*place)).applyInArrow(laid, f"{typed}, measure bigint, onset bigint, dur bigint, midi int, is_rest boolean")
+
+
+def melodies(spark: SparkSession, docs: int, notes: int, seed: int = 1) -> DataFrame:
+    """(doc_id, at, dur, midi): known melodies for labelled scores, the same for the same seed, made where Spark puts them."""
+    h = lambda salt: F.pmod(F.xxhash64("doc_id", "at", F.lit(seed), F.lit(salt)), F.lit(1 << 20))
+    rows = spark.range(docs * notes).select(F.floor(F.col("id") / notes).alias("doc_id"), (F.col("id") % notes).alias("at"))
+    lengths = F.array(*[F.lit(n) for n in (6, 12, 18, 24, 36, 48, 96)])
+    return rows.select("doc_id", "at", F.element_at(lengths, (h("dur") % 7 + 1).cast("int")).alias("dur"), (55 + h("midi") % 25).cast("int").alias("midi"))
 
 
 def voice_events(notes: DataFrame, bars: DataFrame) -> DataFrame:
