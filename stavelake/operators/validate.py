@@ -106,6 +106,76 @@ def child_order(raw: DataFrame) -> DataFrame:
     return out
 
 
+# Children of a note and of attributes in the order of the MusicXML content model, each with the names that
+# may stand there, the least and the most of them; None: any number.
+AFTER_NOTE = [
+    ("instrument", 0, None), ("footnote", 0, 1), ("level", 0, 1), ("voice", 0, 1), ("type", 0, 1), ("dot", 0, None), ("accidental", 0, 1), ("time-modification", 0, 1), ("stem", 0, 1), ("notehead", 0, 1),
+    ("notehead-text", 0, 1), ("staff", 0, 1), ("beam", 0, 8), ("notations", 0, None), ("lyric", 0, None), ("play", 0, 1), ("listen", 0, 1),
+]
+FULL_NOTE = [("chord", 0, 1), ("pitch unpitched rest", 1, 1)]
+MODELS = {
+    "note": [*FULL_NOTE, ("duration", 1, 1), ("tie", 0, 2), *AFTER_NOTE],
+    "grace": [("grace", 1, 1), ("cue", 0, 1), *FULL_NOTE, ("tie", 0, 2), *AFTER_NOTE],
+    "cue": [("cue", 1, 1), *FULL_NOTE, ("duration", 1, 1), *AFTER_NOTE],
+    "attributes": [
+        ("footnote", 0, 1), ("level", 0, 1), ("divisions", 0, 1), ("key", 0, None), ("time", 0, None), ("staves", 0, 1), ("part-symbol", 0, 1), ("instruments", 0, 1), ("clef", 0, None), ("staff-details", 0, None),
+        ("transpose for-part", 0, None), ("directive", 0, None), ("measure-style", 0, None),
+    ],
+}
+
+
+def model_fault(children: Column, model: list[tuple[str, int, int | None]]) -> Column:
+    """The first place at which a list of children leaves a content model, in words; null where it fits.
+
+    The model is an automaton whose states are its slots and how often each was filled: a child stays in its slot or moves on to
+    a later one, past slots that may be empty.
+    """
+    place = {name: i for i, (names, _, _) in enumerate(model) for name in names.split()}
+    most = {i: high for i, (_, _, high) in enumerate(model) if high is not None}
+    needed = [i for i, (_, low, _) in enumerate(model) if low]
+    named = {i: names.replace(" ", " or ") for i, (names, _, _) in enumerate(model)}
+
+    def lacking(low: Column, high: Column) -> Column:
+        """The first slot between two that must not be empty."""
+        return F.coalesce(*[F.when((low < i) & (F.lit(i) < high), F.lit(f"no {named[i]}")) for i in needed], F.lit(None).cast("string"))
+
+    def step(state: Column, child: Column) -> Column:
+        at = N.lookup(place, child)
+        n = F.when(at == state["at"], state["n"] + 1).otherwise(1)
+        fault = F.when(at.isNull(), F.concat(F.lit("a foreign "), child)).when(at < state["at"], F.concat(child, F.lit(" too late"))).when(n > N.lookup(most, at), F.concat(F.lit("too many "), child)).otherwise(lacking(state["at"], at))
+        return F.when(state["fault"].isNotNull(), state).otherwise(F.struct(F.coalesce(at, state["at"]).cast("int").alias("at"), n.cast("int").alias("n"), fault.alias("fault")))
+
+    start = F.struct(F.lit(-1).alias("at"), F.lit(0).alias("n"), F.lit(None).cast("string").alias("fault"))
+    return F.aggregate(children, start, step, lambda s: F.coalesce(s["fault"], lacking(s["at"], F.lit(len(model)))))
+
+
+def content_model(raw: DataFrame) -> DataFrame:
+    """Notes and attributes whose children are no sequence of the content model: missing, repeated, excluded, foreign or out of
+    place. A note with `grace` has no duration, one with `cue` no tie."""
+    has = lambda name: F.array_contains("children", name)
+    fault = F.when(F.col("tag") == "attributes", model_fault(F.col("children"), MODELS["attributes"])).when(has("grace"), model_fault(F.col("children"), MODELS["grace"]))
+    fault = fault.when(has("cue"), model_fault(F.col("children"), MODELS["cue"])).otherwise(model_fault(F.col("children"), MODELS["note"]))
+    rows = raw.where("tag in ('note', 'attributes') and children is not null").withColumn("fault", fault).where("fault is not null")
+    return _found(rows, "content_model", F.concat_ws(": ", F.col("seq").cast("string"), "fault"))
+
+
+def document_checks(facts: DataFrame) -> DataFrame:
+    """(doc_id, check, part_idx, measure_ord, detail) of whole documents, from `sources.document_facts`.
+
+    A document that does not parse, or whose root is none of a score, is not looked at further but for unbound prefixes.
+    """
+    score = F.col("root").isin("score-partwise", "score-timewise")
+    one = lambda name, when, detail: F.when(when, F.array(F.struct(F.lit(name).alias("check"), detail.cast("string").alias("detail"))))
+    each = lambda name, column: F.transform(column, lambda x: F.struct(F.lit(name).alias("check"), x.alias("detail")))
+    found = [
+        each("unbound_prefix", "prefixes"), one("parse_error", F.col("error").isNotNull(), F.col("error")), one("unexpected_root", ~score, F.col("root")), one("no_parts", score & (F.col("parts") == 0), F.lit("0")),
+        one("no_notes", score & (F.col("notes") == 0), F.lit("0")), one("no_part_list", score & ~F.col("part_list"), F.lit("part-list")), F.when(score, each("empty_part", "empty_parts")),
+    ]
+    none = F.array().cast("array<struct<check:string,detail:string>>")
+    rows = facts.select("doc_id", F.inline(F.concat(*[F.coalesce(f, none) for f in found])))
+    return rows.select("doc_id", "check", F.lit(None).cast("int").alias("part_idx"), F.lit(None).cast("int").alias("measure_ord"), "detail")
+
+
 CHECKS = [parse_errors, no_notes, bare_notes, slur_balance, missing_context, late_attributes, undeclared_staff, backup_overshoot, bar_fit, undeclared_parts, child_order]
 
 

@@ -79,6 +79,26 @@ def shred_texts(texts: DataFrame) -> DataFrame:
     return _shredded(texts.select(F.col("doc_id").cast("string").alias("name"), F.col("text").cast("binary").alias("content")), False)
 
 
+FACTS = "doc_id string, root string, parts int, notes int, part_list boolean, empty_parts array<string>, prefixes array<string>, error string"
+
+
+def document_facts(texts: DataFrame) -> DataFrame:
+    """One row for each text of (doc_id, text), with what the document says of itself; a null text is an empty one."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    from .files import score_facts
+
+    arrow = to_arrow_schema(StructType.fromDDL(FACTS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [{"doc_id": doc} | score_facts((text or "").encode()) for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist())]
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+
+    return texts.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, FACTS)
+
+
 def read_manifest(spark: SparkSession, path: str, status: str = "ok") -> DataFrame:
     return spark.read.json(path, multiLine=True).where(F.col("status") == status)
 

@@ -71,6 +71,45 @@ class PartNames:
         return self.names
 
 
+class ScoreFacts:
+    """Parser target that keeps what a document says of itself as a whole: its root, its parts, its part list, its notes."""
+
+    def __init__(self) -> None:
+        self.facts = {"root": None, "parts": 0, "notes": 0, "part_list": False, "empty_parts": []}
+        self._depth, self._part, self._bars = 0, None, 0
+
+    def start(self, tag: str, attributes: dict) -> None:
+        self._depth += 1
+        if self._depth == 1:
+            self.facts["root"] = tag.rsplit("}", 1)[-1]
+        self.facts["parts"] += tag == "part"
+        self.facts["notes"] += tag == "note"
+        if self._depth == 2:
+            self.facts["part_list"] |= tag == "part-list"
+            self._part, self._bars = (attributes.get("id") or "" if tag == "part" else None), 0
+        elif self._depth == 3:
+            self._bars += tag == "measure"
+
+    def end(self, tag: str) -> None:
+        if self._depth == 2 and self._part is not None and not self._bars:
+            self.facts["empty_parts"].append(self._part)
+        self._depth -= 1
+
+    def close(self) -> dict:
+        return self.facts
+
+
+def score_facts(content: bytes) -> dict:
+    """Facts of one document; only `error` and `prefixes` if it does not parse."""
+    out = {"prefixes": [p for p in ("xsi", "xlink") if f"<{p}:".encode() in content]}
+    parser = ET.XMLParser(target=ScoreFacts())
+    try:
+        parser.feed(content)
+        return out | parser.close()
+    except ET.ParseError as e:
+        return out | {"error": str(e)}
+
+
 class MeasureEvents:
     """Parser target that builds each child of a measure by itself and gives its row when it ends.
 
