@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import sources
-from ..operators import emit, validate
+from ..operators import emit, excerpts, validate
 from ..shared import stored
 from .parts import KEYS, TRIM
 from .registry import add
@@ -63,6 +63,15 @@ def damage_found(notes: DataFrame, measures: DataFrame) -> DataFrame:
     return found.select(F.col("doc_id").cast("int").alias("page"), "check", detail.alias("detail"))
 
 
+def excerpt_blocks(notes: DataFrame, measures: DataFrame) -> DataFrame:
+    """Attribute blocks of the excerpt of bars 4 to 9 of each page's score, with the meter that they leave in force."""
+    cut = excerpts.excerpt_events(sources.shred_texts(texts_of(notes, measures)), 4, 9)
+    blocks = excerpts.with_state(cut).where("tag = 'attributes'")
+    return blocks.select(F.col("doc_id").cast("int").alias("page"), (F.col("measure_ord") + 1).alias("measure"), F.col("after.beats").alias("beats"))
+
+
+add("norm_excerpt_blocks", "notes_v measures_v", excerpt_blocks, """with b as (select page, measure, beats, lag(beats) over (partition by page order by measure) as p from measures_v where measure between 4 and 9)
+select page, measure - 3 as measure, beats from b where p is null or p <> beats""")
 add("emit_damage", "notes_v measures_v", damage_found, """with p as (select distinct page, page % 12 as k from measures_v)
 select page, 'parse_error' as "check", 'unclosed token' as detail from p where k = 1 union all select page, 'unexpected_root', 'opus' from p where k = 2 union all select page, 'no_part_list', 'part-list' from p where k = 3
 union all select page, 'empty_part', 'P9' from p where k = 4 union all select page, 'unbound_prefix', 'xsi' from p where k = 5 union all select page, 'parse_error', 'unbound prefix' from p where k = 5
