@@ -218,9 +218,10 @@ def song_index(songs: DataFrame) -> DataFrame:
     return songs.groupBy("title").agg(F.countDistinct("part").alias("parts"), F.countDistinct("measure").alias("measures"), F.count("*").alias("notes")).withColumn("slug", slug("title"))
 
 
-def pending(work: DataFrame, journal: DataFrame, key: str = "stem") -> DataFrame:
-    """Work whose key the journal does not have as done."""
-    return work.join(journal.where("ok").select(key), key, "left_anti")
+def pending(work: DataFrame, journal: DataFrame, key: str = "stem", retry_failed: bool = True) -> DataFrame:
+    """Work whose key the journal does not have as done; failed keys come again unless `retry_failed` is off, as in the stream."""
+    done = journal.where("ok") if retry_failed else journal
+    return work.join(done.select(key), key, "left_anti")
 
 
 def join_gate(manifest: DataFrame, allow_partial: bool = False) -> DataFrame:

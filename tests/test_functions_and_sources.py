@@ -64,6 +64,7 @@ def test_small_readers(spark, tmp_path):
     journal = S.read_journal(spark, str(tmp_path / "j.jsonl"))
     work = spark.createDataFrame([("p1",), ("p2",), ("p3",)], "stem string")
     assert sorted(r.stem for r in S.pending(work, journal).collect()) == ["p2", "p3"]
+    assert [r.stem for r in S.pending(work, journal, retry_failed=False).collect()] == ["p3"]
     (tmp_path / "log.txt").write_text("note F4 a b c d\nrest a b c d\ntoo few\n")
     assert Counter((r.symbol, r.pitch) for r in S.read_symbol_logs(spark, str(tmp_path / "log.txt")).collect()) == Counter([("note", "F4"), ("rest", None)])
     (tmp_path / "songs.json").write_text('[{"title": "A", "pages": [3, 1]}]')

@@ -1,4 +1,4 @@
-from stavelake.operators import assemble
+from stavelake.operators import assemble, audit
 
 COLUMNS = "book int, page int, system int, part int, staff int, is_rest boolean"
 
@@ -29,3 +29,11 @@ def test_pages_books_and_the_whole(spark):
 
 def test_no_notes(spark):
     assert scan(spark, []) == {}
+
+
+def test_control_gate(spark):
+    """Findings on pages that are known to be good shut the gate; findings elsewhere, or none, don't."""
+    found = spark.createDataFrame([("broken_measure", 1), ("broken_measure", 2)], "check string, page int")
+    pages = lambda *p: spark.createDataFrame([(x,) for x in p], "page int")
+    assert audit.control_gate(found, pages(3, 4)) and audit.control_gate(found.where("false"), pages(1)) and audit.control_gate(found, pages())
+    assert not audit.control_gate(found, pages(2, 3))
