@@ -62,6 +62,32 @@ def reconcile(left: DataFrame, right: DataFrame, keys: list[str], fields: tuple[
     return a.join(b, keys, "full_outer").select(*keys, rows.alias("r")).select(*keys, "r.*").where("not (left <=> right)")
 
 
+def reconcile_totals(left: DataFrame, right: DataFrame, by_left: list[str], by_right: list[str], keys: list[str], fields: tuple[str, ...] = FIELDS[1:]) -> DataFrame:
+    """Two runs that cut a page differently, by its totals: each side's fragments are tallied and summed, then held together.
+
+    Bars are left out by default, as a bar that lies in several fragments of one side counts in each.
+    """
+    total = lambda notes, by: combine(tally(notes, [*keys, *by]), keys)
+    return reconcile(total(left, by_left), total(right, by_right), keys, fields)
+
+
+def reconcile_files(left: DataFrame, right: DataFrame, keys: list[str], fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """(keys, field, left, right): two runs that cut a page alike, file by file; `keys` name a file.
+
+    A file of one side only is one row `file present`, with nothing else held against it. Others differ in counts, and in
+    how often a pitch comes (`pitch 60`).
+    """
+    a, b = tally(left, keys), tally(right, keys)
+    both = a.select(*keys).join(b.select(*keys), keys, "left_semi")
+    here = lambda x: F.col(x).isNotNull().cast("long")
+    found = a.select(*keys, F.lit(1).alias("l")).join(b.select(*keys, F.lit(1).alias("r")), keys, "full_outer").where("l is null or r is null")
+    alone = found.select(*keys, F.lit("file present").alias("field"), here("l").alias("left"), here("r").alias("right"))
+    counts = reconcile(a, b, keys, fields).join(both, keys, "left_semi")
+    midi = pitch_counts(left, keys).withColumnRenamed("n", "left").join(pitch_counts(right, keys).withColumnRenamed("n", "right"), [*keys, "midi"], "full_outer").na.fill(0, ["left", "right"])
+    pitches = midi.where("left <> right").join(both, keys, "left_semi").select(*keys, F.concat(F.lit("pitch "), F.col("midi").cast("string")).alias("field"), "left", "right")
+    return alone.unionByName(counts).unionByName(pitches)
+
+
 def verdicts(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Per key: whether both sides were measured, whether counts agree, whether pitches agree as well."""
     t = tally(left, keys).select(*keys, F.lit(1).alias("l")).join(tally(right, keys).select(*keys, F.lit(1).alias("r")), keys, "full_outer")

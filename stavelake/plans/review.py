@@ -129,6 +129,21 @@ def comparable(runs: DataFrame) -> DataFrame:
 
 
 add("rec_comparable", "runs_v", lambda r: reconcile.comparable_fields(comparable(r), ["run"]), "select distinct run, case when run = 'B' then 'measures,notes,pitched' else 'measures,notes,pitched,rests' end as comparable from runs_v")
+def in_named_files(runs: DataFrame) -> DataFrame:
+    """Notes by file; run B lacks the files of the second voice on every fifth page, and run A those of page 7."""
+    kept = runs.where("case when run = 'A' then page <> 7 else voice = 1 or page % 5 <> 0 end")
+    return kept.withColumn("file", F.concat(F.lit("s"), F.col("staff").cast("string"), F.lit(".v"), F.col("voice").cast("string")))
+
+
+add("rec_files", "runs_v", lambda r: reconcile.reconcile_files(A(in_named_files(r)), B(in_named_files(r)), ["page", "file"]), """with n as (select *, 's' || staff || '.v' || voice as file from runs_v where case when run = 'A' then page <> 7 else voice = 1 or page % 5 <> 0 end),
+t as (select run, page, file, count(distinct measure) as measures, count(*) as notes, cast(sum(is_rest::int) as bigint) as rests, cast(sum((not is_rest)::int) as bigint) as pitched from n group by run, page, file),
+f as (select page, file, max((run = 'A')::int) as a, max((run = 'B')::int) as b from t group by page, file), u as (select * from (unpivot t on measures, notes, rests, pitched into name field value v) p),
+x as (select page, file, field, max(v) filter (run = 'A') as l, max(v) filter (run = 'B') as r from u group by all), y as (select page, file, midi, count(*) filter (run = 'A') as l, count(*) filter (run = 'B') as r from n where not is_rest group by all)
+select page, file, 'file present' as field, cast(a as bigint) as "left", cast(b as bigint) as "right" from f where a + b = 1
+union all select page, file, field, l, r from x join f using (page, file) where a + b = 2 and l <> r union all select page, file, 'pitch ' || midi, l, r from y join f using (page, file) where a + b = 2 and l <> r""")
+add("rec_totals", "runs_v", lambda r: reconcile.reconcile_totals(A(r), B(r), ["staff", "voice"], ["measure"], ["page"]), """with t as (select run, page, count(*) as notes, cast(sum(is_rest::int) as bigint) as rests, cast(sum((not is_rest)::int) as bigint) as pitched from runs_v group by run, page),
+u as (select * from (unpivot t on notes, rests, pitched into name field value v) p), x as (select page, field, max(v) filter (run = 'A') as l, max(v) filter (run = 'B') as r from u group by all)
+select page, field, l as "left", r as "right" from x where l is distinct from r""")
 add("rec_agree", "runs_v", lambda r: reconcile.agree(reconcile.reconcile(reconcile.tally(A(r), ["page"]), reconcile.tally(B(r), ["page"]), ["page"]), r, "measures"), f"with {C.TALLY}, {C.FIELDS} select distinct page, (page not in (select page from fi where field = 'measures'))::int as agrees from runs_v")
 add("rec_groupings", "layout_v", reconcile.groupings, "with g as (select page, cast(sum(n_staves_read) as bigint) as staves, array_to_string(list(n_staves_read order by system), '+') as grouping from layout_v group by page), c as (select grouping, count(*) as pages, cast(sum(staves) as bigint) as staves from g group by grouping) select *, ((select count(*) from c) <= 1)::int as alike from c")
 

@@ -1,4 +1,4 @@
-from stavelake.operators import assemble, audit
+from stavelake.operators import assemble, audit, reconcile
 
 COLUMNS = "book int, page int, system int, part int, staff int, is_rest boolean"
 
@@ -37,3 +37,14 @@ def test_control_gate(spark):
     pages = lambda *p: spark.createDataFrame([(x,) for x in p], "page int")
     assert audit.control_gate(found, pages(3, 4)) and audit.control_gate(found.where("false"), pages(1)) and audit.control_gate(found, pages())
     assert not audit.control_gate(found, pages(2, 3))
+
+
+def test_runs_by_file_and_by_totals(spark):
+    cols = "file string, page int, system int, staff int, measure int, midi int, is_rest boolean"
+    left = spark.createDataFrame([("a", 1, 1, 1, 1, 60, False), ("a", 1, 1, 1, 2, 62, False), ("b", 1, 2, 1, 1, 60, False), ("c", 1, 2, 2, 1, 60, True)], cols)
+    right = spark.createDataFrame([("a", 1, 1, 1, 1, 60, False), ("a", 1, 1, 1, 2, 64, False), ("c", 1, 2, 2, 1, 60, True), ("d", 1, 2, 2, 1, 60, True)], cols)
+    got = sorted((r.file, r.field, r.left, r.right) for r in reconcile.reconcile_files(left, right, ["file"]).collect())
+    assert got == [("a", "pitch 62", 1, 0), ("a", "pitch 64", 0, 1), ("b", "file present", 1, 0), ("d", "file present", 0, 1)]
+    totals = reconcile.reconcile_totals(left, right, ["system"], ["system", "staff"], ["page"]).collect()
+    assert sorted((r.field, r.left, r.right) for r in totals) == [("pitched", 3, 2), ("rests", 1, 2)]
+    assert sorted(r.field for r in reconcile.reconcile_totals(left, right.where("false"), ["system"], ["staff"], ["page"]).collect()) == ["notes", "pitched", "rests"]
