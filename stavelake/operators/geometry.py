@@ -1,12 +1,14 @@
 """Staff lines to staves to systems, and checks of what was found.
 
 Tables are keyed by page. Lines have (page, y, x0, x1, th), vertical rules (page, x, top, bottom). A page without lines
-has no row anywhere. The recurrences over a page's own lines run as one Arrow group each.
+has no row anywhere. The recurrences over a page's own lines are sweeps over stretches that no decision crosses.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -14,7 +16,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from ..shared import stored
 from .audit import long
+from .scan import Spans, fold_in_order, islands
 
 
 def down(c: str) -> WindowSpec:
@@ -22,43 +26,114 @@ def down(c: str) -> WindowSpec:
     return Window.partitionBy("page").orderBy(c)
 
 
-def merge_collinear(lines: DataFrame, tol: float = 6, reach: float = 40) -> DataFrame:
-    """Pieces within `tol` of a line's running mean height and `reach` of its ends become part of it, in (y, x0) order."""
-
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        out: list[dict] = []
-        for p in page.sort_values(["y", "x0", "x1"]).itertuples(index=False):
-            near = (m for m in reversed(out) if abs(m["y"] - p.y) <= tol and p.x0 <= m["x1"] + reach and p.x1 >= m["x0"] - reach)
-            if m := next(near, None):
-                m.update(y=(m["y"] * m["n"] + p.y) / (m["n"] + 1), n=m["n"] + 1, x0=min(m["x0"], p.x0), x1=max(m["x1"], p.x1))
+def placed(lines: DataFrame) -> DataFrame:
+    """Lines without a missing height or end."""
+    return lines.select("page", "y", "x0", "x1", "th").dropna(subset=["y", "x0", "x1"])
+
+
+class Merging:
+    """Lines that can still take a piece, by the stretch of the page's width that each covers."""
+
+    def __init__(self, tol: float, reach: float) -> None:
+        self.tol, self.reach, self.n = tol, reach, 0
+        self.lines: dict[int, list] = {}
+        self.heights: list[tuple[float, int]] = []
+        self.spans = Spans()
+
+    def _closed(self, y: float) -> Iterator[tuple]:
+        """Lines that lie too far above `y`: their mean height only changes with a further piece, so they get none."""
+        while self.heights and y - self.heights[0][0] > self.tol:
+            _, k = heappop(self.heights)
+            page, now, *rest = self.lines[k]
+            if y - now > self.tol:
+                self.spans.drop(k)
+                del self.lines[k]
+                yield page, now, *rest
             else:
-                out.append({"page": p.page, "y": p.y, "x0": p.x0, "x1": p.x1, "th": p.th, "n": 1})
-        return pd.DataFrame(out)
+                heappush(self.heights, (now, k))
+
+    def take(self, page: int, island: int, y: float, x0: int, x1: int, th: int) -> list[tuple]:
+        out = list(self._closed(y))
+        k = self.spans.first(math.ceil(x0 - self.reach), math.floor(x1 + self.reach))
+        if k is None:
+            k, self.n = self.n, self.n + 1
+            self.lines[k] = [page, y, x0, x1, th, 1]
+            heappush(self.heights, (y, k))
+            self.spans.add(k, x0, x1)
+            return out
+        line = self.lines[k]
+        _, mean, left, right, _, n = line
+        for low, high in ((x0, left - 1), (right + 1, x1)):
+            if low <= high:
+                self.spans.add(k, low, high)
+        line[1:4], line[5] = [(mean * n + y) / (n + 1), min(left, x0), max(right, x1)], n + 1
+        return out
+
+    def end(self) -> list[tuple]:
+        return [tuple(line) for line in self.lines.values()]
+
+
+class Thinning:
+    """The lowest line so far. Lines above it are too far away for any later one, as each came in at `share` of the spacing below them."""
+
+    def __init__(self) -> None:
+        self.kept: tuple | None = None
+
+    def take(self, page: int, island: int, y: float, x0: int, x1: int, th: int, least: float) -> list[tuple]:
+        before, now = self.kept, (page, y, x0, x1, th)
+        if before is None or y - before[1] >= least:
+            self.kept = now
+            return [] if before is None else [before]
+        if x1 - x0 > before[3] - before[2]:
+            self.kept = now
+        return []
+
+    def end(self) -> list[tuple]:
+        return [self.kept]
 
-    return lines.select("page", "y", "x0", "x1", "th").groupBy("page").applyInPandas(run, "page int, y double, x0 int, x1 int, th int, n int")
+
+def merge_collinear(lines: DataFrame, tol: float = 6, reach: float = 40) -> DataFrame:
+    """Pieces within `tol` of a line's running mean height and `reach` of its ends become part of the first such line, in (y, x0, x1, th) order.
+
+    A page is cut where no piece lies for more than `tol`, and each stretch is a sweep from the top over the lines that can
+    still take a piece: n log n for n pieces, in memory for these lines. Pieces of the same place are each a piece.
+    """
+    cut = islands(placed(lines), "page", "y", F.lit(float(tol)), lambda gap, least: gap > 1.01 * least)
+    return fold_in_order(cut, ["page", "island"], ["y", "x0", "x1", "th"], lambda: Merging(tol, reach), "page int, y double, x0 int, x1 int, th int, n int")
 
 
 def drop_slivers(lines: DataFrame, spacing: DataFrame, share: float = 0.45) -> DataFrame:
-    """Of lines closer than `share` of the page's spacing the longer one stays; pages without a spacing keep all."""
-
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        least, kept = share * page["spacing"].iloc[0], []
-        for p in page.sort_values(["y", "x0", "x1"]).itertuples(index=False):
-            at = next((i for i, k in enumerate(kept) if abs(k.y - p.y) < least), None)
-            if at is None:
-                kept.append(p)
-            elif p.x1 - p.x0 > kept[at].x1 - kept[at].x0:
-                kept[at] = p
-        return pd.DataFrame(kept, columns=page.columns).drop(columns="spacing")
-
-    both = lines.select("page", "y", "x0", "x1", "th").join(spacing.select("page", "spacing"), "page", "left").na.fill(0.0, ["spacing"])
-    return both.groupBy("page").applyInPandas(run, "page int, y double, x0 int, x1 int, th int")
-
-
-def staff_spacing(lines: DataFrame, low: float = 3, high: float = 60) -> DataFrame:
-    """Median gap between neighbouring lines of a page, of gaps from `low` to `high`."""
-    gaps = lines.withColumn("gap", F.col("y") - F.lag("y").over(down("y"))).where(F.col("gap").between(low, high))
-    return gaps.groupBy("page").agg(F.expr("percentile(gap, 0.5)").alias("spacing"))
+    """Of lines closer than `share` of the page's spacing the longer one stays, the upper of equal ones; pages without a spacing keep all.
+
+    Pages are cut at gaps of at least that, and each stretch is one sweep that remembers one line.
+    """
+    both = placed(lines).join(spacing.select("page", (share * F.col("spacing")).alias("least")), "page", "left").na.fill(0.0, ["least"])
+    cut = islands(both, "page", "y", F.col("least"), lambda gap, least: gap >= least)
+    rows = cut.select("page", "island", "y", "x0", "x1", "th", "least")
+    return fold_in_order(rows, ["page", "island"], ["y", "x0", "x1", "th"], Thinning, "page int, y double, x0 int, x1 int, th int")
+
+
+def staff_spacing(lines: DataFrame, low: float | DataFrame = 3, high: float = 60) -> DataFrame:
+    """Median gap between neighbouring lines of a page, of gaps from `low` to `high`; `low` may be a table (page, low)."""
+    gaps = lines.withColumn("gap", F.col("y") - F.lag("y").over(down("y")))
+    if isinstance(low, DataFrame):
+        gaps = gaps.join(low.select("page", "low"), "page")
+    else:
+        gaps = gaps.withColumn("low", F.lit(low))
+    return gaps.where(F.col("gap").between(F.col("low"), F.lit(high))).groupBy("page").agg(F.expr("percentile(gap, 0.5)").alias("spacing"))
+
+
+def settled_lines(pieces: DataFrame, rough_low: float = 8, low: float = 3, share: float = 0.45) -> tuple[DataFrame, DataFrame]:
+    """Lines and spacing of pages from raw pieces: a rough spacing that slivers cannot lower, without slivers by it, then measured again.
+
+    The second spacing takes gaps of half the rough one and more. Pages without a rough one keep all lines, and gaps from `low` count.
+    Both tables of lines are stored, as each is read more than once.
+    """
+    merged = stored(merge_collinear(pieces).drop("n"), "merged-lines")
+    rough = staff_spacing(merged, rough_low)
+    lines = stored(drop_slivers(merged, rough, share), "settled-lines")
+    half = lines.select("page").distinct().join(rough, "page", "left").select("page", F.coalesce(F.col("spacing") * 0.5, F.lit(float(low))).alias("low"))
+    return lines, staff_spacing(lines, half)
 
 
 def group_lines(lines: DataFrame, spacing: DataFrame, max_ratio: float = 1.9, least: int = 3) -> DataFrame:

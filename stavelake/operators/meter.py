@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import functions as N
 from .audit import SK, declared, long
+from .scan import fold_in_order
 
 
 def measure_extent(notes: DataFrame) -> DataFrame:
@@ -111,29 +112,38 @@ def ratio_runs(notes: DataFrame, ratio: str = "dur") -> DataFrame:
     return rows.groupBy(*SK, "measure", "run").agg(F.min("onset").alias("start"), long(F.count("*")).alias("n"), F.min(ratio).alias("ratio"))
 
 
+class Trimming:
+    """Where the line of one voice's bar has got to, and the onset of its last note."""
+
+    def __init__(self) -> None:
+        self.reach, self.last = 0, -1
+
+    def take(self, page: int, staff: int, voice: int, measure: int, onset: int, pitch: int, event_id: int, dur: int, bar: int) -> list[tuple]:
+        start = onset if onset == self.last else max(onset, self.reach)
+        stop = min(onset + dur, bar)
+        if stop <= start or start >= bar:
+            return []
+        self.reach, self.last = stop, start
+        return [(page, staff, voice, measure, event_id, start, stop - start, int(start != onset or stop != onset + dur))]
+
+    def end(self) -> list[tuple]:
+        return []
+
+
 def trim_overlaps(notes: DataFrame, measures: DataFrame) -> DataFrame:
     """Notes of each voice's bar as one line in time: (SK, measure, event_id, onset, dur, touched).
 
-    In order of (onset, pitch, event_id) a note that starts inside the one before it starts at its end instead; notes at
-    one onset are a chord and stay. Notes are cut at the bar's end; with nothing left they go.
+    In order of (onset, pitch, event_id, dur) a note that starts inside the one before it starts at its end instead; notes at
+    one onset are a chord and stay. Notes are cut at the bar's end; with nothing left they go. A bar is one sweep that
+    remembers two numbers, so any number of notes in it takes linear time and no memory. Notes without onset, length or bar go.
     """
-    bar = N.bar_length("beats", "beat_type")
-    row = F.struct(F.col("onset").cast("long").alias("onset"), F.when(F.col("is_rest"), 0).otherwise(F.col("midi")).alias("pitch"), "event_id", F.col("dur").cast("long").alias("dur"))
-    lines = notes.join(measures.select("page", "measure", long(bar).alias("bar")), ["page", "measure"]).groupBy(*SK, "measure").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.max("bar").alias("bar"))
-    kept = "array<struct<event_id:bigint,onset:bigint,dur:bigint,touched:int>>"
-    state = F.struct(F.lit(0).cast("long").alias("end"), F.lit(-1).cast("long").alias("last"), F.array().cast(kept).alias("kept"))
-
-    def step(s: Column, r: Column) -> Column:
-        chord = r["onset"] == s["last"]
-        onset = F.when(chord, r["onset"]).otherwise(F.greatest(r["onset"], s["end"]))
-        end = F.least(r["onset"] + r["dur"], F.col("bar"))
-        touched = ((onset != r["onset"]) | (end != r["onset"] + r["dur"])).cast("int")
-        now = F.struct(r["event_id"].alias("event_id"), onset.alias("onset"), (end - onset).alias("dur"), touched.alias("touched"))
-        after = F.struct(end.alias("end"), onset.alias("last"), F.concat(s["kept"], F.array(now)).alias("kept"))
-        return F.when((end > onset) & (onset < F.col("bar")), after).otherwise(s)
-
-    done = lines.withColumn("kept", F.aggregate("rows", state, step, lambda s: s["kept"]))
-    return done.select(*SK, "measure", F.inline("kept"))
+    bars = measures.select("page", "measure", long(N.bar_length("beats", "beat_type")).alias("bar"))
+    pitch = F.when(F.col("is_rest"), 0).otherwise(F.col("midi"))
+    rows = notes.join(bars, ["page", "measure"]).select(*SK, "measure", long(F.col("onset")).alias("onset"), pitch.alias("pitch"), "event_id", long(F.col("dur")).alias("dur"), "bar")
+    known = rows.where("onset is not null and dur is not null and bar is not null")
+    types = dict(rows.dtypes)
+    keys = ", ".join(f"{k} {types[k]}" for k in [*SK, "measure"])
+    return fold_in_order(known, [*SK, "measure"], ["onset", "pitch", "event_id", "dur"], Trimming, f"{keys}, event_id {types['event_id']}, onset bigint, dur bigint, touched int")
 
 
 def trim_losses(notes: DataFrame, measures: DataFrame) -> DataFrame:

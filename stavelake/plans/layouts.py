@@ -13,11 +13,12 @@ from .registry import add
 
 GAPS = "g0 as (select *, y - lag(y) over (partition by page order by y) as gap from lines_v)"
 SPACE = f"{GAPS}, sp as (select page, median(gap) as space from g0 where gap between 3 and 60 group by page)"
-STAVES = f"""{SPACE}, g1 as (select g0.*, space, coalesce(gap > 1.9 * space, true) as new from g0 join sp using (page)),
+GROUPED = """g1 as (select g0.*, space, coalesce(gap > 1.9 * space, true) as new from g0 join sp using (page)),
 g2 as (select *, sum(new::int) over (partition by page order by y) as grp from g1),
 g3 as (select page, min(y) - 1.0 as y_top, max(y) + 1.0 as y_bot, sum(y) / count(*) as y_center, min(x0) as x0, max(x1) as x1, count(*) as n_lines,
   sum(gap) filter (not new) / (count(*) - 1) as spacing, max(gap) filter (not new) as most, min(gap) filter (not new) as fewest from g2 group by page, grp having count(*) >= 3),
 st as (select page, cast(row_number() over (partition by page order by y_top) as int) as staff, y_top, y_bot, y_center, x0, x1, n_lines, spacing, most - fewest as spread, greatest(most - spacing, spacing - fewest) as resid, x1 - x0 as width from g3)"""
+STAVES = f"{SPACE}, {GROUPED}"
 LINKED = """li as (select st.*, coalesce((select count(*) from rules_v r where r.page = st.page and r.x > b.l - 12 and r.x < b.r + 12 and r.top <= prev and r.bottom >= y_center), 0) > 0 as linked
   from (select *, lag(y_center) over (partition by page order by y_top) as prev from st) st join (select page, min(x0) as l, max(x1) as r from st group by page) b using (page)),
 ls as (select page, staff, cast(sum((not linked)::int) over (partition by page order by staff) as bigint) as system from li)"""
@@ -30,7 +31,7 @@ MERGED = """s as (select *, row_number() over (partition by page order by y, x0,
 m as (select * from (with recursive r as (select page, k, [struct_pack(y := y, x0 := x0, x1 := x1, th := th, n := cast(1 as int))] as kept from s where k = 1
 union all select page, k, case when hit is null then list_append(kept, struct_pack(y := y, x0 := x0, x1 := x1, th := th, n := cast(1 as int)))
   else list_transform(kept, lambda q, i: case when i = hit then struct_pack(y := (q.y * q.n + y) / (q.n + 1), x0 := least(q.x0, x0), x1 := greatest(q.x1, x1), th := q.th, n := cast(q.n + 1 as int)) else q end) end
-  from (select s.*, kept, list_max(list_filter(range(1, len(kept) + 1), lambda i: abs(kept[i].y - s.y) <= 6 and s.x0 <= kept[i].x1 + 40 and s.x1 >= kept[i].x0 - 40)) as hit from r join s on s.page = r.page and s.k = r.k + 1)) select * from r)),
+  from (select s.*, kept, list_min(list_filter(range(1, len(kept) + 1), lambda i: abs(kept[i].y - s.y) <= 6 and s.x0 <= kept[i].x1 + 40 and s.x1 >= kept[i].x0 - 40)) as hit from r join s on s.page = r.page and s.k = r.k + 1)) select * from r)),
 u as (select page, unnest(kept) as q from (select * from m qualify row_number() over (partition by page order by k desc) = 1))"""
 THINNED = f"""{SPACE.replace('lines_v', 'pieces_v')}, s as (select pieces_v.*, 0.45 * coalesce(space, 0) as near, row_number() over (partition by page order by y, x0, x1) as k from pieces_v left join sp using (page)),
 m as (select * from (with recursive r as (select page, k, [struct_pack(y := y, x0 := x0, x1 := x1, th := th)] as kept from s where k = 1
@@ -38,6 +39,17 @@ union all select page, k, case when hit is null then list_append(kept, struct_pa
   when x1 - x0 > kept[hit].x1 - kept[hit].x0 then list_transform(kept, lambda q, i: case when i = hit then struct_pack(y := y, x0 := x0, x1 := x1, th := th) else q end) else kept end
   from (select s.*, kept, list_min(list_filter(range(1, len(kept) + 1), lambda i: abs(kept[i].y - s.y) < s.near)) as hit from r join s on s.page = r.page and s.k = r.k + 1)) select * from r)),
 u as (select page, unnest(kept) as q from (select * from m qualify row_number() over (partition by page order by k desc) = 1))"""
+SETTLED = f"""{MERGED}, ml as (select page, q.y, q.x0, q.x1, q.th from u),
+rg as (select page, median(gap) as rough from (select page, y - lag(y) over (partition by page order by y) as gap from ml) where gap between 8 and 60 group by page),
+s2 as (select ml.*, 0.45 * coalesce(rough, 0) as near, row_number() over (partition by page order by y, x0, x1) as k from ml left join rg using (page)),
+m2 as (select * from (with recursive r as (select page, k, [struct_pack(y := y, x0 := x0, x1 := x1, th := th)] as kept from s2 where k = 1
+union all select page, k, case when hit is null then list_append(kept, struct_pack(y := y, x0 := x0, x1 := x1, th := th))
+  when x1 - x0 > kept[hit].x1 - kept[hit].x0 then list_transform(kept, lambda q, i: case when i = hit then struct_pack(y := y, x0 := x0, x1 := x1, th := th) else q end) else kept end
+  from (select s2.*, kept, list_min(list_filter(range(1, len(kept) + 1), lambda i: abs(kept[i].y - s2.y) < s2.near)) as hit from r join s2 on s2.page = r.page and s2.k = r.k + 1)) select * from r)),
+u2 as (select page, unnest(kept) as q from (select * from m2 qualify row_number() over (partition by page order by k desc) = 1)),
+tl as (select page, q.y, q.x0, q.x1, q.th from u2),
+g0 as (select *, y - lag(y) over (partition by page order by y) as gap from tl),
+sp as (select page, median(gap) as space from g0 left join rg using (page) where gap between coalesce(0.5 * rough, 3) and 60 group by page)"""
 MATCHED = """h as (select run, page, staff, measure, event_id % 997 / 997 + case run when 'B' then cast(0.001 as double) else 0 end as x, midi as y from runs_v where not is_rest),
 b as (select page, staff, measure, list(struct_pack(x := x, y := y) order by x, y) as heads from h where run = 'B' group by all),
 a as (select h.*, heads, row_number() over (partition by page, staff, measure order by x, h.y) as k from h join b using (page, staff, measure) where run = 'A'),
@@ -93,6 +105,17 @@ select page, cast(by_ - ay as int) as moved, count(*) as n, x_shift from mt join
 add("geo_merge_collinear", "pieces_v", lambda n: geometry.merge_collinear(n), f"with {MERGED} select page, q.y, q.x0, q.x1, q.th, q.n from u")
 add("geo_drop_slivers", "pieces_v", lambda n: geometry.drop_slivers(n, geometry.staff_spacing(n)), f"with {THINNED} select page, q.y, q.x0, q.x1, q.th from u")
 
+
+def staves_of_pieces(pieces: DataFrame) -> DataFrame:
+    staves = geometry.group_lines(*geometry.settled_lines(pieces))
+    return staves.withColumns({c: F.round(c, 6) for c in ("y_top", "y_bot", "y_center", "spacing", "spread", "resid")})
+
+
+add("geo_settled_lines", "pieces_v", lambda n: geometry.settled_lines(n)[0], f"with {SETTLED} select * from tl")
+add("geo_settled_spacing", "pieces_v", lambda n: geometry.settled_lines(n)[1].withColumn("spacing", F.round("spacing", 6)), f"with {SETTLED} select page, round(space, 6) as spacing from sp")
+add("geo_settled_staves", "pieces_v", staves_of_pieces, f"""with {SETTLED}, {GROUPED} select page, staff, round(y_top, 6) as y_top, round(y_bot, 6) as y_bot, round(y_center, 6) as y_center,
+  x0, x1, n_lines, round(spacing, 6) as spacing, round(spread, 6) as spread, round(resid, 6) as resid, width from st""")
+
 RATE, SIZE = 8000, 512
 
 
