@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as N
 from .audit import long
+from .meter import ratio_runs
 
 
 def system_offsets(notes: DataFrame) -> DataFrame:
@@ -168,3 +169,24 @@ def join_parts(notes: DataFrame, book: str = "book", part: str = "part", first_s
         "event_id", book, "page", long(F.col("before") + F.col("at")).alias("measure"), F.when(extra, F.col(part) + first_staff - 1).otherwise(F.col("staff")).alias("staff"),
         F.when(extra, F.col("voice") + voices).otherwise(F.col("voice")).alias("voice"), F.when(F.col("most") > 0, F.col("most") + first_staff - 1).alias("staves"), ((F.col("at") == 1) & (F.col("nth") > 1)).cast("int").alias("new_page"),
     )
+
+
+def role_totals(notes: DataFrame, roles: DataFrame, ratio: str = "ratio") -> DataFrame:
+    """(page, role, staves, notes, pitched, tuplets) of declared roles (page, staff, role).
+
+    A role of several staves is one that was declared twice: `duplicate_roles` names it. Tuplets are runs of notes that
+    follow each other in a voice's bar and share a `ratio`, which is null for plain notes. A role without notes has zeros;
+    notes of staves without a role don't count.
+    """
+    named = notes.join(roles.select("page", "staff", "role").distinct(), ["page", "staff"])
+    n = named.groupBy("page", "role").agg(long(F.count("*")).alias("notes"), long(F.sum((~F.col("is_rest")).cast("int"))).alias("pitched"))
+    runs = ratio_runs(notes.where(F.col(ratio).isNotNull()), ratio).join(roles.select("page", "staff", "role").distinct(), ["page", "staff"])
+    runs = runs.groupBy("page", "role").agg(long(F.count("*")).alias("tuplets"))
+    declared = roles.groupBy("page", "role").agg(long(F.countDistinct("staff")).alias("staves"))
+    return declared.join(n, ["page", "role"], "left").join(runs, ["page", "role"], "left").na.fill(0, ["notes", "pitched", "tuplets"])
+
+
+def duplicate_roles(roles: DataFrame) -> DataFrame:
+    """(page, role, staves): roles that more than one staff of a page was given. Such a page is not to be emitted."""
+    n = roles.groupBy("page", "role").agg(F.sort_array(F.collect_set("staff")).alias("found"))
+    return n.where(F.size("found") > 1).select("page", "role", F.array_join(F.col("found").cast("array<string>"), ",").alias("staves"))

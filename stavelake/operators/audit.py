@@ -138,6 +138,30 @@ def silence_run(notes: DataFrame, measures: DataFrame, least: int = 3) -> DataFr
     return runs.withColumn("run", k).where(F.col("run") >= least).select("page", "measure", "run")
 
 
+def save_measure_index(measures: DataFrame, name: str, buckets: int = 200, path: str | None = None) -> DataFrame:
+    """Every measure of each page once, as the table `name`: in buckets by page, in order within, for `indexed_silence_run`.
+
+    The one shuffle is paid here. A filter on pages reads only their buckets, and in these only row groups that hold them.
+    """
+    rows = measures.select("page", "measure").where("page is not null and measure is not null").distinct().repartition(buckets, "page")
+    writer = rows.write.format("parquet").mode("overwrite").bucketBy(buckets, "page").sortBy("page", "measure")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+    return measures.sparkSession.table(name)
+
+
+def indexed_silence_run(notes: DataFrame, index: DataFrame, least: int = 3) -> DataFrame:
+    """`silence_run` with the measures that a caller's index names, which is read in its buckets and never shuffled or sorted by page.
+
+    Only the measures with notes travel, one row for each page. Pages of which the index names nothing have no run; those
+    of a filtered index alone are looked at.
+    """
+    has = notes.where("measure is not null").groupBy("page").agg(F.collect_set(F.col("measure").cast("int")).alias("with_notes"))
+    w = Window.partitionBy("page").orderBy("measure")
+    rows = index.select("page", "measure").join(has.hint("merge"), "page", "left").withColumn("has", F.coalesce(F.array_contains("with_notes", F.col("measure").cast("int")), F.lit(False)).cast("int")).drop("with_notes")
+    runs = rows.withColumn("island", F.sum("has").over(w)).where("has = 0")
+    return runs.withColumn("run", F.row_number().over(Window.partitionBy("page", "island").orderBy("measure"))).where(F.col("run") >= least).select("page", "measure", "run")
+
+
 def bar_span(notes: DataFrame, measures: DataFrame) -> DataFrame:
     """Share of measures whose furthest note ends within the bar, for each page and, with a null page, in total."""
     ends = notes.groupBy("page", "measure").agg(F.max(F.col("onset") + F.col("dur")).alias("reach")).join(declared(measures), ["page", "measure"])
@@ -161,6 +185,26 @@ def page_summary(notes: DataFrame) -> DataFrame:
     )
 
 
+def fragment_stats(raw: DataFrame) -> DataFrame:
+    """Per document of raw events: parts, measures, longest part, most staves declared, notes, those that sound, rests and chord tones.
+
+    A rest is none that sounds, and a chord tone that is a rest is a rest. Without a number of staves there is one.
+    A document that could not be read has its error and nulls; one without notes has zeros.
+    """
+    note = F.col("tag") == "note"
+    rest, tone = F.coalesce("is_rest", F.lit(False)), F.coalesce("is_chord", F.lit(False))
+    n = lambda c, name: long(F.sum(c.cast("int"))).alias(name)
+    parts = raw.where("error is null").groupBy("doc_id", "part_idx").agg(
+        long(F.countDistinct("measure_ord")).alias("length"), F.max("staves").alias("staves"), n(note, "notes"), n(note & ~rest & ~tone, "sounding"), n(note & rest, "rests"), n(note & ~rest & tone, "chord_tones"),
+    )
+    total = lambda c: long(F.coalesce(F.sum(c), F.lit(0))).alias(c)
+    read = parts.groupBy("doc_id").agg(
+        long(F.count("part_idx")).alias("parts"), long(F.sum("length")).alias("measures"), long(F.max("length")).alias("longest"),
+        long(F.greatest(F.coalesce(F.max("staves"), F.lit(1)), F.lit(1))).alias("staves"), *[total(c) for c in ("notes", "sounding", "rests", "chord_tones")],
+    )
+    return raw.groupBy("doc_id").agg(F.max("error").alias("error")).join(read, "doc_id", "left")
+
+
 def missing_context(notes: DataFrame, clefs: DataFrame) -> DataFrame:
     """Pages with notes for which no clef is known."""
     return notes.select("page").distinct().join(clefs.where("sign is not null").select("page"), "page", "left_anti")

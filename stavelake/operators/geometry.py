@@ -19,6 +19,7 @@ from pyspark.sql.window import WindowSpec
 from ..shared import stored
 from .audit import long
 from .scan import Spans, fold_in_order, islands
+from .scoring import position_shift
 
 
 def down(c: str) -> WindowSpec:
@@ -257,6 +258,23 @@ def nearest_free(left: np.ndarray, right: np.ndarray, tol: float) -> list[tuple[
     return out
 
 
+def staff_traces(scan: DataFrame, render: DataFrame, keys: list[str], tol: float = 0.02, core: int = 5) -> DataFrame:
+    """Per staff in both: heads of each side on the staff itself (`core` positions from its middle and fewer), how many pair by x, how
+    many of these have one height, and the shift that explains most heads of the whole bands, with its support and the render's heads.
+
+    Heads have (keys, x, y), y in staff positions from the middle line. Heads far above and below bind to neighbours and
+    stems, so they count for the shift only, which is one of shapes and bears them.
+    """
+    near = F.abs("y") <= core
+    count = lambda df, name: df.groupBy(*keys).agg(long(F.sum(near.cast("int"))).alias(name), long(F.count("*")).alias(f"{name}_wide"))
+    staves = count(scan, "page_events").join(count(render, "engraved_events"), keys).drop("page_events_wide")
+    same = F.sum((F.bround(F.col("ay") - F.col("by")) == 0).cast("int"))
+    pairs = match_noteheads(scan.where(near), render.where(near), keys, tol).groupBy(*keys).agg(long(F.count("*")).alias("x_matched"), long(same).alias("same_height"))
+    heights = lambda df: df.withColumn("midi", F.bround("y").cast("int"))
+    shifts = position_shift(heights(render), heights(scan), keys)
+    return staves.join(pairs, keys, "left").join(shifts, keys, "left").na.fill(0, ["x_matched", "same_height", "support"])
+
+
 def displacements(matches: DataFrame, keys: list[str]) -> DataFrame:
     """Histogram of height differences of matched heads, with the median shift of x of all heads of the key."""
     shift = matches.groupBy(*keys).agg(F.expr("percentile(bx - ax, 0.5)").alias("x_shift"))

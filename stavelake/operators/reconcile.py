@@ -120,5 +120,26 @@ def content_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return lost.join(gained, ["page", "measure"], "full_outer").na.fill(0)
 
 
+def repair_reports(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """Per document of both sides: staves of either and whether they differ, rests put in, voices padded with them, content lost and gained.
+
+    Content is a multiset of (measure, voice, length, pitch), where a rest is a pitch of its own; staff, onset and chord flag
+    don't count, as another program writes the same chord around another root. A padded voice is one voice of one measure
+    with more rests of a length than before. A side without the document has null staves. One shuffle by content, one by document.
+    """
+    pitch = F.when(~F.col("is_rest"), F.col("midi"))
+    side = lambda df, b: df.select(*keys, "measure", "voice", "dur", "is_rest", pitch.alias("pitch"), "staff", F.lit(b).alias("b"), F.lit(1 - b).alias("a"))
+    both = side(before, 1).unionByName(side(after, 0))
+    content = both.groupBy(*keys, "measure", "voice", "dur", "is_rest", "pitch").agg(F.sum("b").alias("b"), F.sum("a").alias("a"))
+    more, less = F.greatest(F.col("a") - F.col("b"), F.lit(0)), F.greatest(F.col("b") - F.col("a"), F.lit(0))
+    put_in = F.when(F.col("is_rest"), more).otherwise(0)
+    padded = F.countDistinct(F.when(put_in > 0, F.struct(F.col("measure"), F.col("voice"))))
+    diff = content.groupBy(*keys).agg(long(F.sum(put_in)).alias("rests_added"), long(padded).alias("voices_padded"), long(F.sum(less)).alias("content_lost"), long(F.sum(more)).alias("content_gained"))
+    staves = both.groupBy(*keys).agg(*[long(F.countDistinct(F.when(F.col(c) == 1, F.col("staff")))).alias(n) for c, n in (("b", "staves_before"), ("a", "staves_after"))])
+    none = lambda c: F.when(F.col(c) > 0, F.col(c)).alias(c)
+    differ = ((F.col("staves_before") > 0) & (F.col("staves_after") > 0) & (F.col("staves_before") != F.col("staves_after"))).cast("int").alias("staves_differ")
+    return staves.join(diff, keys).select(*keys, none("staves_before"), none("staves_after"), differ, "rests_added", "voices_padded", "content_lost", "content_gained")
+
+
 def repair_summary(diff: DataFrame) -> DataFrame:
     return diff.groupBy().agg(long(F.countDistinct("page")).alias("pages"), long(F.coalesce(F.sum("lost"), F.lit(0))).alias("lost"), long(F.coalesce(F.sum("gained"), F.lit(0))).alias("gained"))

@@ -56,6 +56,28 @@ def position_shift(a: DataFrame, b: DataFrame, keys: list[str], span: int = 14)
     return support.withColumn("k", F.row_number().over(w)).where("k = 1").select(*keys, "shift", "support")
 
 
+def shift_verdicts(a: DataFrame, b: DataFrame, keys: list[str], least: int = 1, octave: int = 7) -> DataFrame:
+    """`position_shift` of staff positions in words: none, octave (a whole octave up or down), shifted, or thin below `least` heads."""
+    found = F.when(F.col("support") < least, "thin").when(F.col("shift") == 0, "none").when(F.abs("shift") == octave, "octave").otherwise("shifted")
+    return position_shift(a, b, keys, 2 * octave).withColumn("verdict", found)
+
+
+def page_outliers(features: DataFrame, relative: list[str], absolute: dict[str, float], least: int = 4) -> DataFrame:
+    """(book, page, feature, value, median) of pages that stand out in their book.
+
+    A `relative` feature stands out more than half off the book's median, where that is above zero; an `absolute` one above
+    its bound, without a median. Books of fewer than `least` pages have no pages that stand out. A null value does not.
+    """
+    names = [*relative, *absolute]
+    rows = features.select("book", "page", F.posexplode(F.array(*[F.col(c).cast("double") for c in names])).alias("nth", "value"))
+    medians = rows.groupBy("book", "nth").agg(F.expr("percentile(value, 0.5)").alias("median"), F.count("*").alias("n")).where(F.col("n") >= least)
+    far = (F.col("nth") < len(relative)) & (F.col("median") > 0) & (F.abs(F.col("value") - F.col("median")) > 0.5 * F.col("median"))
+    for i, (name, bound) in enumerate(absolute.items(), len(relative)):
+        far = far | ((F.col("nth") == i) & (F.col("value") > bound))
+    named = F.element_at(F.array(*map(F.lit, names)), F.col("nth") + 1)
+    return rows.join(medians, ["book", "nth"]).where(far).select("book", "page", named.alias("feature"), "value", F.when(F.col("nth") < len(relative), F.col("median")).alias("median"))
+
+
 def feature_outliers(features: DataFrame, feature: str, least: int = 4) -> DataFrame:
     """Rows more than half off the median of their book; books with fewer than `least` rows have none."""
     med = features.groupBy("book").agg(F.expr(f"percentile({feature}, 0.5)").alias("median"), F.count("*").alias("n")).where(F.col("n") >= least)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import functions as N
 from ..operators import assemble, audit, meter, normalise, pattern, reconcile, scoring
 from ..streaming import running_tally_batch, sample_trace
-from . import emit, layouts, parts  # noqa: F401  (they register theirs)
+from . import changes, emit, layouts, parts  # noqa: F401  (they register theirs)
 from .registry import ORACLES, QUERIES, add  # noqa: F401
 
 SK = "page, staff, voice"
