@@ -14,6 +14,8 @@ from .meter import infer_clef, trim_overlaps
 
 LINE = [*SK, "measure"]
 PART = ["doc_id", "part_idx"]
+#: What a note may carry beside its pitch and length.
+MARKS = ["tie", "slur", "lyric"]
 
 
 def _step(used: np.ndarray, dur: int, bar: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,7 +111,8 @@ def voice_events(notes: DataFrame, bars: DataFrame) -> DataFrame:
     """
     at = Window.partitionBy(*LINE, "onset")
     after = Window.partitionBy(*LINE).orderBy("onset").rangeBetween(1, Window.unboundedFollowing)
-    rows = trim_overlaps(notes, bars).join(notes.select("event_id", "is_rest", "midi", "step", "alter", "octave"), "event_id")
+    marks = [F.col(c) if c in notes.columns else F.lit(None).cast("string").alias(c) for c in MARKS]
+    rows = trim_overlaps(notes, bars).join(notes.select("event_id", "is_rest", "midi", "step", "alter", "octave", *marks), "event_id")
     rows = rows.withColumn("k", F.row_number().over(at.orderBy("is_rest", "midi", "event_id"))).withColumn("first_rest", F.min("is_rest").over(at))
     rows = rows.where("not is_rest or (first_rest and k = 1)").join(bars.select("page", "measure", long(N.bar_length("beats", "beat_type")).alias("bar")), ["page", "measure"])
     rows = rows.withColumns({"next": F.coalesce(F.min("onset").over(after), F.col("bar")), "dur": F.max("dur").over(at)})
@@ -117,6 +120,50 @@ def voice_events(notes: DataFrame, bars: DataFrame) -> DataFrame:
     return rows.withColumns({"gap": F.col("next") - F.col("onset") - F.col("dur"), "chord": F.col("k") > 1}).drop("first_rest", "next", "touched")
 
 
+def whole_marks(events: DataFrame, marked: set[str]) -> DataFrame:
+    """`events` whose ties and slurs are whole, for those in `marked`; rests carry none.
+
+    A tie starts at a note only if the next one of its pitch in the voice takes it up, and a note takes up only what the one
+    before it starts. Slurs are paired across the notes that are left. Words stay.
+    """
+    events = events.withColumns({c: F.when(~F.col("is_rest"), F.col(c)) for c in MARKS})
+    if "tie" in marked:
+        w = Window.partitionBy(*SK, "midi").orderBy("measure", "onset", "event_id")
+        starts, stops = F.coalesce(F.col("tie").isin("start", "both"), F.lit(False)), F.coalesce(F.col("tie").isin("stop", "both"), F.lit(False))
+        events = events.withColumns({"to": starts & F.coalesce(F.lead(stops).over(w), F.lit(False)), "from": stops & F.coalesce(F.lag(starts).over(w), F.lit(False))})
+        both = F.when(F.col("to") & F.col("from"), "both").when(F.col("to"), "start").when(F.col("from"), "stop")
+        events = events.withColumn("tie", both).drop("to", "from")
+    if "slur" in marked:
+        # As `pair_slurs`, with the rows between left in: the first of each run of equal ends counts, but no stop in front and no start at the end.
+        line = Window.partitionBy(*SK)
+        w = line.orderBy("measure", "onset", "event_id")
+        end = F.when(F.col("slur").isin("start", "stop"), F.col("slur"))
+        turn = F.col("end").isNotNull() & ~F.col("end").eqNullSafe(F.last("end", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+        events = events.withColumn("end", end).withColumn("turn", turn.cast("int"))
+        events = events.withColumns({"nth": F.sum("turn").over(w), "turns": F.sum("turn").over(line)})
+        loose = ((F.col("end") == "stop") & (F.col("nth") == 1)) | ((F.col("end") == "start") & (F.col("nth") == F.col("turns")))
+        events = events.withColumn("slur", F.when((F.col("turn") == 1) & ~loose, F.col("end"))).drop("end", "turn", "nth", "turns")
+    return events
+
+
+def escaped(c: Column) -> Column:
+    """A text as the content of an element."""
+    out = F.regexp_replace(c, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]", "")
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        out = F.replace(out, F.lit(sign), F.lit(name))
+    return out
+
+
+def mark_elements(events: DataFrame) -> DataFrame:
+    """With `held`, the elements that stand behind a note's length, and `tail`, those that stand at its end."""
+    start, stop = F.col("tie").isin("start", "both"), F.col("tie").isin("stop", "both")
+    text = lambda *parts: F.concat(*[F.coalesce(F.when(when, F.lit(x)), F.lit("")) for when, x in parts])
+    held = text((stop, '<tie type="stop"/>'), (start, '<tie type="start"/>'))
+    inner = text((stop, '<tied type="stop"/>'), (start, '<tied type="start"/>'), (F.col("slur") == "start", '<slur type="start" number="1"/>'), (F.col("slur") == "stop", '<slur type="stop" number="1"/>'))
+    sung = F.when(F.trim("lyric") != "", F.concat(F.lit("<lyric><syllabic>single</syllabic>"), _tag("text", escaped(F.trim("lyric"))), F.lit("</lyric>")))
+    return events.withColumn("held", held).withColumn("tail", F.concat(F.when(inner != "", _tag("notations", inner)).otherwise(""), F.coalesce(sung, F.lit(""))))
+
+
 def _tag(name: str, body: Column | str) -> Column:
     return F.concat(F.lit(f"<{name}>"), F.col(body).cast("string") if isinstance(body, str) else body.cast("string"), F.lit(f"</{name}>"))
 
@@ -127,14 +174,14 @@ def _written(w: Column) -> Column:
 
 
 def note_elements(rows: DataFrame, bars: DataFrame) -> DataFrame:
-    """`rows` with a note element `x` from (chord, body, dur, voice, staff); its written length comes from the tick count alone.
+    """`rows` with a note element `x` from (chord, body, dur, held, voice, staff, tail); its written length comes from the tick count alone.
 
     Every length up to the longest bar is written once and joined back, so the list does not grow with the notes.
     """
     ticks = bars.agg(F.max(N.bar_length("beats", "beat_type")).alias("most")).select(F.explode(F.sequence(F.lit(1), "most")).alias("ticks"))
     lengths = ticks.select(F.col("ticks").cast("long").alias("dur"), F.transform(F.array(N.written_ratio("ticks")), _written)[0].alias("written"))
     mark = F.when(F.col("chord"), "<chord/>").otherwise("")
-    x = _tag("note", F.concat(mark, "body", _tag("duration", "dur"), _tag("voice", "voice"), "written", _tag("staff", "staff")))
+    x = _tag("note", F.concat(mark, "body", _tag("duration", "dur"), "held", _tag("voice", "voice"), "written", _tag("staff", "staff"), "tail"))
     return rows.join(F.broadcast(lengths), "dur").withColumn("x", x)
 
 
@@ -153,13 +200,13 @@ def measure_texts(notes: DataFrame, measures: DataFrame) -> DataFrame:
     bars = measures.join(parts, "doc_id").withColumn("page", page)
     length = bars.select(*PART, "page", "measure", "staves", "beats", "beat_type", long(N.bar_length("beats", "beat_type")).alias("bar"))
     pitch = _tag("pitch", F.concat(_tag("step", "step"), F.when(F.coalesce("alter", F.lit(0)) != 0, _tag("alter", "alter")).otherwise(""), _tag("octave", "octave")))
-    events = voice_events(notes, bars).withColumn("body", F.when(F.col("is_rest"), "<rest/>").otherwise(pitch))
+    events = mark_elements(whole_marks(voice_events(notes, bars), set(MARKS) & set(notes.columns))).withColumn("body", F.when(F.col("is_rest"), "<rest/>").otherwise(pitch))
     first = Window.partitionBy(*LINE).orderBy("onset", "k")
-    row = lambda onset, dur, k, chord, body: F.struct(onset.cast("long").alias("onset"), dur.cast("long").alias("dur"), F.lit(k).alias("k") if isinstance(k, int) else k.alias("k"), chord.alias("chord"), body.alias("body"))
+    row = lambda onset, dur, k, chord, body, held=F.lit(""), tail=F.lit(""): F.struct(onset.cast("long").alias("onset"), dur.cast("long").alias("dur"), F.lit(k).alias("k") if isinstance(k, int) else k.alias("k"), chord.alias("chord"), body.alias("body"), held.alias("held"), tail.alias("tail"))
     rest = lambda onset, dur: row(onset, dur, 0, F.lit(False), F.lit("<rest/>"))
     c = F.col
     front = F.when(c("nth") == 1, rest(F.lit(0), c("onset")))
-    own = row(c("onset"), c("dur"), c("k"), c("chord"), c("body"))
+    own = row(c("onset"), c("dur"), c("k"), c("chord"), c("body"), c("held"), c("tail"))
     behind = F.when(~c("chord"), rest(c("onset") + c("dur"), c("gap")))
     rows = events.withColumn("nth", F.row_number().over(first)).select(*LINE, F.inline(F.filter(F.array(front, own, behind), lambda r: r.dur > 0)))
     lines = note_elements(rows, bars).groupBy(*LINE).agg(_joined(["onset", "k"]).alias("x"))
@@ -175,25 +222,44 @@ def measure_texts(notes: DataFrame, measures: DataFrame) -> DataFrame:
     return joined.select(*PART, "measure", "beats", "beat_type", "staves", x.alias("x"))
 
 
-def score_documents(notes: DataFrame, measures: DataFrame) -> DataFrame:
+def score_documents(notes: DataFrame, measures: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """(doc_id, text): one MusicXML text for each document.
 
-    `notes` has (doc_id, part_idx, staff, voice, measure, onset, dur, is_rest, midi, step, alter, octave, event_id),
-    `measures` (doc_id, measure, beats, beat_type), which all parts share, so all are equally wide. A meter is stated
-    where it changes, the clef is inferred from the pitches of each staff. A document without notes gives none. The text
-    of a document is one row; documents are made apart from each other.
+    `notes` has (doc_id, part_idx, staff, voice, measure, onset, dur, is_rest, midi, step, alter, octave, event_id), and may
+    have `tie` (start, stop or both), `slur` (start or stop) and `lyric`: see `whole_marks`; a blank lyric is none. `measures`
+    has (doc_id, measure, beats, beat_type), which all parts share, so all are equally wide, and may have `fifths`, where null
+    is no change and the first key is none. A meter and a key are stated where they change, the clef is inferred from the
+    pitches of each staff. `names` (doc_id, part_idx, name) names parts and their instruments; a part without a name, or with
+    a blank one, is called by its number, and of several names the least counts. A document without notes gives none. The
+    text of a document is one row; documents are made apart from each other.
     """
     clef = infer_clef(notes.withColumn("page", F.struct(*PART))).select("page.*", "staff", _tag("sign", "sign").alias("s"), _tag("line", "line").alias("l"))
     clef = clef.select(*PART, "staff", F.concat(F.lit('<clef number="'), F.col("staff").cast("string"), F.lit('">'), "s", "l", F.lit("</clef>")).alias("x")).groupBy(*PART).agg(_joined(["staff"]).alias("clefs"))
     w = Window.partitionBy(*PART).orderBy("measure")
-    rows = measure_texts(notes, measures).join(clef, PART, "left").withColumns({"number": F.row_number().over(w), "before": F.lag(F.struct("beats", "beat_type")).over(w)})
-    time = _tag("time", F.concat(_tag("beats", "beats"), _tag("beat-type", "beat_type")))
-    first = _tag("attributes", F.concat(_tag("divisions", F.lit(N.TICKS)), F.lit("<key><fifths>0</fifths></key>"), time, _tag("staves", "staves"), F.coalesce("clefs", F.lit(""))))
-    stated = F.when(F.col("number") == 1, first).when(F.col("before") != F.struct("beats", "beat_type"), _tag("attributes", time)).otherwise("")
+    rows = measure_texts(notes, measures).join(clef, PART, "left")
+    if "fifths" in measures.columns:
+        rows = rows.join(measures.select("doc_id", "measure", "fifths"), ["doc_id", "measure"], "left")
+    else:
+        rows = rows.withColumn("fifths", F.lit(None).cast("int"))
+    rows = rows.withColumn("fifths", F.coalesce(F.last("fifths", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    rows = rows.withColumns({"number": F.row_number().over(w), "before": F.lag(F.struct("beats", "beat_type")).over(w), "key_before": F.lag("fifths").over(w)})
+    time, key = _tag("time", F.concat(_tag("beats", "beats"), _tag("beat-type", "beat_type"))), _tag("key", _tag("fifths", "fifths"))
+    first = _tag("attributes", F.concat(_tag("divisions", F.lit(N.TICKS)), key, time, _tag("staves", "staves"), F.coalesce("clefs", F.lit(""))))
+    changed = F.concat(F.when(F.col("key_before") != F.col("fifths"), key).otherwise(""), F.when(F.col("before") != F.struct("beats", "beat_type"), time).otherwise(""))
+    stated = F.when(F.col("number") == 1, first).when(changed != "", _tag("attributes", changed)).otherwise("")
     x = F.concat(F.lit('<measure number="'), F.col("number").cast("string"), F.lit('">'), stated, "x", F.lit("</measure>"))
     parts = rows.withColumn("x", x).groupBy(*PART).agg(_joined(["number"]).alias("x"))
-    name = F.concat(F.lit('"P'), (F.col("part_idx") + 1).cast("string"), F.lit('">'))
-    parts = parts.select("doc_id", F.struct("part_idx", F.concat(F.lit("<part id="), name, "x", F.lit("</part>")).alias("x"), F.concat(F.lit("<score-part id="), name, _tag("part-name", F.concat(F.lit("Part "), (F.col("part_idx") + 1).cast("string"))), F.lit("</score-part>")).alias("entry")).alias("p"))
+    if names is None:
+        parts = parts.withColumn("name", F.lit(None).cast("string"))
+    else:
+        known = names.where(F.trim("name") != "").groupBy(*PART).agg(F.min(F.trim("name")).alias("name"))
+        parts = parts.join(known, PART, "left")
+    number = F.concat(F.lit("P"), (F.col("part_idx") + 1).cast("string"))
+    called = escaped(F.coalesce("name", F.concat(F.lit("Part "), (F.col("part_idx") + 1).cast("string"))))
+    quoted = lambda tail="": F.concat(F.lit('"'), number, F.lit(f'{tail}">'))
+    instrument = F.when(F.col("name").isNotNull(), F.concat(F.lit("<score-instrument id="), quoted("-I1"), _tag("instrument-name", called), F.lit("</score-instrument>"))).otherwise("")
+    entry = F.concat(F.lit("<score-part id="), quoted(), _tag("part-name", called), instrument, F.lit("</score-part>"))
+    parts = parts.select("doc_id", F.struct("part_idx", F.concat(F.lit("<part id="), quoted(), "x", F.lit("</part>")).alias("x"), entry.alias("entry")).alias("p"))
     whole = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list("p")).alias("p"))
     of = lambda field: F.array_join(F.transform("p", lambda r: r[field]), "")
     return whole.select("doc_id", F.concat(F.lit('<score-partwise version="4.0">'), _tag("part-list", of("entry")), of("x"), F.lit("</score-partwise>")).alias("text"))

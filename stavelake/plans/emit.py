@@ -89,3 +89,31 @@ add("emit_scores", "notes_v measures_v", text_counts, f"""with {TRIM}, p as (sel
 c as (select page, count(*) as notes, count(*) - count(distinct ({KEYS}, measure, start)) as chord_notes from p group by page), b as (select page, count(*) as bars from measures_v group by page)
 select page, coalesce(notes, 0) as notes, coalesce(chord_notes, 0) as chord_notes, bars from b left join c using (page)""")
 add("emit_validity", "notes_v measures_v", validity, "select count(distinct page) as total, cast(0 as bigint) as failed, count(distinct page) as valid from notes_v")
+
+
+# marks: ties from every fourth event to the next of its pitch, slurs and words on some, a key for each five bars, and names of some parts
+def marked_texts(notes: DataFrame, measures: DataFrame) -> DataFrame:
+    e = F.col("event_id")
+    rows = notes.withColumnsRenamed({"page": "doc_id", "alter_": "alter"}).withColumn("part_idx", F.lit(0))
+    rows = rows.withColumns({"tie": F.when(e % 4 == 0, "start").when(e % 4 == 1, "stop").when(e % 4 == 2, "both"), "slur": F.when(e % 3 == 0, F.when(F.col("midi") % 2 == 0, "start").otherwise("stop")), "lyric": F.when(e % 5 == 0, "la & <li>")})
+    bars = measures.withColumnRenamed("page", "doc_id").withColumn("fifths", F.when(F.col("measure") % 5 == 1, F.col("measure") % 3))
+    names = rows.where("doc_id % 2 = 0").select("doc_id", "part_idx", F.lit("Voice & <flute>").alias("name")).distinct()
+    return emit.score_documents(rows, bars, names)
+
+
+def mark_counts(notes: DataFrame, measures: DataFrame) -> DataFrame:
+    count = lambda what: F.regexp_count("text", F.lit(what)).cast("long")
+    counts = {"ties": '<tied type="start"/>', "stops": '<tied type="stop"/>', "slurs": '<slur type="start"', "slur_stops": '<slur type="stop"', "words": "<lyric>", "keys": "<fifths>", "names": "<instrument-name>Voice &amp; &lt;flute&gt;<"}
+    return marked_texts(notes, measures).select(F.col("doc_id").alias("page"), *[count(v).alias(k) for k, v in counts.items()])
+
+
+add("emit_marks", "notes_v measures_v", mark_counts, f"""with {TRIM}, p as (select tm.page, tm.staff, tm.voice, tm.measure, start, event_id, midi, event_id % 4 in (0, 2) as s, event_id % 4 in (1, 2) as t, case when event_id % 3 = 0 then case when midi % 2 = 0 then 'start' else 'stop' end end as kind
+  from tm join notes_v using (event_id) where kept and not is_rest),
+ti as (select page, cast(sum((s and after)::int) as bigint) as ties, cast(sum((t and before)::int) as bigint) as stops, cast(sum((event_id % 5 = 0)::int) as bigint) as words
+  from (select *, coalesce(lead(t) over w, false) as after, coalesce(lag(s) over w, false) as before from p window w as (partition by {KEYS}, midi order by measure, start, event_id)) group by page),
+f as (select *, kind is distinct from lag(kind) over (partition by {KEYS} order by measure, start, event_id) as turn from p where kind is not null),
+e as (select *, row_number() over (partition by {KEYS} order by measure, start, event_id) as k, lead(kind) over (partition by {KEYS} order by measure, start, event_id) as after from f where turn),
+sl as (select page, count(*) filter (kind = 'start') as slurs, count(*) filter (kind = 'stop') as slur_stops from e where not (kind = 'stop' and k = 1) and not (kind = 'start' and after is null) group by page),
+ke as (select page, count(*) filter (prev is null or prev <> key) as keys from (select page, measure, key, lag(key) over (partition by page order by measure) as prev from (select page, measure, measure % 3 as key from measures_v where measure % 5 = 1)) group by page)
+select page, coalesce(ties, 0) as ties, coalesce(stops, 0) as stops, coalesce(slurs, 0) as slurs, coalesce(slur_stops, 0) as slur_stops, coalesce(words, 0) as words, keys, cast((page % 2 = 0)::int as bigint) as names
+from ke left join ti using (page) left join sl using (page) where page in (select page from notes_v)""")

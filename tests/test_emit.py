@@ -49,3 +49,25 @@ def test_melody_in_bars(spark):
         ("y", 1, 0, 6, 50, False), ("y", 1, 6, 90, None, True),
     ])
     assert emit.lay_out(melody.where("false"), ["doc"], ["place"]).count() == 0
+
+
+def test_marks_names_and_keys_read_back(spark):
+    n = lambda m, onset, midi, i, tie=None, slur=None, lyric=None, dur=24, rest=False: ("a", 0, 1, 1, m, onset, dur, rest, midi, "C", 0, 4, i, tie, slur, lyric)
+    rows = [
+        n(1, 0, 60, 1, "start", "start", "la"), n(1, 24, 60, 2, "both", None, "a < b & c"), n(1, 48, 60, 3, "stop", "stop", "  "), n(1, 72, 62, 4, "start", "stop"),  # nothing takes up the last tie, no slur is open
+        n(2, 0, 60, 5, "stop"), n(2, 24, 64, 6, None, "start"), n(2, 48, None, 7, "start", "stop", "no", rest=True), n(3, 0, 65, 8, None, None, "di", 96),
+    ]
+    notes = spark.createDataFrame(rows, NOTE + ", tie string, slur string, lyric string")
+    meters = spark.createDataFrame([("a", 1, 4, 4, None), ("a", 2, 4, 4, 2), ("a", 3, 4, 4, None)], METER + ", fifths int")
+    names = spark.createDataFrame([("a", 0, " Voice & <flute> "), ("a", 0, "  "), ("z", 0, "x")], "doc_id string, part_idx int, name string")
+    texts = emit.score_documents(notes, meters, names).cache()
+    raw = S.shred_texts(texts).cache()
+    assert validate.validate(raw).collect() == [] and validate.content_model(raw).collect() == []
+    got = [(r.tie, r.slur) for r in raw.where("tag = 'note' and not is_rest").orderBy("measure_ord", "seq").collect()]
+    assert got == [("start", "start"), ("stop", None), ("stop", "stop"), (None, None), (None, None), (None, None), (None, None)]
+    text = texts.first().text
+    assert text.count('<tied type="start"/>') == 2 == text.count('<tie type="stop"/>') and "<tie type=\"stop\"/><tie type=\"start\"/>" in text
+    assert [text.count(f"<text>{x}</text>") for x in ("la", "a &lt; b &amp; c", "di")] == [1, 1, 1] and text.count("<lyric>") == 3
+    assert {r.part_name for r in raw.where("tag = 'note'").collect()} == {"Voice & <flute>"}
+    keys = raw.where("tag = 'attributes'").orderBy("measure_ord").collect()
+    assert [(r.measure_label, r.fifths, r.beats) for r in keys] == [("1", 0, 4), ("2", 2, None)]
