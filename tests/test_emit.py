@@ -71,3 +71,11 @@ def test_marks_names_and_keys_read_back(spark):
     assert {r.part_name for r in raw.where("tag = 'note'").collect()} == {"Voice & <flute>"}
     keys = raw.where("tag = 'attributes'").orderBy("measure_ord").collect()
     assert [(r.measure_label, r.fifths, r.beats) for r in keys] == [("1", 0, 4), ("2", 2, None)]
+
+
+def test_a_rest_with_a_pitch_ends_no_tie(spark):
+    n = lambda m, onset, i, tie, rest=False: ("a", 0, 1, 1, m, onset, 24, rest, 60, "C", 0, 4, i, tie, None, None)
+    rows = [n(1, 0, 1, "start"), n(1, 24, 2, None, True), n(1, 48, 3, "both"), n(1, 72, 4, "stop", True), n(2, 0, 5, "stop")]
+    notes = spark.createDataFrame(rows, NOTE + ", tie string, slur string, lyric string")
+    text = emit.score_documents(notes, spark.createDataFrame([("a", 1, 4, 4), ("a", 2, 4, 4)], METER)).first().text
+    assert text.count('<tied type="start"/>') == 2 == text.count('<tied type="stop"/>')
