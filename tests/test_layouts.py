@@ -131,3 +131,13 @@ def test_braces(spark):
     assert paired == {(s, t): (2 if t > 1 else None) for s in (1, 2) for t in (1, 2, 3)}
     order = [(r.name, r.place) for r in parts.part_order(parts.brace_fallback(staves.where("page = 1"))).orderBy("place").collect()]
     assert order == [("Voice", 0), ("Piano", 1)]
+
+
+def test_waves_are_made_once_for_each_pitch(spark, sf):
+    from stavelake.plans import layouts, views
+
+    frames = layouts.tones(views.view(spark, sf, "notes_v"))
+    plan = frames._jdf.queryExecution().optimizedPlan().toString()
+    made = [line.lstrip(" :+-") for line in plan.splitlines() if "lambdafunction" in line]
+    assert len(made) == 1 and made[0].startswith("Aggregate [")  # by group, not by frame
+    assert frames.count() == 1000 and frames.select("samples").distinct().count() <= 37
