@@ -133,6 +133,22 @@ def test_braces(spark):
     assert order == [("Voice", 0), ("Piano", 1)]
 
 
+def test_levels_and_tones_of_many_frames_at_once(spark):
+    wave = lambda hz, size, rate=8000: (0.5 * np.sin(2 * np.pi * hz * np.arange(size) / rate)).tolist()
+    rows = [
+        (1, 0, 0.0, 8000, wave(440, 512)), (1, 1, 0.1, 8000, wave(220, 512)), (1, 2, 0.2, 8000, []), (1, 3, 0.3, 8000, None), (1, 4, 0.4, 8000, [0.0] * 512), (1, 5, 0.5, 16000, wave(440, 1024, 16000)),
+        (1, 6, 0.6, 8000, [3.0, None, -4.0]), (1, 7, 0.7, 8000, [None]), (1, 8, 0.8, 8000, [3.0, -4.0]), (1, 9, 0.9, 8000, [float("nan"), 1.0]), (1, 10, 1.0, 8000, wave(330, 255)),
+    ]
+    df = spark.createDataFrame(rows, "doc_id int, frame int, t double, rate int, samples array<double>").coalesce(1)
+    level = audio.signal_level(df)
+    got = {r.frame: (r.peak, r.rms) for r in level.collect()}
+    assert got[2] == got[3] == got[7] == (None, None) and got[4] == (0.0, 0.0) and got[6] == (4.0, None) and got[8] == (4.0, 12.5**0.5) and np.isnan(got[9]).all()
+    assert abs(got[0][1] - 0.125**0.5) < 0.01
+    assert {r.frame: r.midi for r in audio.frame_pitch(df).collect()} == {0: 69, 1: 57, 5: 69} | dict.fromkeys([2, 3, 4, 6, 7, 8, 9, 10])
+    # a sample is a step of a lambda no longer, in the operator or in what the queries read
+    assert "aggregate(" not in level._jdf.queryExecution().executedPlan().toString()
+
+
 def test_waves_are_made_once_for_each_pitch(spark, sf):
     from stavelake.plans import layouts, views
 
