@@ -79,3 +79,20 @@ def test_a_rest_with_a_pitch_ends_no_tie(spark):
     notes = spark.createDataFrame(rows, NOTE + ", tie string, slur string, lyric string")
     text = emit.score_documents(notes, spark.createDataFrame([("a", 1, 4, 4), ("a", 2, 4, 4)], METER)).first().text
     assert text.count('<tied type="start"/>') == 2 == text.count('<tied type="stop"/>')
+
+
+def test_shredded_columns_that_are_wanted(spark):
+    rows = [("a", 0, 1, 1, 1, 0, 24, False, 61, "C", 1, 4, 1), ("b", 0, 1, 1, 1, 0, 96, True, None, None, None, None, 2)]
+    texts = documents(spark, rows, [("a", 1, 4, 4), ("b", 1, 3, 4)]).unionAll(spark.createDataFrame([("c", "<x")], "doc_id string, text string")).cache()
+    raw = S.shred_texts(texts).cache()
+    for columns in ("doc_id, seq, tag, beats, clefs, error", "doc_id, seq, tag, children"):
+        names = columns.split(", ")
+        assert sorted(map(str, S.shred_texts(texts, columns).collect())) == sorted(map(str, raw.select(*names).collect())) and raw.count() > 4
+
+
+def test_excerpt_reads_each_text_once(spark, sf):
+    from stavelake.plans import emit as plans
+    from stavelake.plans import views
+
+    found = plans.excerpt_blocks(views.view(spark, sf, "notes_v"), views.view(spark, sf, "measures_v"))
+    assert "MapInArrow" not in found._jdf.queryExecution().optimizedPlan().toString()
